@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
         return pd.DataFrame({"weight": [weight.tobytes()], "bias": [bias]})
 
     rows = sample.mapInArrow(features, "id string, grams binary, label int")
-    found = rows.groupBy(F.lit(1)).applyInPandas(fitted, "weight binary, bias double").collect()
+    found = rows.groupBy().applyInPandas(fitted, "weight binary, bias double").collect()
     if not found:
         return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(found[0]["weight"], np.float32), found[0]["bias"]
