@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.bpe_tree import encode
 from plumbline.llm.common import table
+from plumbline.llm.licenses import license_scan
 from plumbline.llm.line_dedup import page_line_dedup
 from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.mixing import mix_totals
+from plumbline.llm.secrets import scan
+from plumbline.llm.spotsigs import fingerprints
 from plumbline.llm.token_counts import token_counts
+from plumbline.llm.topk import top_k
 from plumbline.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +35,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cutoff=0.7)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -38,12 +47,30 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_line_dedup(table(spark, sf_dir, "pages"))
 
 
+ALL: list[Query] = [
+    op1_token_counts, op2_source_mix, op3_toxicity, op4_secret_scan, op5_near_duplicates, op6_bpe_codec, op7_top_k,
+    op8_spot_signatures, op9_license_scan, op10_line_dedup,
+]
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_toxicity, op5_near_duplicates, op6_bpe_codec, op10_line_dedup)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
