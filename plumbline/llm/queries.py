@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.bpe_tree import encode
 from plumbline.llm.common import table
 from plumbline.llm.licenses import license_scan
-from plumbline.llm.line_dedup import page_line_dedup
+from plumbline.llm.line_dedup import BLOCKS, page_line_dedup
 from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.mixing import mix_totals
 from plumbline.llm.secrets import scan
@@ -73,5 +73,22 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in ALL}
 
 
+TOP_K_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256.0::double * x::double)::bigint) as w from embeddings),
+d as (select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::bigint as score
+ from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from d)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5"""
+
+LINE_SQL = """with h as (select page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') as host,
+ list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', chr(10), 'g'), '(?is)<script\\b.*?</script\\s*>', chr(10), 'g'), '(?is)<style\\b.*?</style\\s*>', chr(10), 'g'),
+  '(?i)\\n|</?(?:BLOCKS)\\b[^>]*>'), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'), ' ')), lambda x: x <> '') as lines from pages),
+k as (select *, array_to_string(lines, chr(10)) as page from h),
+t as (select host, count(distinct page) as host_pages from k group by host),
+c as (select host, line, count(distinct page) as n from (select host, page, unnest(lines) as line from k) group by host, line),
+b as (select c.host, list(c.line) as gone from c join t on c.host is not distinct from t.host where n >= 3 and n > 0.1::double * host_pages group by c.host),
+o as (select page_id, k.host, lines, list_filter(lines, lambda x: not list_contains(coalesce(gone, []), x)) as kept from k left join b on k.host is not distinct from b.host)
+select page_id, host, len(lines)::bigint as n_lines, (len(lines) - len(kept))::bigint as n_dropped, array_to_string(kept, chr(10)) as text from o""".replace("BLOCKS", BLOCKS)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_top_k": TOP_K_SQL, "op10_line_dedup": LINE_SQL}
