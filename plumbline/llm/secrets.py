@@ -55,35 +55,45 @@ MORE = [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once: inside higher-order functions, a named column would be repeated."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def running(lengths: Column) -> Column:
     """Running sums of an array, by blocks of about its size's root, so that long arrays don't cost their square."""
-    n = F.size(lengths)
-    block = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y.cast("long"))
-    sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, block)))
 
-    def block_sums(b: Column) -> Column:
-        before = total(F.slice(sums, F.lit(1), b))
-        own = F.slice(lengths, b * block + 1, block)
-        return F.transform(own, lambda _, i: before + total(F.slice(own, F.lit(1), i + 1)))
+    def blocks(every: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(every).cast("double"))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / width).cast("int")), lambda b: F.slice(every, b * width + 1, width))
+
+    def sums(parts: Column) -> Column:
+        def own_sums(part: Column, b: Column, totals: Column) -> Column:
+            before = total(F.slice(totals, F.lit(1), b))
+            return let(before, lambda base: F.transform(part, lambda _, i: base + total(F.slice(part, F.lit(1), i + 1))))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), block_sums))
+        return let(F.transform(parts, total), lambda totals: F.flatten(F.transform(parts, lambda part, b: own_sums(part, b, totals))))
+
+    return let(lengths, lambda every: let(blocks(every), sums))
 
 
 def spans_of_kind(text: Column, kind: Kind, place: int) -> Column:
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)) if kind.group else found
-    steps = F.zip_with(F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(found)), found, lambda a, b: F.length(a) + F.length(b))
-    rows = F.arrays_zip(running(steps).alias("end"), found.alias("whole"), values.alias("value"))
+    every = lambda group: F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(group))
 
     def shaped(x: Column) -> Column:
         start = (x["end"] - F.length(x["whole"])).cast("long")
         return F.struct(start.alias("start"), F.lit(place).alias("kind"), x["end"].cast("long").alias("end"), x["value"].alias("value"))
 
-    spans = F.filter(F.transform(rows, shaped), lambda x: F.length(x["value"]) >= kind.least)
+    def placed(found: Column) -> Column:
+        between = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(found))
+        steps = F.zip_with(between, found, lambda a, b: F.length(a) + F.length(b))
+        rows = F.arrays_zip(running(steps).alias("end"), found.alias("whole"), (every(kind.group) if kind.group else found).alias("value"))
+        return F.filter(F.transform(rows, shaped), lambda x: F.length(x["value"]) >= kind.least)
+
     has = text.rlike(kind.pattern) if kind.needs is None else text.contains(kind.needs) & text.rlike(kind.pattern)
-    return F.when(has, spans).otherwise(none)
+    return F.when(has, let(every(0), placed)).otherwise(none)
 
 
 def spans_of(text: Column, kinds: list[Kind]) -> Column:
