@@ -90,17 +90,22 @@ class Pair:
         return at & ~self.own
 
 
-def rows_of(pair: Pair, scores: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+def rows_of(pair: Pair, scores: np.ndarray, keep: np.ndarray, k: int) -> pa.RecordBatch:
+    """The block's k best of the entries to keep for each query, so that ties at the cutoff stay few."""
     q, x = np.nonzero(keep)
+    order = np.lexsort((pair.xid[x], -scores[q, x], q))
+    q, x = q[order], x[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    q, x = q[place < k], x[place < k]
     return pa.RecordBatch.from_pydict({"query_id": pair.qid[q], "vec_id": pair.xid[x], "score": pa.array(scores[q, x].astype(np.int64))})
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every query, all if fewer. is_query: over id_col."""
-    rows = written(quantized(embeddings, scale, id_col, vector_col), "topk-vectors")
+    rows = written(quantized(embeddings, scale, id_col, vector_col).distinct(), "topk-vectors")
     blocks = written(packed(rows, ROWS_A_BLOCK), "topk-blocks")
     asked = rows.join(embeddings.where(is_query).select(F.col(id_col).cast("long").alias("asked")).distinct(), F.col("id") == F.col("asked"), "left_semi")
-    queries = written(packed(asked.repartition(1 + asked.count() // QUERIES_A_BLOCK, "id").dropDuplicates(["id", "vector"]), QUERIES_A_BLOCK), "topk-queries")
+    queries = written(packed(asked.repartition(1 + asked.count() // QUERIES_A_BLOCK, "id"), QUERIES_A_BLOCK), "topk-queries")
     groups = max(1, blocks.count())
     asks = queries.select("dims", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     pairs = asks.join(blocks.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")), ["dims", "group"])
@@ -143,7 +148,7 @@ def _ranked(pairs: DataFrame, queries: DataFrame, cutoffs: DataFrame, k: int) ->
                 cutoff = np.array([-np.inf if c["cutoff"] is None else c["cutoff"] for c in row["cut"]], float)
                 scores = pair.complete(pair.reach(cutoff))
                 keep = np.isfinite(scores) & (scores >= cutoff[:, None])
-                yield rows_of(pair, scores, keep)
+                yield rows_of(pair, scores, keep, k)
 
     found = given.mapInArrow(second, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
