@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,7 @@ from plumbline.llm.tokens import segments, units
 
 #: Longest piece, in bytes, that is merged directly; longer ones are halved.
 LEAF = 24
+NO_RANK = 1 << 62
 KEPT_UNITS = 300_000
 
 
@@ -37,22 +39,22 @@ class TreeCodec:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.stable = lru_cache(maxsize=100_000)(self._stable)
+        #: Ids of pieces, packed ids and bytes of units, for those that the worker has seen of late.
+        self.pieces: dict[str, list[int]] = {}
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
     def _merge(self, piece: bytes) -> list[int]:
-        """Lowest rank first, leftmost first, over a short piece."""
-        ranks = self.ranks
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        """Lowest rank first, leftmost first, over a short piece: each merge changes two neighbouring ranks."""
+        ranks, get, cut = self.ranks, self.ranks.get, list(range(len(piece) + 1))
+        pair = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+        while pair and (low := min(pair)) != NO_RANK:
+            i = pair.index(low)
+            del cut[i + 1], pair[i]
+            if i < len(pair):
+                pair[i] = get(piece[cut[i] : cut[i + 2]], NO_RANK)
+            if i:
+                pair[i - 1] = get(piece[cut[i - 1] : cut[i + 1]], NO_RANK)
+        return [ranks[piece[a:b]] for a, b in zip(cut, cut[1:])]  # noqa: B905
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same over a long window, with a heap."""
@@ -122,8 +124,13 @@ class TreeCodec:
         return self.decode_tree(ids[:half]) + self.decode_tree(ids[half:])
 
     def unit(self, text: str) -> tuple[bytes, bytes]:
-        ids = [i for p in self.pattern.findall(text) for i in self.encode_piece(p.encode("utf-8", "surrogatepass"))]
-        return np.array(ids, "<u4").tobytes(), self.decode_tree(ids)
+        ids: list[int] = []
+        for p in self.pattern.findall(text):
+            own = self.pieces.get(p)
+            if own is None:
+                own = self.pieces[p] = self.encode_piece(p.encode("utf-8", "surrogatepass"))
+            ids += own
+        return struct.pack(f"<{len(ids)}I", *ids), self.decode_tree(ids)
 
     def parts(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """Packed ids and decoded bytes of the text, segment by segment."""
@@ -131,6 +138,7 @@ class TreeCodec:
         for segment in segments(text):
             if len(known) > KEPT_UNITS:
                 known.clear()
+                self.pieces.clear()
             own = units(segment)
             for u in set(own).difference(known):
                 known[u] = self.unit(u)
