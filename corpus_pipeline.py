@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.bpe_tree import encode
-from plumbline.llm.common import shared_folder, table
+from plumbline.llm.common import share_package, shared_folder, table
 from plumbline.llm.line_dedup import document_line_dedup
 from plumbline.llm.minhash import without_near_duplicates
 from plumbline.llm.mixing import mixed_documents
@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "documents")
+    share_package(spark)
     return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

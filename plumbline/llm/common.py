@@ -17,9 +17,13 @@ BLANKS = r"\x20\x09-\x0D"
 _local_folder: list[str] = []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Reads one table and lets Python workers import this package from where the driver has it."""
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

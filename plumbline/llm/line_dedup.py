@@ -51,11 +51,12 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
     return joined.where(F.col("n_pages") > ratio * F.col("host_pages"))
 
 
-def drop_lines(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def drop_lines(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO, least: int = LEAST, cut_again: bool = False) -> DataFrame:
     """df with _lines (those kept), _n_lines and _n_dropped added.
 
     The keys of the lines, not their text, go through the shuffles that find boilerplate; the lines to drop come back
-    as one array of keys for each distinct page.
+    as one array of keys for each distinct page. cut_again: the lines are made anew from df's columns after that join
+    instead of moving beside them.
     """
     rows = df.select("*", host.alias("_host"), lines.alias("_all"))
     rows = rows.withColumn("_keys", F.transform(F.filter("_all", lambda x: x != ""), line_key)).withColumn("_page", F.xxhash64(F.array_join("_all", "\n")))
@@ -65,7 +66,11 @@ def drop_lines(df: DataFrame, host: Column, lines: Column, ratio: float = RATIO,
     gone = drop.select(F.col("host").alias("at"), F.col("key").alias("k"))
     hits = hits.join(gone, F.col("host").eqNullSafe(F.col("at")) & (F.col("key") == F.col("k")), "left_semi")
     by_page = hits.groupBy(F.col("host").alias("_of"), F.col("page").alias("_on")).agg(F.collect_set("key").alias("_gone"))
+    if cut_again:
+        rows = rows.drop("_all", "_keys")
     joined = rows.join(by_page, F.col("_host").eqNullSafe(F.col("_of")) & (F.col("_page") == F.col("_on")), "left")
+    if cut_again:
+        joined = joined.withColumn("_all", lines)
     none = F.array().cast("array<bigint>")
     kept = F.filter("_all", lambda x: ~F.array_contains(F.coalesce("_gone", none), line_key(x)) | (x == ""))
     out = joined.withColumn("_lines", F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(kept))
@@ -88,7 +93,7 @@ def page_line_dedup(pages: DataFrame, ratio: float = RATIO, least: int = LEAST,
 def document_line_dedup(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, source_col: str = "source", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The rows of docs, all columns, without boilerplate lines of their source; length_col is counted anew."""
     own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    out = drop_lines(own, F.col(f"row.{source_col}"), text_lines(F.col(f"row.{text_col}")), ratio, least)
+    out = drop_lines(own, F.col(f"row.{source_col}"), text_lines(F.col(f"row.{text_col}")), ratio, least, cut_again=True)
     text = F.when(F.col("_n_dropped") > 0, F.array_join("_lines", "\n")).otherwise(F.col(f"row.{text_col}"))
     values = {text_col: text} | ({length_col: F.length(text).cast(docs.schema[length_col].dataType)} if length_col else {})
     return out.select(*[values.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
