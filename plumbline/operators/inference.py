@@ -42,17 +42,28 @@ def bootstrap_r2(df: DataFrame, cluster: str, y: str, base: str, full: str, repl
     return r.agg(F.count(F.lit(1)).alias("replicates"), *[F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("r_full", "r_inc") for name, q in (("low", t), ("high", 1 - t))])
 
 
+#: Bins of equal width that a score's range is cut into before it is ranked.
+BINS = 4096
+
+
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """n_positive, n_negative, auc by the rank sum over distinct scores: ties count half.
 
-    Scores are summed up before they are ranked, so that the running sum is over distinct scores in range partitions'
-    order rather than over rows.
+    Scores are summed up by distinct value, then ranked within bins of the score's range; what lies below a bin is a
+    running sum over at most BINS + 1 rows, which are broadcast. So no task sees all scores.
     """
-    at = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = at.withColumn("win", F.col("p") * (below + F.col("q") / F.lit(2.0).cast("double")))
-    s = wins.agg(F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"), F.sum("win").alias("w"))
-    return s.select("n_positive", "n_negative", F.try_divide("w", F.col("n_positive").cast("double") * F.col("n_negative")).alias("auc"))
+    at = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    ends = at.agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    place = F.least(F.floor((F.col("s") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * BINS), F.lit(BINS))
+    at = at.join(F.broadcast(ends)).withColumn("bin", F.coalesce(place, F.lit(0)).cast("int")).drop("low", "high")
+    bins = at.groupBy("bin").agg(F.sum("q").alias("bin_q"))
+    under = F.sum("bin_q").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.select(F.col("bin").alias("of"), F.coalesce(under, F.lit(0)).alias("under"))
+    inside = F.sum("q").over(Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
+    wins = at.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(bins), F.col("bin") == F.col("of"))
+    wins = wins.withColumn("win", F.col("p") * (F.col("under") + F.col("inside") + F.col("q").cast("double") / 2))
+    total = wins.agg(F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"), F.sum("win").alias("w"))
+    return total.select("n_positive", "n_negative", F.try_divide("w", F.col("n_positive").cast("double") * F.col("n_negative")).alias("auc"))
 
 
 def weighted_auc(df: DataFrame, by: str, label: str, score: str, weight: str) -> DataFrame:
