@@ -5,11 +5,15 @@ candidates, then only their BITS low bits are kept, packed as bit planes in long
 minima of two texts is a bit count and the similarity follows by correcting for chance agreements, 1 / 2**BITS.
 
 1. Rows with equal sets are one class; its smallest id stands for it. Copies, however many, cost one row from here.
-2. Candidates: in every band bucket each class meets the bucket's centre only. Pairs whose sizes or corrected
-   estimate (five standard errors below the threshold) rule them out go; the others are confirmed on full sets.
-3. Components of the confirmed links. Buckets whose classes are in several components get another round with another
-   centre; after CENTRES rounds, all their pairs between different components are candidates. So every candidate pair
-   is confirmed, ruled out, or already connected, and a group of near copies never emits all its pairs.
+2. Candidates: in every band bucket each class meets the bucket's centre only, the class with the smallest share of
+   shingles that no other candidate class has. Pairs go that are ruled out by their sizes, by those own shingles, or
+   by a corrected estimate five standard errors below the threshold; the others are confirmed on full sets.
+   What a pair's confirmation leaves is each set as its centre's set less some shingles and with some others.
+3. Components of the confirmed links. In buckets whose classes are in several components, all pairs between different
+   components are candidates. Two sets that are known by their differences from one centre are compared by these
+   short lists, inside the join, which gives links only; the other pairs, between sets unlike their centre, are
+   confirmed on full sets. So every candidate pair is confirmed, ruled out, or already connected, and a group of near
+   copies doesn't emit its pairs: those far from the centre have too many shingles of their own to be candidates.
 
 Cases: null, empty and blank texts have no set and link with nothing; a text of fewer words than a shingle is one
 shingle; rows that share an id are one document with several texts, linked through that id; a null id takes part in
@@ -33,8 +37,6 @@ from plumbline.llm.components import components
 
 ROWS, BANDS = 5, 25
 HASHES, BITS = 128, 4
-#: Rounds in which a bucket's members meet one centre, before the pairs left between components are all taken.
-CENTRES = 3
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -166,12 +168,17 @@ def estimate(a: str, b: str) -> Column:
 
 
 def plausible(percent: int, a: str, b: str) -> Column:
-    """What pairs may reach the threshold: sizes allow it, and the estimate is not five standard errors below."""
+    """What pairs may reach the threshold.
+
+    Two sets share at most what each has beside its own shingles, n - u; this bounds their similarity exactly, sizes
+    included. And the estimate must not be five standard errors below the threshold.
+    """
     s = percent / 100
     chance = s + (1 - s) / 2**BITS
     error = (chance * (1 - chance) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
-    fits = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
-    return fits & (estimate(f"{a}planes", f"{b}planes") >= s - 5 * error)
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    most = F.least(n - F.col(f"{a}u"), m - F.col(f"{b}u"))
+    return (100 * most >= percent * (n + m - most)) & (estimate(f"{a}planes", f"{b}planes") >= s - 5 * error)
 
 
 class Groups:
@@ -183,60 +190,78 @@ class Groups:
         # Equal sets have equal sketches, so any of a class will do: min() takes one without a sort.
         classes = self.rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("smallest"), F.min("bands").alias("bands"), F.min("planes").alias("planes"))
         self.classes = written(classes.withColumn("node", F.xxhash64("k1", "k2", "n")), "minhash-classes")
-        self.members = self.classes.select("node", "n", "planes", F.explode("bands").alias("band"))
-
-    def buckets(self) -> DataFrame:
-        """Members of buckets that hold several classes, and each bucket's size."""
-        shared = self.members.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("band")
-        return written(self.members.join(shared, "band", "left_semi"), "minhash-buckets")
-
-    def star(self, members: DataFrame, turn: int) -> DataFrame:
-        """Plausible pairs of each member with its bucket's centre, the member with the lowest hash of this turn."""
-        order = F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node").alias("cnode"), F.col("n").alias("cn"), F.col("planes").alias("cplanes"))
-        centre = members.groupBy("band").agg(F.min(order).alias("c")).select(F.col("band").alias("cband"), "c.*").drop("order")
-        pairs = members.join(centre, (F.col("band") == F.col("cband")) & (F.col("node") != F.col("cnode")) & plausible(self.percent, "", "c"))
-        return pairs.select(F.col("node").alias("a"), F.col("cnode").alias("b"))
-
-    def between(self, members: DataFrame) -> DataFrame:
-        """Plausible pairs of members of a bucket that are in different components."""
-        other = members.select(*[F.col(c).alias(f"c{c}") for c in ("band", "node", "n", "planes", "label")])
-        apart = (F.col("band") == F.col("cband")) & (F.col("label") < F.col("clabel"))
-        return members.join(other, apart & plausible(self.percent, "", "c")).select(F.col("node").alias("a"), F.col("cnode").alias("b"))
-
-    def confirmed(self, pairs: DataFrame, turn: int) -> DataFrame:
-        """The pairs whose full sets reach the threshold. Only texts of classes in a pair are read as sets."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
-        chosen = self.classes.join(nodes, F.col("node") == F.col("need"), "left_semi").select("node", "k1", "k2", "n", F.col("smallest").alias("of"))
-        # One text for each class: a row of its smallest id, by id first, so that only those rows' texts move.
+        bands = self.classes.select("node", F.explode("bands").alias("band"))
+        shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("band")
+        self.shared = written(bands.join(shared, "band", "left_semi"), "minhash-shared")
+        self.candidates = written(self.shared.select("node").distinct(), "minhash-candidates")
+
+    def sets(self) -> DataFrame:
+        """node, n, shingles of the classes that share a bucket with another: the only ones whose sets are needed."""
+        chosen = written(self.classes.join(self.candidates, "node", "left_semi").select("node", "k1", "k2", "n", F.col("smallest").alias("of")), "minhash-chosen")
+        # One text for each class: rows of its smallest id, by id first, so that only those rows' texts move.
         texts = self.docs.select(F.col(self.id_col).cast("long").alias("mid"), F.col(self.text_col).alias("mtext"))
         texts = texts.join(chosen.select("of").distinct(), F.col("mid").eqNullSafe(F.col("of")), "left_semi")
-        sets = full_sets(texts, self.words, "mid", "mtext").dropDuplicates(["k1", "k2", "n"])
-        sets = written(chosen.join(sets, ["k1", "k2", "n"]).select("node", "n", "shingles"), f"minhash-sets{turn}")
+        sets = full_sets(texts, self.words, "mid", "mtext").withColumn("at", F.xxhash64("k1", "k2", "n"))
+        keys = chosen.select("node", F.col("n").alias("size"))
+        one = sets.join(keys, F.col("at") == F.col("node")).select("node", F.col("size").alias("n"), "shingles")
+        return written(one.dropDuplicates(["node"]), "minhash-sets")
+
+    def members(self, sets: DataFrame) -> DataFrame:
+        """band, node, n, u, planes of every place in a shared bucket; u: shingles that no other candidate class has."""
+        once = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("own")).where("times = 1")
+        own = once.groupBy("own").agg(F.count(F.lit(1)).alias("u"))
+        facts = self.classes.select("node", "n", "planes").join(self.candidates, "node", "left_semi").join(own, F.col("node") == F.col("own"), "left")
+        facts = written(facts.select("node", "n", F.coalesce("u", F.lit(0)).cast("long").alias("u"), "planes"), "minhash-facts")
+        return written(self.shared.join(facts, "node"), "minhash-members")
+
+    def centres(self, members: DataFrame) -> DataFrame:
+        """cband and the facts of its centre: cnode, cn, cu, cplanes."""
+        order = F.struct((F.col("u") / F.col("n")).alias("share"), F.col("node").alias("cnode"), F.col("n").alias("cn"), F.col("u").alias("cu"), F.col("planes").alias("cplanes"))
+        return members.groupBy("band").agg(F.min(order).alias("c")).select(F.col("band").alias("cband"), "c.*").drop("share")
+
+    def star(self, members: DataFrame, centres: DataFrame) -> DataFrame:
+        """Plausible pairs of each member with its bucket's centre."""
+        pairs = members.join(centres, (F.col("band") == F.col("cband")) & (F.col("node") != F.col("cnode")) & plausible(self.percent, "", "c"))
+        return pairs.select(F.col("node").alias("a"), F.col("cnode").alias("b")).distinct()
+
+    def compared(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """a, b, less and more (a's set is b's less the one and with the other), link (the full sets reach the threshold)."""
         left = sets.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("shingles").alias("as"))
         right = sets.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("shingles").alias("bs"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("as", "bs")).cast("long"))
-        return written(both.where(100 * F.col("same") >= self.percent * (F.col("an") + F.col("bn") - F.col("same"))).select("a", "b"), f"minhash-links{turn}")
+        both = pairs.join(left, "a").join(right, "b").withColumn("less", F.array_except("bs", "as")).withColumn("more", F.array_except("as", "bs"))
+        same = (F.col("bn") - F.size("less")).cast("long")
+        return written(both.select("a", "b", "less", "more", (100 * same >= self.percent * (F.col("an") + F.col("bn") - same)).alias("link")), name)
+
+    def between(self, members: DataFrame) -> DataFrame:
+        """a, b, exact: pairs of members of a bucket in different components. Exact ones are links, others plausible."""
+        other = members.select(*[F.col(c).alias(f"c{c}") for c in ("band", "node", "n", "u", "planes", "label", "less", "more")])
+        apart = (F.col("band") == F.col("cband")) & (F.col("label") < F.col("clabel"))
+        exact = F.col("less").isNotNull() & F.col("cless").isNotNull()
+        same = F.col("centre_n") - F.size(F.array_union("less", "cless")) + F.size(F.array_intersect("more", "cmore"))
+        reach = 100 * same >= self.percent * (F.col("n") + F.col("cn") - same)
+        pairs = members.join(other, apart & plausible(self.percent, "", "c") & F.when(exact, reach).otherwise(True))
+        return pairs.select(F.col("node").alias("a"), F.col("cnode").alias("b"), exact.alias("exact")).distinct()
 
     def links(self) -> DataFrame:
         """Confirmed links between classes that connect all that candidates can connect."""
-        members, tried, links, turn = self.buckets(), None, None, 0
-        while not members.isEmpty():
-            last = turn == CENTRES
-            pairs = self.between(members) if last else self.star(members, turn)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            fresh = written(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"), "minhash-tried")
-            found = self.confirmed(fresh, turn)
-            links = found if links is None else links.union(found)
-            tried = fresh if tried is None else tried.union(fresh)
-            if last:
-                break
-            turn += 1
-            labels = components(links).select(F.col("node").alias("lnode"), F.col("label").alias("llabel"))
-            named = members.drop("label").join(labels, F.col("node") == F.col("lnode"), "left").withColumn("label", F.coalesce("llabel", "node")).drop("lnode", "llabel")
-            named = written(named, "minhash-named")
-            apart = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-            members = written(named.join(apart, "band", "left_semi"), "minhash-apart")
-        return links if links is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        sets = self.sets()
+        members = self.members(sets)
+        centres = written(self.centres(members), "minhash-centres")
+        near = self.compared(self.star(members, centres), sets, "minhash-near")
+        links = near.where("link").select("a", "b")
+        labels = components(links).select(F.col("node").alias("lnode"), F.col("label").alias("llabel"))
+        named = members.join(labels, F.col("node") == F.col("lnode"), "left").withColumn("label", F.coalesce("llabel", "node")).drop("lnode", "llabel")
+        named = written(named, "minhash-named")
+        apart = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+        mixed = named.join(apart, "band", "left_semi").join(centres.select(F.col("cband").alias("band"), "cnode", F.col("cn").alias("centre_n")), "band")
+        known = near.select(F.col("a").alias("node"), F.col("b").alias("cnode"), "less", "more")
+        mixed = mixed.join(known, ["node", "cnode"], "left")
+        none = F.array().cast("array<bigint>")
+        for c in ("less", "more"):
+            mixed = mixed.withColumn(c, F.when(F.col("node") == F.col("cnode"), none).otherwise(F.col(c)))
+        pairs = written(self.between(written(mixed.drop("cnode"), "minhash-mixed")), "minhash-between")
+        far = self.compared(pairs.groupBy("a", "b").agg(F.bool_or("exact").alias("exact")).where("not exact").select("a", "b"), sets, "minhash-far")
+        return links.union(pairs.where("exact").select("a", "b")).union(far.where("link").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

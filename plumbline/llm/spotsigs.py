@@ -1,7 +1,6 @@
 """Operator 8: document fingerprints by SpotSigs, in DataFrame functions only.
 
-A signature is a chain of CHAIN content words that follow a common-word anchor, with the common words between them as
-they stand. A document's fingerprint is its set of distinct signatures, hashed, in order. Two fingerprints compare by
+A signature is a common-word anchor with the chain of the next CHAIN content words after it. A document's fingerprint is its set of distinct signatures, hashed, in order. Two fingerprints compare by
 the Jaccard similarity of the sets; sets whose lengths alone keep them below a threshold are never compared, which
 partitions by set length, and only the rarest signatures of a set have to meet.
 
@@ -35,19 +34,30 @@ CHAIN = 2
 WINDOW_ROWS, MOST_WINDOWS = 512, 100_000
 
 
-def _chains(anchors: list[str], chain: int) -> str:
-    common = "|".join(sorted(set(anchors), key=lambda w: (-len(w), w)))
-    word = f"(?:(?:{common}) )*+\\p{{L}}++ "
-    return f"(?<= )(?=((?:{common}) (?:{word}){{{chain}}}))"
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once: inside higher-order functions, a named column would be repeated."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
 def signatures(text: Column, anchors: list[str] | None = None, chain: int = CHAIN) -> Column:
     """The sorted distinct hashes of a text's signatures, array<int>."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^\\p{L}]+", " "), F.lit(" "))
-    found = F.regexp_extract_all(words, F.lit(_chains(anchors or ANCHORS, chain)), F.lit(1))
-    hashed = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.hash(x))))
-    whole = F.when(F.trim(words) == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(F.trim(words))))
-    return F.when(F.size(hashed) > 0, hashed).otherwise(whole)
+    common = sorted(set(anchors or ANCHORS))
+
+    def of(words: Column) -> Column:
+        content = F.filter(words, lambda x: ~x.isin(common))
+        at = F.filter(F.transform(words, lambda x, i: F.struct(x.alias("word"), i.alias("i"))), lambda a: a["word"].isin(common))
+
+        def chains(content: Column) -> Column:
+            # i - j content words stand before the j-th anchor, which is word i: there its chain begins.
+            starts = F.transform(at, lambda a, j: F.struct(a["word"].alias("word"), (a["i"] - j).alias("k")))
+            full = F.filter(starts, lambda a: a["k"] + chain <= F.size(content))
+            return F.transform(full, lambda a: F.hash(a["word"], *[F.get(content, a["k"] + c) for c in range(chain)]))
+
+        found = let(content, chains)
+        whole = F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.array(F.hash(F.array_join(words, " "))))
+        return let(found, lambda f: F.when(F.size(f) > 0, F.array_sort(F.array_distinct(f))).otherwise(whole))
+
+    return let(F.filter(F.split(F.lower(text), "[^\\p{L}]+"), lambda x: x != ""), of)
 
 
 def written_out(sigs: Column) -> Column:
