@@ -29,7 +29,8 @@ from plumbline.llm.tokens import segments, units
 #: Longest piece, in bytes, that is merged directly; longer ones are halved.
 LEAF = 24
 NO_RANK = 1 << 62
-KEPT_UNITS = 300_000
+#: Pieces and units that a worker remembers at most, beside those of one segment.
+KEPT = 150_000
 
 
 class TreeCodec:
@@ -38,10 +39,10 @@ class TreeCodec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.stable = lru_cache(maxsize=100_000)(self._stable)
-        #: Ids of pieces, packed ids and bytes of units, for those that the worker has seen of late.
-        self.pieces: dict[str, list[int]] = {}
+        self.stable = lru_cache(maxsize=50_000)(self._stable)
+        #: Packed ids and decoded bytes of pieces and units seen of late, and of those before; used ones come back.
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def _merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost first, over a short piece: each merge changes two neighbouring ranks."""
@@ -123,25 +124,28 @@ class TreeCodec:
         half = len(ids) // 2
         return self.decode_tree(ids[:half]) + self.decode_tree(ids[half:])
 
-    def unit(self, text: str) -> tuple[bytes, bytes]:
-        ids: list[int] = []
-        for p in self.pattern.findall(text):
-            own = self.pieces.get(p)
-            if own is None:
-                own = self.pieces[p] = self.encode_piece(p.encode("utf-8", "surrogatepass"))
-            ids += own
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode_tree(ids)
+    def look_up(self, text: str, is_piece: bool = False) -> tuple[bytes, bytes]:
+        """Packed ids and decoded bytes of a piece or unit; those of a unit are its pieces', one after the other."""
+        found = self.known.get(text) or self.older.get(text)
+        if found is None:
+            parts = [text] if is_piece else self.pattern.findall(text)
+            if parts == [text]:
+                ids = self.encode_piece(text.encode("utf-8", "surrogatepass"))
+                found = struct.pack(f"<{len(ids)}I", *ids), self.decode_tree(ids)
+            else:
+                own = [self.look_up(p, is_piece=True) for p in parts]
+                found = b"".join([f[0] for f in own]), b"".join([f[1] for f in own])
+        self.known[text] = found
+        return found
 
     def parts(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """Packed ids and decoded bytes of the text, segment by segment."""
-        known = self.known
         for segment in segments(text):
-            if len(known) > KEPT_UNITS:
-                known.clear()
-                self.pieces.clear()
-            own = units(segment)
+            if len(self.known) > KEPT // 2:
+                self.known, self.older = {}, self.known
+            own, known = units(segment), self.known
             for u in set(own).difference(known):
-                known[u] = self.unit(u)
+                self.look_up(u)
             found = [known[u] for u in own]
             yield b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
 

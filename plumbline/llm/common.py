@@ -14,12 +14,21 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: Spaces of the word rules that name \x20 and \x09-\x0D, inside a character class.
 BLANKS = r"\x20\x09-\x0D"
 
+#: Bytes of one batch that goes to a Python worker, so that a worker's memory doesn't follow the texts' lengths.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
 _local_folder: list[str] = []
 
 
 def share_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and read it in small batches.
+
+    A batch size that the job has set itself stays.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    name, size = BATCH_BYTES
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
