@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -54,6 +55,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bits of a key filter: what it broadcasts is 16 MB at most, however many keys there are.
+FILTER_BITS = 1 << 27
+
+
+def likely_among(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in the one column of keys, and few others: what a join may then shuffle instead of all.
+
+    Keys are hashed into a bitmap of 16 bits a key, so that at most one in 16 other rows stays; above FILTER_BITS more of
+    them stay, none of the keys' own ever goes. A null key counts as one more key.
+    """
+    bits = 1 << 15
+    n = keys.count()
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+
+    def place(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(bits))
+
+    at = place(F.col(keys.columns[0]))
+    maps = keys.select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    bit = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    inside = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))) != 0
+    # A written table: the plan above it doesn't repeat the grouping, and its size is the bitmap's.
+    maps = written(maps, "key-filter")
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col("_bucket")).where(inside).select(*rows.columns)
+
+
 def in_pieces(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters each, at least one text a range."""
     start, total = 0, 0

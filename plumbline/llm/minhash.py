@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_pieces, written
+from plumbline.llm.common import in_pieces, likely_among, written
 from plumbline.llm.components import components
 
 ROWS, BANDS = 5, 25
@@ -200,7 +200,8 @@ class Groups:
         chosen = written(self.classes.join(self.candidates, "node", "left_semi").select("node", "k1", "k2", "n", F.col("smallest").alias("of")), "minhash-chosen")
         # One text for each class: rows of its smallest id, by id first, so that only those rows' texts move.
         texts = self.docs.select(F.col(self.id_col).cast("long").alias("mid"), F.col(self.text_col).alias("mtext"))
-        texts = texts.join(chosen.select("of").distinct(), F.col("mid").eqNullSafe(F.col("of")), "left_semi")
+        of = written(chosen.select("of").distinct(), "minhash-of")
+        texts = likely_among(texts, F.col("mid"), of).join(of, F.col("mid").eqNullSafe(F.col("of")), "left_semi")
         sets = full_sets(texts, self.words, "mid", "mtext").withColumn("at", F.xxhash64("k1", "k2", "n"))
         keys = chosen.select("node", F.col("n").alias("size"))
         one = sets.join(keys, F.col("at") == F.col("node")).select("node", F.col("size").alias("n"), "shingles")
