@@ -94,3 +94,13 @@ def fold_line(df: DataFrame, x: str, y: str, fold: str) -> DataFrame:
     slope = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
     lines = t.withColumn("slope", slope).select("lf", "slope", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), F.col("n").cast("double")).alias("intercept"))
     return df.join(F.broadcast(lines), F.col(fold) == F.col("lf")).withColumn("fitted", F.col("intercept") + F.col("slope") * F.col(x)).drop("lf", "slope", "intercept")
+
+
+def fold_fit(df: DataFrame, columns: list[str], y: str, fold: str) -> DataFrame:
+    """df with fitted: y on all columns together, with an intercept, through all other folds' rows. One row a fold is joined."""
+    found = Sums(df, y, columns, fold).found.get("all", {})
+    total, last = sum(found.values()), len(columns) + 1
+    betas = [(k, np.linalg.lstsq((total - own)[:last, :last], (total - own)[:last, last], rcond=None)[0].tolist()) for k, own in found.items()] if len(found) > 1 else []
+    fits = df.sparkSession.createDataFrame(betas, "lf long, beta array<double>")
+    fitted = sum((F.col("beta")[i + 1] * F.col(c) for i, c in enumerate(columns)), F.col("beta")[0])
+    return df.join(F.broadcast(fits), F.col(fold) == F.col("lf")).withColumn("fitted", fitted).drop("lf", "beta")

@@ -396,9 +396,18 @@ wt as (select replicate, sum(times*n) n, sum(times*sy) sy, sum(times*syy) syy, s
 rr as (select 1-ef/(syy-sy*sy/n) as rf, 1-ef/(syy-sy*sy/n)-greatest(1-eb/(syy-sy*sy/n), 0) as ri from wt)
 select count(*) as replicates, round(quantile_cont(rf, 0.025), 6) as r_full_low, round(quantile_cont(rf, 0.975), 6) as r_full_high, round(quantile_cont(ri, 0.025), 6) as r_inc_low, round(quantile_cont(ri, 0.975), 6) as r_inc_high from rr""")
 def cluster_bootstrap_r2(spark, folder):
+    """A quarter of the customers, and lines without age, as its SQL has them; cluster_bootstrap_r2_whole has neither limit."""
     return inference.bootstrap_r2(_fitted(spark, folder), "o_custkey", "y", "base", "full", REPLICATES)
 
 
+@query(None)
+def cluster_bootstrap_r2_whole(spark, folder):
+    """All customers; full is age and lines fitted together, so that r_inc is what lines add to age."""
+    f = regression.fold_fit(order_features(spark, folder), ["age"], "y", "fold").withColumnRenamed("fitted", "base")
+    f = regression.fold_fit(f, ["age", "lines"], "y", "fold").withColumnRenamed("fitted", "full")
+    return inference.bootstrap_r2(f, "o_custkey", "y", "base", "full", REPLICATES)
+
+
 LABELLED = "lb as (select d.doc_id, d.doc_id // 3 as cluster, toxic as label, (n_chars % 50)::double as base, (n_chars % 50 + 20 * toxic)::double as ful from documents d join labels l on d.doc_id = l.doc_id)"
 
 
