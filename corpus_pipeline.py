@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.bpe_tree import encode
 from plumbline.llm.common import share_package, shared_folder, table
-from plumbline.llm.line_dedup import document_line_dedup
+from plumbline.llm.line_dedup import DOCUMENT_RATIO, document_line_dedup
 from plumbline.llm.minhash import without_near_duplicates
 from plumbline.llm.mixing import mixed_documents
 from plumbline.llm.toxicity import without_toxic
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of a source's documents go; a source stands for a site."""
-    return document_line_dedup(docs, length_col="n_chars")
+    """Lines on more than a hundredth of a source's documents, three at least, go."""
+    return document_line_dedup(docs, ratio=DOCUMENT_RATIO, length_col="n_chars")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

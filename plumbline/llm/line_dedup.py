@@ -18,6 +18,8 @@ from plumbline.llm.common import written
 
 #: Share of a host's pages above which a line is boilerplate, and pages it must be on at least.
 RATIO, LEAST = 0.1, 3
+#: The share for sources of documents. A source is far wider than a host, so passages that repeat are on a few percent of it.
+DOCUMENT_RATIO = 0.01
 
 #: Elements that end a line in a page, and those whose content is no text.
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|th|title|tr|ul"
