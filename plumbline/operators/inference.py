@@ -74,13 +74,22 @@ def weighted_auc(df: DataFrame, by: str, label: str, score: str, weight: str) ->
     return s.select(by, F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.try_divide("w", F.col("n1").cast("double") * F.col("n0"))).alias("auc"))
 
 
-def delta_auc(df: DataFrame, cluster: str, label: str, base: str, full: str, replicates: int, tail: float) -> DataFrame:
-    """replicates (usable ones), low, high of AUC(full) - AUC(base) from paired cluster draws; null under half usable."""
+def auc_differences(df: DataFrame, cluster: str, label: str, base: str, full: str, replicates: int) -> DataFrame:
+    """d: AUC(full) - AUC(base) of each replicate of paired cluster draws; null where a replicate has one class only.
+
+    Equal rows of a cluster are counted first, so that each goes once into every replicate that draws the cluster.
+    """
     m = multiplicities(df, cluster, replicates)
-    rows = m.join(df.select(cluster, label, base, full), cluster)
+    own = df.groupBy(cluster, label, base, full).agg(F.count(F.lit(1)).alias("equal"))
+    rows = m.join(own.where(F.col(cluster).isNotNull()), cluster).groupBy("replicate", label, base, full).agg(F.sum(F.col("times") * F.col("equal")).alias("times"))
     a = weighted_auc(rows, "replicate", label, full, "times").withColumnRenamed("auc", "full_auc")
     b = weighted_auc(rows, "replicate", label, base, "times").select(F.col("replicate").alias("r"), F.col("auc").alias("base_auc"))
-    d = a.join(b, F.col("replicate") == F.col("r")).select((F.col("full_auc") - F.col("base_auc")).alias("d"))
+    return a.join(b, F.col("replicate") == F.col("r")).select((F.col("full_auc") - F.col("base_auc")).alias("d"))
+
+
+def delta_auc(df: DataFrame, cluster: str, label: str, base: str, full: str, replicates: int, tail: float) -> DataFrame:
+    """replicates (usable ones), low, high of AUC(full) - AUC(base) from paired cluster draws; null under half usable."""
+    d = auc_differences(df, cluster, label, base, full, replicates)
     out = d.agg(F.count("d").alias("replicates"), F.percentile("d", F.lit(tail)).alias("low"), F.percentile("d", F.lit(1 - tail)).alias("high"))
     enough = F.col("replicates") * 2 >= replicates
     return out.select("replicates", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))

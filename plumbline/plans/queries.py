@@ -15,7 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-REPLICATES = 100
+#: Bootstrap replicates of the queries with SQL, and the reference's number, which their whole forms take.
+REPLICATES, WHOLE_REPLICATES = 100, 1000
 SIGNAL = "e as (select *, epoch_us(ts)::double / 1000000.0::double as s from events)"
 TRAINING_SUMS = """g as (select fold, count(*)::double n, sum({x}) sx, sum(y) sy, sum({x}*{x}) sxx, sum({x}*y) sxy, sum(y*y) syy from f group by fold),
 t as (select a.fold, a.n, a.sx, a.sy, a.sxx, a.sxy, a.syy, (w.n-a.n) tn, (w.sx-a.sx) tx, (w.sy-a.sy) ty, (w.sxx-a.sxx) txx, (w.sxy-a.sxy) txy
@@ -405,7 +406,7 @@ def cluster_bootstrap_r2_whole(spark, folder):
     """All customers; full is age and lines fitted together, so that r_inc is what lines add to age."""
     f = regression.fold_fit(order_features(spark, folder), ["age"], "y", "fold").withColumnRenamed("fitted", "base")
     f = regression.fold_fit(f, ["age", "lines"], "y", "fold").withColumnRenamed("fitted", "full")
-    return inference.bootstrap_r2(f, "o_custkey", "y", "base", "full", REPLICATES)
+    return inference.bootstrap_r2(f, "o_custkey", "y", "base", "full", WHOLE_REPLICATES)
 
 
 LABELLED = "lb as (select d.doc_id, d.doc_id // 3 as cluster, toxic as label, (n_chars % 50)::double as base, (n_chars % 50 + 20 * toxic)::double as ful from documents d join labels l on d.doc_id = l.doc_id)"
@@ -450,6 +451,21 @@ def superiority_tost_verdict(spark, folder):
     return corrected.join(F.broadcast(plain)).select("low", better.alias("improves"), same.alias("equivalent"), inference.verdict_text(better, same).alias("verdict"))
 
 
+@query(None)
+def delta_auc_bootstrap_whole(spark, folder):
+    return inference.delta_auc(_labelled(spark, folder), "cluster", "label", "base", "full", WHOLE_REPLICATES, 0.025)
+
+
+@query(None)
+def superiority_tost_verdict_whole(spark, folder):
+    d = inference.auc_differences(_labelled(spark, folder), "cluster", "label", "base", "full", WHOLE_REPLICATES)
+    bounds = d.agg(F.count("d").alias("replicates"), *[F.percentile("d", F.lit(q)).alias(c) for c, q in (("low", segments.tail(0.95, 5)), ("pl", 0.025), ("ph", 0.975))])
+    enough = F.col("replicates") * 2 >= WHOLE_REPLICATES
+    bounds = bounds.select(*[F.when(enough, F.col(c)).alias(c) for c in ("low", "pl", "ph")])
+    better, same = inference.verdict(F.col("low"), F.lit(None).cast("double"), F.col("pl"), F.col("ph"), 0.02)
+    return bounds.select("low", better.alias("improves"), same.alias("equivalent"), inference.verdict_text(better, same).alias("verdict"))
+
+
 @query("""select label, sum(y)::bigint as positives, count(*) as n, (sum(y) >= 20 and sum(y) <= count(*) - 20) as testable from
 (select 'toxic' as label, toxic as y from labels union all select 'quality', quality from labels) where y is not null group by label""")
 def testability_gate(spark, folder):

@@ -32,13 +32,34 @@ def test_bootstrap_takes_every_customer_and_fits_full_on_age_and_lines(spark):
     y, base, full = pdf.y.to_numpy(), out_of_fold(pdf, ["age"]), out_of_fold(pdf, ["age", "lines"])
     rows = [np.flatnonzero(pdf.o_custkey == c) for c in sorted(set(pdf.o_custkey))]
     r_full, r_inc = [], []
-    for b in range(plans.REPLICATES):
+    for b in range(1000):
         at = np.concatenate([rows[i] for i in places(b, len(rows))])
         sst = ((y[at] - y[at].mean()) ** 2).sum()
         r_full.append(1 - ((y - full)[at] ** 2).sum() / sst)
         r_inc.append(r_full[-1] - max(1 - ((y - base)[at] ** 2).sum() / sst, 0))
     got = plans.QUERIES["cluster_bootstrap_r2_whole"](spark, FOLDER).collect()[0]
-    assert got["replicates"] == plans.REPLICATES
+    assert got["replicates"] == 1000
     for name, values in (("r_full", r_full), ("r_inc", r_inc)):
         assert got[f"{name}_low"] == pytest.approx(np.quantile(values, 0.025), abs=2e-6)
         assert got[f"{name}_high"] == pytest.approx(np.quantile(values, 0.975), abs=2e-6)
+
+
+def auc(score, label):
+    gap = score[label == 1][:, None] - score[label == 0][None, :]
+    return ((gap > 0) + (gap == 0) / 2).mean()
+
+
+def test_auc_queries_take_1000_replicates(spark):
+    pdf = plans._labelled(spark, FOLDER).toPandas()
+    label, base, full = pdf.label.to_numpy(), pdf.base.to_numpy(), pdf.full.to_numpy()
+    rows = [np.flatnonzero(pdf.cluster == c) for c in sorted(set(pdf.cluster))]
+    d = []
+    for b in range(1000):
+        at = np.concatenate([rows[i] for i in places(b, len(rows))])
+        if 0 < label[at].sum() < len(at):
+            d.append(auc(full[at], label[at]) - auc(base[at], label[at]))
+    got = plans.QUERIES["delta_auc_bootstrap_whole"](spark, FOLDER).collect()[0]
+    assert (got["replicates"], got["low"], got["high"]) == (len(d), pytest.approx(np.quantile(d, 0.025), abs=2e-6), pytest.approx(np.quantile(d, 0.975), abs=2e-6))
+    low, pl, ph = np.quantile(d, [0.005, 0.025, 0.975])
+    got = plans.QUERIES["superiority_tost_verdict_whole"](spark, FOLDER).collect()[0]
+    assert got["low"] == pytest.approx(low, abs=2e-6) and got["improves"] == (low > 0) and got["equivalent"] == (pl > -0.02 and ph < 0.02)
