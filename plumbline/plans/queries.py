@@ -481,7 +481,10 @@ def noise_floor(spark, folder):
 
 # Sweep
 
-SUBSETS = [["lines"], ["disc"], ["tax"], ["lines", "disc"], ["lines", "tax"], ["qty", "disc"], ["lines", "qty", "disc"], ["lines", "disc", "tax"], ["lines", "qty", "disc", "tax"]]
+FEATURES = ["lines", "qty", "disc", "tax"]
+#: Subsets of a size at most; four features have six of a size, so all 15 are taken.
+DRAWS_PER_SIZE = 20
+SUBSETS = [x for size in sweep.subset_sizes(len(FEATURES)) for x in sweep.draw_subsets(FEATURES, size, DRAWS_PER_SIZE, 0)]
 
 
 def _scores(spark, folder):
@@ -493,10 +496,34 @@ def sweep_levels(spark, folder):
     return sweep.levels(_scores(spark, folder))
 
 
+@query(None)
+def sweep_trend(spark, folder):
+    return sweep.trend(sweep.levels(_scores(spark, folder)))
+
+
+@query(None)
+def sweep_saturation(spark, folder):
+    return sweep.saturation(sweep.trend(sweep.levels(_scores(spark, folder))))
+
+
+@query(None)
+def sweep_spread(spark, folder):
+    return sweep.spread_warning(sweep.levels(_scores(spark, folder)))
+
+
+@query(None)
+def sweep_ceiling(spark, folder):
+    """value, half, refused. A row a size comes to the driver."""
+    rows = sweep.levels(_scores(spark, folder)).orderBy("k").collect()
+    fit = sweep.ceiling([r["k"] for r in rows], [r["mean"] for r in rows])
+    return spark.createDataFrame([(fit.value, fit.half, fit.refused)], "value double, half double, refused string")
+
+
 SWEEP_SQL = """lv as (select orderyear as k, avg(l) as mean from (select o_orderpriority[1]::int as orderyear, o_totalprice / 1000000.0::double as l from orders) group by 1)"""
 
 
 def _priority_levels(spark, folder):
+    """Levels as the SQL has them: mean prices by order priority, no sweep. sweep_trend, _saturation and _spread run one."""
     o = table(spark, folder, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("k"), (F.col("o_totalprice") / 1000000.0).alias("r2_full"))
     return sweep.levels(o)
 

@@ -1,9 +1,11 @@
 """Queries without SQL over whole tables, against brute force on the smallest ones."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 
-from plumbline.operators import inference
+from plumbline.operators import inference, sweep
 from plumbline.plans import queries as plans
 from plumbline.plans.frames import order_features
 
@@ -63,3 +65,31 @@ def test_auc_queries_take_1000_replicates(spark):
     low, pl, ph = np.quantile(d, [0.005, 0.025, 0.975])
     got = plans.QUERIES["superiority_tost_verdict_whole"](spark, FOLDER).collect()[0]
     assert got["low"] == pytest.approx(low, abs=2e-6) and got["improves"] == (low > 0) and got["equivalent"] == (pl > -0.02 and ph < 0.02)
+
+
+def test_sweep_takes_every_subset_and_feeds_the_verdicts(spark):
+    pdf = order_features(spark, FOLDER).toPandas()
+    y, scores = pdf.y.to_numpy(), {}
+    for k in range(1, 5):
+        for x in combinations(["lines", "qty", "disc", "tax"], k):
+            e = y - out_of_fold(pdf, ["age", *x])
+            scores.setdefault(k, []).append(1 - (e**2).sum() / ((y - y.mean()) ** 2).sum())
+    near = lambda v: pytest.approx(v, abs=2e-6)
+    got = {r["k"]: r for r in plans.QUERIES["sweep_levels"](spark, FOLDER).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {1: 4, 2: 6, 3: 4, 4: 1}
+    for k, r in got.items():
+        v = np.array(scores[k])
+        assert (r["mean"], r["sd"], r["low"], r["high"]) == (near(v.mean()), near(v.std(ddof=1) if len(v) > 1 else 0.0), near(v.min()), near(v.max()))
+    means = np.array([np.mean(scores[k]) for k in range(1, 5)])
+    tail = means[3] - means[2]
+    want = (near(np.polyfit(np.log([1, 2, 3, 4]), means, 1)[0]), near(tail), near(tail / np.log(4 / 3)))
+    r = plans.QUERIES["sweep_trend"](spark, FOLDER).collect()[0]
+    assert (r["log_slope"], r["tail_gain"], r["tail_log_slope"]) == want
+    r = plans.QUERIES["sweep_saturation"](spark, FOLDER).collect()[0]
+    assert (r["log_slope"], r["tail_gain"], r["tail_log_slope"], r["saturated"]) == (*want, bool(tail <= 0.01 and tail / np.log(4 / 3) <= 0.01))
+    spread = {k: max(v) - min(v) for k, v in scores.items()}
+    r = plans.QUERIES["sweep_spread"](spark, FOLDER).collect()[0]
+    assert (r["k"], r["spread"], r["warn"]) == (max(spread, key=spread.get), near(max(spread.values())), max(spread.values()) >= 0.02)
+    fit = sweep.ceiling([1, 2, 3, 4], means.tolist())
+    r = plans.QUERIES["sweep_ceiling"](spark, FOLDER).collect()[0]
+    assert r["refused"] == fit.refused and r["value"] == (fit.value and pytest.approx(fit.value, abs=1e-4))
