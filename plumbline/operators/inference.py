@@ -24,7 +24,8 @@ def multiplicities(df: DataFrame, cluster: str, replicates: int) -> DataFrame:
     own = df.select(cluster).distinct().select(cluster, (F.row_number().over(Window.orderBy(cluster)) - 1).cast("long").alias("own"))
     n = own.agg(F.count(F.lit(1)).alias("n_clusters"))
     times = draws(df.sparkSession, replicates, n).groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(own, F.col("place") == F.col("own")).select("replicate", cluster, "times")
+    # Draws come from one row, so Spark takes them for small and would broadcast them.
+    return times.hint("merge").join(own, F.col("place") == F.col("own")).select("replicate", cluster, "times")
 
 
 def bootstrap_r2(df: DataFrame, cluster: str, y: str, base: str, full: str, replicates: int, level: float = 0.95) -> DataFrame:
@@ -35,7 +36,7 @@ def bootstrap_r2(df: DataFrame, cluster: str, y: str, base: str, full: str, repl
     e = lambda c: (F.col(y) - F.col(c)) * (F.col(y) - F.col(c))
     stats = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(e(base)).alias("eb"), F.sum(e(full)).alias("ef"))
     m = multiplicities(stats, cluster, replicates)
-    w = m.join(stats, cluster).groupBy("replicate").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "sy", "syy", "eb", "ef")])
+    w = m.hint("merge").join(stats, cluster).groupBy("replicate").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "sy", "syy", "eb", "ef")])
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     r = w.where(sst > 0).select((1 - F.col("ef") / sst).alias("r_full"), (1 - F.col("ef") / sst - F.greatest(1 - F.col("eb") / sst, F.lit(0.0))).alias("r_inc"))
     t = (1 - level) / 2
@@ -81,7 +82,7 @@ def auc_differences(df: DataFrame, cluster: str, label: str, base: str, full: st
     """
     m = multiplicities(df, cluster, replicates)
     own = df.groupBy(cluster, label, base, full).agg(F.count(F.lit(1)).alias("equal"))
-    rows = m.join(own.where(F.col(cluster).isNotNull()), cluster).groupBy("replicate", label, base, full).agg(F.sum(F.col("times") * F.col("equal")).alias("times"))
+    rows = m.hint("merge").join(own.where(F.col(cluster).isNotNull()), cluster).groupBy("replicate", label, base, full).agg(F.sum(F.col("times") * F.col("equal")).alias("times"))
     a = weighted_auc(rows, "replicate", label, full, "times").withColumnRenamed("auc", "full_auc")
     b = weighted_auc(rows, "replicate", label, base, "times").select(F.col("replicate").alias("r"), F.col("auc").alias("base_auc"))
     return a.join(b, F.col("replicate") == F.col("r")).select((F.col("full_auc") - F.col("base_auc")).alias("d"))
