@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+PACKAGE = Path(__file__).resolve().parents[1]
 
 #: Spaces of the word rules that name \x20 and \x09-\x0D, inside a character class.
 BLANKS = r"\x20\x09-\x0D"
@@ -18,33 +23,78 @@ BLANKS = r"\x20\x09-\x0D"
 #: Bytes of one batch that goes to a Python worker, so that a worker's memory doesn't follow the texts' lengths.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
-_local_folder: list[str] = []
+_own_folder: list[str] = []
+#: What each Spark context has been given, by its id: the package, and files by name.
+_given: dict[str, set[str]] = {}
+
+
+def own_folder() -> str:
+    """A folder of this process on this machine, removed when it ends."""
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="plumbline-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return _own_folder[0]
+
+
+def package_zip() -> str:
+    """This package as a zip file, named by its content."""
+    sources = {str(f.relative_to(PACKAGE.parent)): f.read_bytes() for f in sorted(PACKAGE.rglob("*.py"))}
+    digest = hashlib.sha256(repr(sources).encode()).hexdigest()[:16]
+    path = Path(own_folder()) / f"{PACKAGE.name}-{digest}.zip"
+    if not path.exists():
+        with zipfile.ZipFile(path, "w") as z:
+            for name, content in sources.items():
+                z.writestr(name, content)
+    return str(path)
 
 
 def share_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, and read it in small batches.
+    """Sends this package to Python workers, wherever they run, and lets them read small batches.
 
     A batch size that the job has set itself stays.
     """
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    context = spark.sparkContext
+    given = _given.setdefault(context.applicationId, set())
+    if "" not in given:
+        given.add("")
+        context.addPyFile(package_zip())
     name, size = BATCH_BYTES
-    if not spark.sparkContext.getConf().contains(name):
+    if not context.getConf().contains(name):
         spark.conf.set(name, size)
 
 
+def share_file(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to every executor and returns the name by which shared_path finds it there."""
+    name = Path(path).name
+    given = _given.setdefault(spark.sparkContext.applicationId, set())
+    if path not in given:
+        given.add(path)
+        spark.sparkContext.addFile(path)
+    return name
+
+
+def shared_path(name: str) -> str:
+    """Where a task finds a file that share_file has sent."""
+    return SparkFiles.get(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local master gets a folder of its own; on a cluster that is an error, since no folder of one
+    machine is seen by the others.
+    """
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named
-    if not _local_folder:
-        _local_folder.append(tempfile.mkdtemp(prefix="plumbline-"))
-    return _local_folder[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: intermediate tables go there")
+    return own_folder()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """What operators share."""
 
+import types
+
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import common
@@ -22,3 +25,26 @@ def test_batches_are_bounded_by_bytes_unless_the_job_sets_them(spark):
     name, size = common.BATCH_BYTES
     common.share_package(spark)
     assert spark.conf.get(name) == size
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    conf = types.SimpleNamespace(get=lambda name, default: "")
+    cluster = types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(cluster)
+    assert common.shared_folder(types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master="local[2]"))) == common.own_folder()
+
+
+def test_workers_get_the_package_and_files(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("some words")
+    common.share_package(spark)
+    name = common.share_file(spark, str(tmp_path / "words.txt"))
+
+    def read(batches):
+        import plumbline.llm.common as there
+
+        for batch in batches:
+            yield batch.assign(text=open(there.shared_path(name)).read(), where=there.__file__)
+
+    row = spark.range(1).mapInPandas(read, "id long, text string, where string").collect()[0]
+    assert row["text"] == "some words" and "plumbline" in row["where"]
