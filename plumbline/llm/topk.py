@@ -8,67 +8,94 @@ entries that reach it in some list are collected. In the third, their scores are
 cutoff go into the final ranking. The argument needs no sign of the scores, and nothing is approximate.
 
 Vectors are quantized integers and travel as packed blocks; queries are blocks, too, so that each task multiplies two
-bounded matrices. Query blocks are dealt to all groups of vector blocks: a stated query set against all rows.
+bounded matrices. Query blocks are dealt to all groups of vector blocks: a stated query set against all rows. Vectors
+with components of SMALL or more have smaller blocks of their own; where products of two blocks could pass 2**53, they
+are multiplied as Python integers.
 
 Cases: a vector that is null or holds a null or non-finite component takes no part; a null id takes no part; rows of
 equal id and vector are one candidate, and a query id with several vectors keeps the best over them; a row is never a
 candidate of its own id; vectors of other lengths than the query's are no candidates; ties go to the smaller id; an
-empty table gives no rows; only the named columns are read. Scores are exact up to 2**53.
+empty table gives no rows; only the named columns are read. Every finite vector takes part, however large. Scores are
+ranked exactly while they have 38 digits at most; larger ones, which need components above 10**16, rank as the largest
+number of 38 digits. The score column is a long: a score outside its range reads as the nearest long.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import share_package, written
 
 PARTS = 2
 ROWS_A_BLOCK, QUERIES_A_BLOCK = 4096, 512
+#: Components from which a vector goes to a block of large ones, and rows of such a block.
+SMALL, LARGE_ROWS = 2**21, 128
+#: Scores travel as Spark's widest exact numbers.
+SCORE, MOST = "decimal(38,0)", 10**38 - 1
+LONG = 2**63 - 1
 
 
 def quantized(embeddings: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """id, vector array<int>: floor(scale * x) of every component; only vectors that take part."""
+    """id, vector array<double> of the whole numbers floor(scale * x); only vectors that take part."""
     v = F.col(vector_col)
-    sound = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < 2**31 / scale), F.lit(False)))
-    return embeddings.where(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int")).alias("vector"))
+    sound = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+
+    def whole(x: Column) -> Column:
+        # From 2**53 on every double is whole; past the largest double a component stays the largest.
+        y = F.greatest(F.least(F.lit(float(scale)) * x.cast("double"), F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    return embeddings.where(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(v, whole).alias("vector"))
 
 
 def packed(rows: DataFrame, most: int) -> DataFrame:
-    """dims, ids, vectors: blocks of at most so many rows of one length, in the order the rows lie."""
+    """dims, ids, vectors: blocks of at most so many rows of one length and kind, in the order the rows lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pdf = batch.to_pandas()
-            for dims, part in pdf.groupby(pdf["vector"].map(len)):
-                for start in range(0, len(part), most):
-                    own = part.iloc[start : start + most]
+            large = pdf["vector"].map(lambda v: bool(len(v)) and bool(np.abs(v).max() >= SMALL)).astype(bool)
+            for (dims, big), part in pdf.groupby([pdf["vector"].map(len), large]):
+                step = min(most, LARGE_ROWS) if big else most
+                for start in range(0, len(part), step):
+                    own = part.iloc[start : start + step]
                     block = np.stack(own["vector"].to_numpy()) if dims else np.zeros((len(own), 0))
-                    yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "ids": pa.array([own["id"].to_numpy(np.int64).tobytes()]), "vectors": pa.array([block.astype(np.int32).tobytes()])})
+                    yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "ids": pa.array([own["id"].to_numpy(np.int64).tobytes()]), "vectors": pa.array([block.astype(np.float64).tobytes()])})
 
     return rows.mapInArrow(run, "dims int, ids binary, vectors binary")
 
 
+def as_integers(block: np.ndarray) -> np.ndarray:
+    """The same whole numbers as Python integers, which have no largest one."""
+    return np.array([int(x) for x in block.ravel()], object).reshape(block.shape)
+
+
 class Pair:
     """One block of queries against one block of vectors, as exact matrices of partial scores."""
 
     def __init__(self, row: dict):
         dims = row["dims"]
         self.qid, self.xid = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["ids"], np.int64)
-        q, x = (np.frombuffer(row[c], np.int32).reshape(len(i), dims).astype(np.float64) for c, i in (("qvectors", self.qid), ("vectors", self.xid)))
+        q, x = (np.frombuffer(row[c], np.float64).reshape(len(i), dims) for c, i in (("qvectors", self.qid), ("vectors", self.xid)))
         cuts = [*range(0, dims, max(1, -(-dims // PARTS))), dims] if dims else [0, 0]
-        # Sums of products of integers: exact in any order.
-        self.parts = [q[:, a:b] @ x[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        # Sums of products of whole numbers are exact in any order below 2**53, and always as Python integers.
+        if dims and float(np.abs(q).max()) * float(np.abs(x).max()) * dims >= 2.0**53:
+            q, x = as_integers(q), as_integers(x)
+        self.parts = [q[:, a:b].dot(x[:, a:b].T) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.own = self.qid[:, None] == self.xid[None, :]
 
     def complete(self, at: np.ndarray) -> np.ndarray:
         """Sums over all lists, where at is set; below everything elsewhere."""
-        out = np.full(at.shape, -np.inf)
-        out[at] = sum(p[at] for p in self.parts)
+        out = np.full(at.shape, -np.inf, self.parts[0].dtype)
+        found = sum(p[at] for p in self.parts)
+        out[at] = np.array([min(max(s, -MOST), MOST) for s in found], object) if found.dtype == object else found
         return out
 
     def heads(self, k: int) -> np.ndarray:
@@ -78,30 +105,45 @@ class Pair:
             p = np.where(self.own, -np.inf, p)
             if p.shape[1] <= k:
                 return ~self.own
-            top = np.argpartition(-p, k - 1, axis=1)[:, :k]
+            top = np.argsort(-p, axis=1)[:, :k] if p.dtype == object else np.argpartition(-p, k - 1, axis=1)[:, :k]
             np.put_along_axis(at, top, True, axis=1)
         return at & ~self.own
 
-    def reach(self, cutoff: np.ndarray) -> np.ndarray:
-        """Entries that reach their share of the query's cutoff in some list."""
+    def reach(self, cutoffs: list[Decimal | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Entries that reach their share of the query's cutoff in some list, and the cutoffs as numbers.
+
+        Python integers have exact ones: shares are compared as multiples, since numbers of 38 digits have no half.
+        """
+        exact = self.parts[0].dtype == object
+        cutoff = np.array([-np.inf if c is None else int(c) if exact else float(c) for c in cutoffs], object if exact else float)
         at = np.zeros(self.own.shape, bool)
         for p in self.parts:
-            at |= p >= cutoff[:, None] / len(self.parts)
-        return at & ~self.own
+            at |= (p * len(self.parts) >= cutoff[:, None]).astype(bool)
+        return at & ~self.own, cutoff
+
+
+def scores_array(scores: np.ndarray) -> pa.Array:
+    if scores.dtype == object:
+        return pa.array([Decimal(s) for s in scores], pa.decimal128(38, 0))
+    return pa.array(scores.astype(np.int64)).cast(pa.decimal128(38, 0))
 
 
 def rows_of(pair: Pair, scores: np.ndarray, keep: np.ndarray, k: int) -> pa.RecordBatch:
     """The block's k best of the entries to keep for each query, so that ties at the cutoff stay few."""
     q, x = np.nonzero(keep)
-    order = np.lexsort((pair.xid[x], -scores[q, x], q))
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(q)), key=lambda i: (q[i], -scores[q[i], x[i]], pair.xid[x[i]])), np.int64)
+    else:
+        order = np.lexsort((pair.xid[x], -scores[q, x], q))
     q, x = q[order], x[order]
     place = np.arange(len(q)) - np.searchsorted(q, q)
     q, x = q[place < k], x[place < k]
-    return pa.RecordBatch.from_pydict({"query_id": pair.qid[q], "vec_id": pair.xid[x], "score": pa.array(scores[q, x].astype(np.int64))})
+    return pa.RecordBatch.from_pydict({"query_id": pair.qid[q], "vec_id": pair.xid[x], "score": scores_array(scores[q, x])})
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every query, all if fewer. is_query: over id_col."""
+    share_package(embeddings.sparkSession)
     rows = written(quantized(embeddings, scale, id_col, vector_col).distinct(), "topk-vectors")
     blocks = written(packed(rows, ROWS_A_BLOCK), "topk-blocks")
     asked = rows.join(embeddings.where(is_query).select(F.col(id_col).cast("long").alias("asked")).distinct(), F.col("id") == F.col("asked"), "left_semi")
@@ -115,16 +157,13 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: float = 25
             for row in batch.to_pylist():
                 pair = Pair(row)
                 at = pair.heads(k)
-                scores = pair.complete(at)
-                kept = np.sort(scores, axis=1)[:, ::-1][:, :k]
-                keep = np.isfinite(kept)
-                q = np.nonzero(keep)[0]
-                yield pa.RecordBatch.from_pydict({"query_id": pair.qid[q], "score": pa.array(kept[keep].astype(np.int64))})
+                yield rows_of(pair, pair.complete(at), at, k)
 
-    local = pairs.mapInArrow(first, "query_id long, score long")
+    local = pairs.mapInArrow(first, f"query_id long, vec_id long, score {SCORE}")
     nth = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    # Queries with fewer than k scores anywhere have no cutoff: all their entries are sufficient.
-    cutoffs = written(local.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") == k).select("query_id", F.col("score").alias("cutoff")), "topk-cutoffs")
+    # Queries with fewer than k scores anywhere have no cutoff, nor have those whose k-th is below what a score can say.
+    kth = local.withColumn("nth", F.row_number().over(nth)).where((F.col("nth") == k) & (F.col("score") > F.lit(str(-MOST)).cast(SCORE)))
+    cutoffs = written(kth.select("query_id", F.col("score").alias("cutoff")), "topk-cutoffs")
     return _ranked(pairs, queries, cutoffs, k)
 
 
@@ -145,12 +184,12 @@ def _ranked(pairs: DataFrame, queries: DataFrame, cutoffs: DataFrame, k: int) ->
         for batch in batches:
             for row in batch.to_pylist():
                 pair = Pair(row)
-                cutoff = np.array([-np.inf if c["cutoff"] is None else c["cutoff"] for c in row["cut"]], float)
-                scores = pair.complete(pair.reach(cutoff))
-                keep = np.isfinite(scores) & (scores >= cutoff[:, None])
-                yield rows_of(pair, scores, keep, k)
+                at, cutoff = pair.reach([c["cutoff"] for c in row["cut"]])
+                scores = pair.complete(at)
+                yield rows_of(pair, scores, at & (scores >= cutoff[:, None]).astype(bool), k)
 
-    found = given.mapInArrow(second, "query_id long, vec_id long, score long")
+    found = given.mapInArrow(second, f"query_id long, vec_id long, score {SCORE}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    score = F.greatest(F.least("score", F.lit(LONG).cast(SCORE)), F.lit(-LONG - 1).cast(SCORE)).cast("long")
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
