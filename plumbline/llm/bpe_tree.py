@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import share_file, share_package, shared_path
 from plumbline.llm.tokens import segments, units
 
 #: Longest piece, in bytes, that is merged directly; longer ones are halved.
@@ -160,10 +161,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     vocabulary: path of a rank file; pattern: what splits a text before merging; matches: the ids decode to the text.
     """
+    share_package(docs.sparkSession)
+    vocabulary = share_file(docs.sparkSession, vocabulary)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = codec(vocabulary, pattern)
+        tree = codec(shared_path(vocabulary), pattern)
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -191,10 +194,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id_col and the decoded bytes of an array of ids; null ids decode to no bytes."""
+    share_package(encoded.sparkSession)
+    vocabulary = share_file(encoded.sparkSession, vocabulary)
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = codec(vocabulary, pattern)
+        tree = codec(shared_path(vocabulary), pattern)
         for batch in batches:
             raw = [tree.decode_tree(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary())], ["id", "bytes"])

@@ -2,7 +2,9 @@
 
 Pre-tokens of many documents are held as one ragged numpy array of symbols. In every round each sequence finds its
 lowest-rank pair and merges all places of that pair at once, for all sequences together; the symbols left when no
-sequence has a pair in the vocabulary are its tokens. Counts of units already seen are kept per Python worker.
+sequence has a pair in the vocabulary are its tokens. A sequence of LONG symbols or more has arrays of its own, with
+links between neighbours and its places sorted by rank, so that a round costs what it changes and not what is there.
+Counts of units already seen are kept per Python worker, KEPT_UNITS of them and KEPT_CHARS characters at most.
 
 Cases: null and empty texts have 0 tokens; repeated rows give repeated results; an empty table gives no rows; other
 columns of the input are not read. Special tokens written in a text count as one token each, the library's default.
@@ -10,6 +12,7 @@ columns of the input are not read. Special tokens written in a text count as one
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -21,14 +24,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_pieces
+from plumbline.llm.common import in_pieces, share_file, share_package, shared_path
 from plumbline.llm.tokens import segments, units
 
 #: The pre-tokenizer's pattern that the vocabulary file names by "use_regex".
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NO_RANK = np.iinfo(np.int32).max
 #: Entries that a worker keeps of units already counted.
-KEPT_UNITS = 400_000
+KEPT_UNITS, KEPT_CHARS = 400_000, 50_000_000
+#: Symbols from which a sequence is merged by itself.
+LONG = 1024
 
 
 def byte_letters() -> dict[int, str]:
@@ -56,15 +61,73 @@ class Merges:
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
+        self.kept_chars = 0
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
 
+    def long_count(self, piece: bytes) -> int:
+        """How many symbols one long pre-token ends with: its lowest rank merges at all its places, round by round."""
+        symbols = self.byte_id[np.frombuffer(piece, np.uint8)]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ranks = np.append(self.pair_ranks(symbols[:-1], symbols[1:]), NO_RANK)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def offer(places: np.ndarray) -> None:
+            """Sorts places into the lists of their ranks."""
+            own = ranks[places]
+            order = np.argsort(own, kind="stable")
+            order = order[: np.searchsorted(own[order], NO_RANK)]
+            places, own = places[order], own[order]
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            for part, rank in zip(np.split(places, cuts), own[np.r_[0, cuts]].tolist() if len(own) else [], strict=False):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(heap, rank)
+                waiting[rank].append(part)
+
+        offer(np.arange(n - 1))
+        left = n
+        while heap:
+            rank = heapq.heappop(heap)
+            found = waiting.pop(rank)
+            place = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            # A place whose pair has changed since has another rank, or none if its symbol is gone.
+            place = place[ranks[place] == rank]
+            if not len(place):
+                continue
+            # Of overlapping places, as in a run of one symbol, the first, third and so on merge.
+            head = np.r_[True, after[place[:-1]] != place[1:]]
+            run_start = np.maximum.accumulate(np.where(head, np.arange(len(place)), 0))
+            place = place[(np.arange(len(place)) - run_start) % 2 == 0]
+            gone = after[place]
+            ranks[gone] = NO_RANK
+            symbols[place] = self.merged[rank]
+            onward = after[gone]
+            after[place] = onward
+            inside = onward < n
+            before[onward[inside]] = place[inside]
+            ranks[place[~inside]] = NO_RANK
+            left -= len(place)
+            previous = before[place]
+            changed = np.union1d(place[inside], previous[previous >= 0])
+            ranks[changed] = self.pair_ranks(symbols[changed], symbols[after[changed]])
+            offer(changed)
+        return left
+
     def counts(self, pieces: list[bytes]) -> np.ndarray:
         """How many symbols each pre-token ends with."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if (long := np.flatnonzero(sizes >= LONG)).size:
+            found = np.zeros(len(pieces), np.int64)
+            found[long] = [self.long_count(pieces[i]) for i in long]
+            short = np.flatnonzero(sizes < LONG)
+            found[short] = self.counts([pieces[i] for i in short])
+            return found
         found = sizes.copy()
         symbols = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
         owner = np.repeat(np.arange(len(pieces)), sizes)
@@ -102,6 +165,7 @@ class Merges:
         ends = np.cumsum(sizes)
         total = np.r_[0, np.cumsum(self.counts(pieces))]
         self.known.update(zip(fresh, (total[ends] - total[ends - sizes]).tolist(), strict=True))
+        self.kept_chars += sum(map(len, fresh))
 
     def count_all(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
@@ -124,8 +188,9 @@ class Merges:
 
     def _settle(self, waiting: list[tuple[int, list[str]]], out: list[int]) -> None:
         known = self.known
-        if len(known) > KEPT_UNITS:
+        if len(known) > KEPT_UNITS or self.kept_chars > KEPT_CHARS:
             known.clear()
+            self.kept_chars = 0
         fresh = list(set().union(*(u for _, u in waiting)).difference(known))
         if fresh:
             self.learn(fresh)
@@ -141,10 +206,12 @@ def merges(path: str) -> Merges:
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """id_col, n_bytes, n_tokens, over_limit for every row; vocabulary: path of a byte-level BPE .json file."""
+    share_package(docs.sparkSession)
+    vocabulary = share_file(docs.sparkSession, vocabulary)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = merges(vocabulary)
+        counter = merges(shared_path(vocabulary))
         for batch in batches:
             n = counter.count_all(batch.column("text").to_pylist())
             size = pa.compute.binary_length(batch.column("text")).cast(pa.int64())
