@@ -2,7 +2,9 @@
 
 Patterns find candidates with their places in every whole text. Each candidate's value is hashed, and over the whole
 corpus the distinct repositories and owners of every hash are counted: a value that SHARED_OWNERS or more owners have
-is a widely copied example, one that fewer have and that looks random is a live-looking credential of its owner.
+is a widely copied example, one that fewer have and that looks random is a live-looking credential of its owner. Every
+span is told apart by that. Counts go back to the spans by a join; the values that are found most often, HEAVY_VALUES
+at most, are broadcast instead, so that no value gathers its spans in one task.
 
 A kind's matches are leftmost and don't overlap. Splitting a text by a pattern gives what stands between the matches,
 so that places follow from running sums of lengths, in code points.
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import written
 
 SHARED_OWNERS = 3
+#: Values that are broadcast at most: those with more than this share of all spans.
+HEAVY_VALUES = 20_000
 #: Distinct characters that a value needs to look random.
 RANDOM_LOOK = 8
 
@@ -44,14 +48,14 @@ BASE = [
 ]
 #: Kinds that the operator adds to them.
 MORE = [
-    Kind("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]{20,})", "earer", 1, 20),
+    Kind("bearer", r"(?i:bearer)\x20+([A-Za-z0-9._~+/=-]{20,})", None, 1, 20),
     Kind("github", r"gh[opsur]_[A-Za-z0-9]{20,}", "gh", 0, 24),
     Kind("google", r"AIza[0-9A-Za-z_-]{35}", "AIza", 0, 39),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", "eyJ", 0, 20),
+    Kind("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*", "eyJ", 0, 20),
     Kind("pem", r"-----BEGIN[A-Z\x20]*PRIVATE\x20KEY-----", "PRIVATE KEY", 0, 1),
     Kind("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", "xox", 0, 15),
     Kind("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", "k_live_", 0, 24),
-    Kind("userinfo", r"[a-z][a-z0-9+]*://[^\s/:@]+:([^\s/:@]{8,})@", "://", 1, 8),
+    Kind("userinfo", r"(?<![a-z0-9+])[a-z][a-z0-9+]*+://[^\s/:@]++:([^\s/:@]{8,}+)@", "://", 1, 8),
 ]
 
 
@@ -108,16 +112,29 @@ def listed(spans: Column, kinds: list[Kind]) -> Column:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, n_repositories, n_owners over the whole corpus. found: value (a hash), repository, owner."""
-    repositories = found.select("value", "repository").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_repositories"))
-    owners = found.select(F.col("value").alias("of"), "owner").distinct().groupBy("of").agg(F.count(F.lit(1)).alias("n_owners"))
-    return repositories.join(owners, F.col("value") == F.col("of")).select("value", "n_repositories", "n_owners")
+    """value, n_repositories, n_owners, times over the whole corpus. found: value (a hash), repository, owner."""
+    each = found.groupBy("value", "repository", "owner").agg(F.count(F.lit(1)).alias("times"))
+    repositories = each.groupBy("value", "repository").agg(F.sum("times").alias("times")).groupBy("value").agg(F.count(F.lit(1)).alias("n_repositories"), F.sum("times").alias("times"))
+    owners = each.select(F.col("value").alias("of"), "owner").distinct().groupBy("of").agg(F.count(F.lit(1)).alias("n_owners"))
+    return repositories.join(owners, F.col("value") == F.col("of")).select("value", "n_repositories", "n_owners", "times")
+
+
+def judged(found: DataFrame, corpus: DataFrame) -> DataFrame:
+    """found with its value's counts over the corpus."""
+    least = (corpus.agg(F.sum("times")).collect()[0][0] or 0) // HEAVY_VALUES
+    known = corpus.withColumnRenamed("value", "known")
+    heavy = F.broadcast(known.where(F.col("times") > least + 1000))
+    here = F.col("value") == F.col("known")
+    often = found.join(heavy, here)
+    rest = found.join(heavy.select("known"), here, "left_anti").join(known.where(F.col("times") <= least + 1000), here)
+    return often.unionByName(rest)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """id_col, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, most_owners for every row.
+    """id_col, n_assign, n_access, n_hex, base_sha256, spans, live_spans, shared_spans, n_live, n_shared, most_owners, most_repositories.
 
-    n_live: spans of live-looking credentials; n_shared: spans of widely copied examples; most_owners: of any span.
+    live_spans: of live-looking credentials; shared_spans: of widely copied examples; both in the form of spans, and
+    counted by n_live and n_shared. most_owners and most_repositories: of any span's value, over the whole corpus.
     """
     kinds = BASE + MORE
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -126,16 +143,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     looks = lambda v: F.size(F.array_distinct(F.split(v, ""))) >= RANDOM_LOOK
     hashed = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.xxhash64(x["value"]).alias("value"), looks(x["value"]).alias("random")))
     rows = written(rows.withColumn("found", hashed).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
-    found = rows.select("row", "repository", "owner", F.explode("found").alias("x")).select("row", "repository", "owner", "x.value", "x.random")
-    corpus = ownership(found.select("value", "repository", "owner")).withColumnRenamed("value", "known")
-    judged = found.select("row", "value", "random").join(corpus, F.col("value") == F.col("known"))
+    found = rows.select("row", "repository", "owner", F.posexplode("found").alias("at", "x")).select("row", "at", "repository", "owner", "x.value", "x.random")
+    corpus = written(ownership(found.select("value", "repository", "owner")), "secret-values")
     shared = F.col("n_owners") >= shared_owners
-    totals = judged.groupBy(F.col("row").alias("of")).agg(F.count_if(~shared & F.col("random")).alias("n_live"), F.count_if(shared).alias("n_shared"), F.max("n_owners").alias("most_owners"))
+    mark = F.when(shared, "shared").when(F.col("random"), "live")
+    each = judged(found.select("row", "at", "value", "random"), corpus).select("row", "at", mark.alias("mark"), "n_owners", "n_repositories")
+    marks = each.groupBy(F.col("row").alias("of")).agg(F.sort_array(F.collect_list(F.struct("at", "mark"))).alias("marks"), F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"))
+    joined = rows.join(marks, F.col("row") == F.col("of"), "left")
+    marked = F.zip_with("found", F.coalesce("marks", F.array().cast("array<struct<at:int,mark:string>>")), lambda x, m: x.withField("mark", m["mark"]))
+    joined = joined.withColumn("found", marked)
+    of_mark = lambda name: F.filter("found", lambda x: x["mark"] == name)
     count = lambda i: F.size(F.filter("found", lambda x: x["kind"] == i)).cast("long")
     base = F.filter("found", lambda x: x["kind"] < len(BASE))
     none = F.lit(0).cast("long")
-    return rows.join(totals, F.col("row") == F.col("of"), "left").select(
+    return joined.select(
         F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(listed(base, kinds).cast("binary"), 256).alias("base_sha256"), listed(F.col("found"), kinds).alias("spans"),
-        F.coalesce("n_live", none).alias("n_live"), F.coalesce("n_shared", none).alias("n_shared"), F.coalesce("most_owners", none).alias("most_owners"),
+        listed(of_mark("live"), kinds).alias("live_spans"), listed(of_mark("shared"), kinds).alias("shared_spans"),
+        F.size(of_mark("live")).cast("long").alias("n_live"), F.size(of_mark("shared")).cast("long").alias("n_shared"),
+        F.coalesce("most_owners", none).alias("most_owners"), F.coalesce("most_repositories", none).alias("most_repositories"),
     )
