@@ -13,6 +13,7 @@ table gives no rows; only the named columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import share_package
+
 #: The base phrases, as words, and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
@@ -129,7 +132,8 @@ pddl-1.0; 80; pddl; pddl(?: 1 0)?
 cdla-permissive; 82; community; community data licen[cs]e agreement permissive(?: version)?(?: [12] 0)?
 cdla-sharing; 82; community; community data licen[cs]e agreement sharing(?: version)?(?: 1 0)?
 ogl-uk; 82; government; open government licen[cs]e(?: v?[123](?: 0)?)?
-etalab-2.0; 82; etalab; (?:etalab|licence ouverte)(?: 2 0)?
+etalab-2.0; 82; etalab; etalab(?: 2 0)?
+etalab-2.0; 82; ouverte; licence ouverte(?: 2 0)?
 bsd-protection; 82; protection; bsd protection licen[cs]e
 ms-pl; 85; microsoft; microsoft public licen[cs]e
 ms-pl; 75; ms; ms pl
@@ -218,15 +222,17 @@ _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def count_words(low: bytes) -> int:
+def word_starts(low: bytes) -> np.ndarray:
+    """Where each word begins."""
     inside = _INSIDE[np.frombuffer(low, np.uint8)]
-    return int(np.count_nonzero(inside[1:] & ~inside[:-1]) + inside[:1].sum())
+    return np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
 
 
-def base_places(low: bytes) -> list[tuple[int, str]]:
+def base_places(low: bytes, starts: np.ndarray) -> list[tuple[int, str]]:
     """(place of the first word, label) of every base phrase."""
-    found = [(m.start(), label) for label, first, pattern in BASE_PATTERNS if first in low for m in pattern.finditer(low)]
-    return [(count_words(low[:at]), label) for at, label in sorted(found)]
+    found = sorted((m.start(), label) for label, first, pattern in BASE_PATTERNS if first in low for m in pattern.finditer(low))
+    places = np.searchsorted(starts, [at for at, _ in found]).tolist()
+    return [(place, label) for place, (_, label) in zip(places, found, strict=True)]
 
 
 def detections(low: bytes) -> list[tuple[int, int, int, str]]:
@@ -238,14 +244,22 @@ def detections(low: bytes) -> list[tuple[int, int, int, str]]:
     found = [(priority, m.start(), m.end(), label) for label, priority, _, pattern in live for m in pattern.finditer(words)]
     found.sort(key=lambda d: (-d[0], d[1] - d[2], d[1], d[3]))
     kept: list[tuple[int, int, int, str]] = []
+    # Of the intervals taken, those that none contains: their starts and ends both rise.
+    starts: list[int] = []
+    ends: list[int] = []
     for d in found:
-        if not any(k[1] <= d[1] and d[2] <= k[2] for k in kept):
-            kept.append(d)
+        at = bisect_right(starts, d[1])
+        if at and ends[at - 1] >= d[2]:
+            continue
+        kept.append(d)
+        low_at, high_at = bisect_left(starts, d[1]), bisect_right(ends, d[2])
+        starts[low_at:high_at], ends[low_at:high_at] = [d[1]], [d[2]]
     return kept
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
+    share_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +267,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = []
             for raw in batch.column("text").cast(pa.binary()):
                 low = raw.as_py().lower()
-                base, more = base_places(low), detections(low)
+                starts = word_starts(low)
+                base, more = base_places(low, starts), detections(low)
                 own = {label for _, label in base}
                 doubt = 1.0
                 for d in more:
                     doubt *= 1 - d[0] / 100
                 doubt *= 0.5 ** len(own)
-                rows.append((count_words(low), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(own)), ",".join(sorted(own | {d[3] for d in more})), 1 - doubt))
+                rows.append((len(starts), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(own)), ",".join(sorted(own | {d[3] for d in more})), 1 - doubt))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
