@@ -10,15 +10,19 @@ minima of two texts is a bit count and the similarity follows by correcting for
    by a corrected estimate five standard errors below the threshold; the others are confirmed on full sets.
    What a pair's confirmation leaves is each set as its centre's set less some shingles and with some others.
 3. Components of the confirmed links. In buckets whose classes are in several components, all pairs between different
-   components are candidates. Two sets that are known by their differences from one centre are compared by these
-   short lists, inside the join, which gives links only; the other pairs, between sets unlike their centre, are
-   confirmed on full sets. So every candidate pair is confirmed, ruled out, or already connected, and a group of near
-   copies doesn't emit its pairs: those far from the centre have too many shingles of their own to be candidates.
+   components are candidates. One side of such a pair is outside the centre's component, so only those outside meet
+   the others, by squares of at most BLOCK on each side, which spreads a large bucket over tasks. Two sets that are
+   known by their differences from one centre are compared by these short lists, inside the join, which gives links
+   only; the other pairs, between sets unlike their centre, are confirmed on full sets. So every candidate pair is
+   confirmed, ruled out, or already connected, and a group of near copies doesn't emit its pairs: those far from the
+   centre have too many shingles of their own to be candidates.
+
+Classes are told apart by 128 bits and the set's size, and numbered when they are written.
 
 Cases: null, empty and blank texts have no set and link with nothing; a text of fewer words than a shingle is one
 shingle; rows that share an id are one document with several texts, linked through that id; a null id takes part in
-links of others under no id and gets a null component unless linked; an empty table gives no rows; only the named
-columns are read. Candidates are found with a chance of 1 - (1 - s**5)**25 at similarity s, so one link in 2 million
+links of others under no id and gets a null component unless linked; ids may be of any type that has an order; an
+empty table gives no rows; only the named columns are read. Candidates are found with a chance of 1 - (1 - s**5)**25 at similarity s, so one link in 2 million
 of those at 0.85 is missed, and fewer above.
 """
 
@@ -32,11 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_pieces, likely_among, written
+from plumbline.llm.common import in_pieces, likely_among, share_package, written
 from plumbline.llm.components import components
 
 ROWS, BANDS = 5, 25
 HASHES, BITS = 128, 4
+#: Members of a bucket on each side of one square of pairs.
+BLOCK = 4096
+#: What tells classes apart.
+KEY = ["k1", "k2", "n"]
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -115,7 +123,8 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """id, n (size of the set), k1 and k2 (128 bits that stand for the set), bands, planes (low bits of the minima)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    share_package(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,11 +149,13 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 ["id", "n", "k1", "k2", "bands", "planes"],
             )
 
-    return source.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, planes array<long>")
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, bands array<long>, planes array<long>")
 
 
-def full_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def full_sets(docs: DataFrame, words: int, text_col: str) -> DataFrame:
+    """n, k1, k2, shingles of every row."""
+    source = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +200,7 @@ class Groups:
         self.rows = written(sketch(docs, words, id_col, text_col), "minhash-rows")
         # Equal sets have equal sketches, so any of a class will do: min() takes one without a sort.
         classes = self.rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("smallest"), F.min("bands").alias("bands"), F.min("planes").alias("planes"))
-        self.classes = written(classes.withColumn("node", F.xxhash64("k1", "k2", "n")), "minhash-classes")
+        self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
         bands = self.classes.select("node", F.explode("bands").alias("band"))
         shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("band")
         self.shared = written(bands.join(shared, "band", "left_semi"), "minhash-shared")
@@ -199,12 +210,10 @@ class Groups:
         """node, n, shingles of the classes that share a bucket with another: the only ones whose sets are needed."""
         chosen = written(self.classes.join(self.candidates, "node", "left_semi").select("node", "k1", "k2", "n", F.col("smallest").alias("of")), "minhash-chosen")
         # One text for each class: rows of its smallest id, by id first, so that only those rows' texts move.
-        texts = self.docs.select(F.col(self.id_col).cast("long").alias("mid"), F.col(self.text_col).alias("mtext"))
+        texts = self.docs.select(F.col(self.id_col).alias("mid"), F.col(self.text_col).alias("mtext"))
         of = written(chosen.select("of").distinct(), "minhash-of")
         texts = likely_among(texts, F.col("mid"), of).join(of, F.col("mid").eqNullSafe(F.col("of")), "left_semi")
-        sets = full_sets(texts, self.words, "mid", "mtext").withColumn("at", F.xxhash64("k1", "k2", "n"))
-        keys = chosen.select("node", F.col("n").alias("size"))
-        one = sets.join(keys, F.col("at") == F.col("node")).select("node", F.col("size").alias("n"), "shingles")
+        one = full_sets(texts, self.words, "mtext").join(chosen.select("node", *KEY), KEY).select("node", "n", "shingles")
         return written(one.dropDuplicates(["node"]), "minhash-sets")
 
     def members(self, sets: DataFrame) -> DataFrame:
@@ -234,9 +243,17 @@ class Groups:
         return written(both.select("a", "b", "less", "more", (100 * same >= self.percent * (F.col("an") + F.col("bn") - same)).alias("link")), name)
 
     def between(self, members: DataFrame) -> DataFrame:
-        """a, b, exact: pairs of members of a bucket in different components. Exact ones are links, others plausible."""
-        other = members.select(*[F.col(c).alias(f"c{c}") for c in ("band", "node", "n", "u", "planes", "label", "less", "more")])
-        apart = (F.col("band") == F.col("cband")) & (F.col("label") < F.col("clabel"))
+        """a, b, exact: pairs of members of a bucket in different components. Exact ones are links, others plausible.
+
+        members: with main (the label of the bucket's centre), many (of the bucket) and outside (not labelled main).
+        """
+        place = lambda of: F.pmod(F.xxhash64("node"), F.ceil(F.col(of) / BLOCK)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.ceil(F.col(of) / BLOCK).cast("int") - 1))
+        other = members.withColumn("row", place("many")).withColumn("column", every("outside"))
+        other = other.select(*[F.col(c).alias(f"c{c}") for c in ("band", "row", "column", "node", "n", "u", "planes", "label", "less", "more")])
+        members = members.where("label <> main").withColumn("row", every("many")).withColumn("column", place("outside"))
+        apart = (F.col("band") == F.col("cband")) & (F.col("row") == F.col("crow")) & (F.col("column") == F.col("ccolumn"))
+        apart &= (F.col("label") != F.col("clabel")) & ((F.col("clabel") == F.col("main")) | (F.col("label") < F.col("clabel")))
         exact = F.col("less").isNotNull() & F.col("cless").isNotNull()
         same = F.col("centre_n") - F.size(F.array_union("less", "cless")) + F.size(F.array_intersect("more", "cmore"))
         reach = 100 * same >= self.percent * (F.col("n") + F.col("cn") - same)
@@ -253,8 +270,11 @@ class Groups:
         labels = components(links).select(F.col("node").alias("lnode"), F.col("label").alias("llabel"))
         named = members.join(labels, F.col("node") == F.col("lnode"), "left").withColumn("label", F.coalesce("llabel", "node")).drop("lnode", "llabel")
         named = written(named, "minhash-named")
-        apart = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-        mixed = named.join(apart, "band", "left_semi").join(centres.select(F.col("cband").alias("band"), "cnode", F.col("cn").alias("centre_n")), "band")
+        main = centres.join(labels, F.col("cnode") == F.col("lnode"), "left")
+        main = main.select(F.col("cband").alias("band"), "cnode", F.col("cn").alias("centre_n"), F.coalesce("llabel", "cnode").alias("main"))
+        named = named.join(main, "band")
+        sizes = named.groupBy("band").agg(F.count(F.lit(1)).alias("many"), F.count_if(F.col("label") != F.col("main")).alias("outside")).where("outside > 0")
+        mixed = named.join(sizes, "band")
         known = near.select(F.col("a").alias("node"), F.col("b").alias("cnode"), "less", "more")
         mixed = mixed.join(known, ["node", "cnode"], "left")
         none = F.array().cast("array<bigint>")
@@ -270,15 +290,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     run = Groups(docs, words, percent, id_col, text_col)
     links = run.links()
     # Rows that share an id tie their classes, too.
-    node = F.xxhash64("k1", "k2", "n")
-    same_id = run.rows.where("n > 0 and id is not null").groupBy("id").agg(F.min(node).alias("a"), F.max(node).alias("b")).where("a <> b")
-    ties = run.rows.where("n > 0").join(same_id.select(F.col("id").alias("of"), "a"), F.col("id") == F.col("of")).select("a", node.alias("b"))
+    several = run.rows.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.xxhash64(*KEY)).alias("low"), F.max(F.xxhash64(*KEY)).alias("high")).where("low <> high").select("id")
+    own = run.rows.where("n > 0").join(several, "id", "left_semi").select("id", *KEY).distinct()
+    own = written(own.join(run.classes.select("node", *KEY), KEY).select("id", "node"), "minhash-ids")
+    ties = own.join(own.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b"))
     labels = components(links.union(ties)).select(F.col("node").alias("lnode"), "label")
-    named = run.classes.select("node", "smallest").join(labels, F.col("node") == F.col("lnode"), "left").select("node", "smallest", F.coalesce("label", "node").alias("label"))
+    named = run.classes.select("node", *KEY, "smallest").join(labels, F.col("node") == F.col("lnode"), "left").select(*KEY, "smallest", F.coalesce("label", "node").alias("label"))
     lowest = named.groupBy("label").agg(F.min("smallest").alias("component")).withColumnRenamed("label", "to")
-    ids = written(named.join(lowest, F.col("label") == F.col("to")).select(F.col("node").alias("of"), "component"), "minhash-components")
-    rows = run.rows.select("id", "n", F.when(F.col("n") > 0, F.xxhash64("k1", "k2", "n")).alias("node"))
-    joined = rows.join(ids, F.col("node") == F.col("of"), "left").withColumn("component_id", F.coalesce("component", "id"))
+    ids = written(named.join(lowest, F.col("label") == F.col("to")).select(*KEY, "component"), "minhash-components")
+    joined = run.rows.select("id", *KEY).join(ids, KEY, "left").withColumn("component_id", F.coalesce("component", "id"))
     kept = F.col("id").eqNullSafe(F.col("component_id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
@@ -286,4 +306,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, of the document that stays of each group: its smallest id."""
     kept = near_duplicates(docs, words, percent, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
