@@ -1,20 +1,21 @@
 """Operator 8: document fingerprints by SpotSigs, in DataFrame functions only.
 
-A signature is a common-word anchor with the chain of the next CHAIN content words after it. A document's fingerprint is its set of distinct signatures, hashed, in order. Two fingerprints compare by
-the Jaccard similarity of the sets; sets whose lengths alone keep them below a threshold are never compared, which
-partitions by set length, and only the rarest signatures of a set have to meet.
+A signature is a common-word anchor with the chain of the next CHAIN content words after it. A document's fingerprint is
+its set of distinct signatures, hashed, in order. Two fingerprints compare by a pruned Jaccard similarity: sets are
+partitioned by length, so that sets two partitions apart can't reach the least likeness and aren't looked at; nor are
+those whose beginnings, which two sets of that likeness share something of in any common order, have nothing in common.
+What is below the least likeness counts as 0.
 
 Cases: null counts as empty; an empty text, or one without letters, has the empty fingerprint; a text with words but
 no signature has one made of all its words; two empty sets are alike (1.0), an empty and another are not (0.0); rows
-that share an id follow each other by a hash of their text, and a null id comes after all others; repeated rows give
-repeated results; an empty table gives no rows; only the named columns are read.
+that share an id follow each other by a hash of their text, and a null id comes after all others; ids may be of any type
+that has an order; repeated rows give repeated results; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,12 @@ qui que sa se ses son sur un une vous y al como con del el ella ellos era esta e
 pero por porque que se si sin sobre su sus también una uno ya yo
 """.split()
 CHAIN = 2
-#: Documents in one window of neighbours; more where there are over MOST_WINDOWS windows.
-WINDOW_ROWS, MOST_WINDOWS = 512, 100_000
+#: Likeness below which two fingerprints count as unlike.
+LEAST = 0.05
+#: Documents in one window of neighbours; more where there would be over MOST_WINDOWS windows.
+WINDOW_ROWS, MOST_WINDOWS = 512, 16_384
+#: Keys that are looked at for each window's bound.
+SAMPLED = 8
 
 
 def let(value: Column, body) -> Column:
@@ -65,42 +70,71 @@ def written_out(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets of signatures."""
+def length_part(n: Column, least: float) -> Column:
+    """The partition of a set's length: each is as long as the next times least."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1 / least)).cast("int")
+
+
+def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
+    """Jaccard similarity of two ordered sets of signatures if it is least or more, else 0."""
+    n, m = F.size(a), F.size(b)
+    head = lambda x, size: F.slice(x, F.lit(1), size - F.ceil(size * F.lit(least)).cast("int") + 1)
     same = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - same
-    return F.when(union == 0, F.lit(1.0)).otherwise(same / F.greatest(union, F.lit(1)))
+    jaccard = same / F.greatest(n + m - same, F.lit(1))
+    return (
+        F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0), F.lit(0.0))
+        .when(F.abs(length_part(n, least) - length_part(m, least)) > 1, F.lit(0.0))
+        .when(~F.arrays_overlap(head(a, n), head(b, m)), F.lit(0.0))
+        .otherwise(F.when(jaccard >= least, jaccard).otherwise(F.lit(0.0)))
+    )
+
+
+def in_windows(rows: DataFrame) -> DataFrame:
+    """rows (id, tie and more) with window: neighbours by id, then tie, share one, and later windows have larger ones.
+
+    Bounds come from a sample of the keys by their hash, of about SAMPLED keys a window, whatever the table's size. They
+    are looked up by two steps of about the root of their number.
+    """
+    n = rows.select("id").count()
+    windows = min(MOST_WINDOWS, -(-n // WINDOW_ROWS))
+    if windows < 2:
+        return rows.withColumn("window", F.lit(0))
+    some = F.pmod(F.xxhash64("id", "tie"), F.lit(max(1, n // (SAMPLED * windows)))) == 0
+    keys = [r[0] for r in rows.where(some).select("id", "tie").distinct().orderBy("id", "tie").select(F.to_json(F.struct("id", "tie"))).collect()]
+    bounds = keys[:: max(1, len(keys) // windows)][1:]
+    if not bounds:
+        return rows.withColumn("window", F.lit(0))
+    width = math.isqrt(len(bounds)) + 1
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    kind = rows.schema["id"].dataType.simpleString()
+    text = "[" + ",".join("[" + ",".join(g) + "]" for g in groups) + "]"
+    of = F.from_json(F.lit(text), f"array<array<struct<id:{kind},tie:bigint>>>")
+    heads = F.from_json(F.lit("[" + ",".join(g[0] for g in groups) + "]"), f"array<struct<id:{kind},tie:bigint>>")
+    key = F.struct("id", "tie")
+    reached = lambda among: F.size(F.filter(among, lambda bound: bound <= key))
+    rows = rows.withColumn("group", reached(heads))
+    return rows.withColumn("window", F.when(F.col("group") == 0, 0).otherwise((F.col("group") - 1) * width + reached(F.get(of, F.col("group") - 1)))).drop("group")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, sigs and those of the next document in descending id: next_text, next_sigs. The last's is the first.
 
-    Ids fall into windows of neighbours along bounds that Spark's range partitioning finds. A window's last document
-    finds its next in a copy of the next window's first, so that texts are shuffled once.
+    A window's last document finds its next in a copy of the next window's first, so that texts are shuffled once.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids = rows.select("id").where("id is not null")
-    n = ids.count()
-    size = max(WINDOW_ROWS, n // MOST_WINDOWS)
-    bounds = ids.repartitionByRange(max(1, -(-n // size)), "id").groupBy(F.spark_partition_id().alias("part")).agg(F.min("id").alias("low")).collect() if n > size else []
-    splits = sorted({float(r["low"]) for r in bounds})[1:]
-    if splits:
-        # Null ids come last, with the lowest.
-        rows = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="_place", outputCol="window").transform(rows.withColumn("_place", F.coalesce(F.col("id"), F.lit(-(2**63))).cast("double")))
-        rows = rows.withColumn("window", F.col("window").cast("int")).drop("_place")
-    else:
-        rows = rows.withColumn("window", F.lit(0))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    # First of each window: by id first, so that only these rows' texts are looked at.
-    top = rows.groupBy("window").agg(F.max("id").alias("high"))
-    heads = rows.join(F.broadcast(top.select(F.col("window").alias("w"), "high")), (F.col("window") == F.col("w")) & F.col("id").eqNullSafe(F.col("high")))
-    heads = written(heads.groupBy("window").agg(F.max(F.struct("tie", "id", "text")).alias("head")), "spot-heads")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = in_windows(rows.withColumn("tie", F.xxhash64("text")))
+    # First of each window: by key first, so that only these rows' texts move.
+    key = F.struct("id", "tie")
+    top = rows.groupBy("window").agg(F.max(key).alias("high")).select(F.col("window").alias("w"), "high")
+    heads = rows.join(F.broadcast(top), (F.col("window") == F.col("w")) & key.eqNullSafe(F.col("high")))
+    heads = written(heads.groupBy("window").agg(F.first("id").alias("id"), F.first("tie").alias("tie"), F.first("text").alias("text")), "spot-heads")
     order = Window.orderBy(F.desc("window"))
     to = heads.select("window").withColumn("to", F.lag("window").over(order))
     last = heads.agg(F.min("window").alias("low"), F.max("window").alias("high"))
     to = to.join(F.broadcast(last), F.col("window") == F.col("high"), "left").select(F.col("window").alias("own"), F.coalesce("to", "low").alias("to"))
-    extra = heads.join(to, F.col("window") == F.col("own")).select(F.col("head.id").alias("id"), F.col("head.text").alias("text"), F.col("to").alias("window"), F.col("head.tie").alias("tie"), F.lit(1).alias("copy"))
-    all_rows = rows.withColumn("copy", F.lit(0)).unionByName(extra).withColumn("sigs", signatures(F.col("text")))
+    extra = heads.join(to, F.col("window") == F.col("own")).select("id", "text", "tie", F.col("to").alias("window"), F.lit(1).alias("copy"))
+    # Dealt out before signatures are made: these needn't move.
+    all_rows = rows.withColumn("copy", F.lit(0)).unionByName(extra).repartition("window").withColumn("sigs", signatures(F.col("text")))
     down = Window.partitionBy("window").orderBy("copy", F.col("id").desc_nulls_last(), F.desc("tie"))
     near = all_rows.withColumn("next", F.lead(F.struct("text", "sigs")).over(down)).where("copy = 0")
     return near.select("id", "text", "sigs", F.col("next.text").alias("next_text"), F.col("next.sigs").alias("next_sigs"))
@@ -126,13 +160,13 @@ def similar(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     threshold with sets of its own partition and the next. There, two sets that reach it share one of the rarest
     signatures of each, len - ceil(threshold * len) + 1 of them, rarity counted over the corpus.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), signatures(F.coalesce(F.col(text_col), F.lit(""))).alias("sigs"))
+    rows = docs.select(F.col(id_col).alias("id"), signatures(F.coalesce(F.col(text_col), F.lit(""))).alias("sigs"))
     rows = written(rows.withColumn("class", F.sha2(F.array_join("sigs", ","), 256)), "spot-rows")
     classes = written(rows.where(F.size("sigs") > 0).groupBy("class").agg(F.min("sigs").alias("sigs")).withColumn("n", F.size("sigs")), "spot-classes")
     each = classes.select("class", "n", F.explode("sigs").alias("sig"))
     often = each.groupBy("sig").agg(F.count(F.lit(1)).alias("often")).withColumnRenamed("sig", "s")
     ranked = each.join(often, F.col("sig") == F.col("s")).groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("by"))
-    keys = ranked.withColumn("part", F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold)).cast("int"))
+    keys = ranked.withColumn("part", length_part(F.col("n"), threshold))
     keys = keys.select("class", "n", "part", F.explode(F.slice("by", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("x")).select("class", "n", "part", F.col("x.sig").alias("sig"))
     left = keys.select(F.col("class").alias("a"), F.col("n").alias("an"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("meet"), F.col("part").alias("ap"), "sig")
     right = keys.select(F.col("class").alias("b"), F.col("n").alias("bn"), F.col("part").alias("meet"), F.col("sig").alias("bsig"))
@@ -140,5 +174,5 @@ def similar(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     pairs = left.join(right, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sets = classes.select("class", "sigs")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("sigs").alias("as")), "a").join(sets.select(F.col("class").alias("b"), F.col("sigs").alias("bs")), "b")
-    both = both.select("a", "b", likeness(F.col("as"), F.col("bs")).alias("likeness")).where(F.col("likeness") >= threshold)
+    both = both.select("a", "b", likeness(F.col("as"), F.col("bs"), threshold).alias("likeness")).where("likeness > 0")
     return rows.select(F.col("id").alias(id_col), "class"), both
