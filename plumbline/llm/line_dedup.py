@@ -23,7 +23,7 @@ DOCUMENT_RATIO = 0.01
 
 #: Elements that end a line in a page, and those whose content is no text.
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|th|title|tr|ul"
-UNSEEN = "(?is)<!--.*?-->|<(script|style)\\b.*?</\\1\\s*>"
+UNSEEN = "(?is)<!--.*?(?:-->|\\z)|<(script|style)\\b.*?(?:</\\1\\s*>|\\z)"
 
 
 def text_lines(text: Column) -> Column:
@@ -31,12 +31,26 @@ def text_lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once: inside higher-order functions, a named column would be repeated."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def tags_replaced(text: Column, tag: str, by: str) -> Column:
+    """The text with every tag replaced. Tags end with ">", so what follows the last one has none and isn't searched:
+    a search that meets no end would go over the rest of the text again at every start."""
+    def cut(x: Column) -> Column:
+        tail = F.substring_index(x, ">", -1)
+        return F.concat(F.regexp_replace(F.substring(x, F.lit(1), F.length(x) - F.length(tail)), tag, by), tail)
+
+    return F.when(F.contains(text, F.lit(">")), let(text, cut)).otherwise(text)
+
+
 def page_lines(html: Column) -> Column:
-    """The trimmed lines a browser would show, tags removed; null: none."""
+    """The trimmed lines a browser would show, tags removed; null: none. An unclosed comment or script goes on to the end."""
     seen = F.regexp_replace(F.coalesce(html, F.lit("")), UNSEEN, "\n")
-    parts = F.split(seen, f"(?i)\n|</?(?:{BLOCKS})\\b[^>]*>")
-    lines = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", "")))
-    return F.filter(lines, lambda x: x != "")
+    lines = F.split(tags_replaced(seen, f"(?i)</?(?:{BLOCKS})\\b[^>]*>", "\n"), "\n")
+    return F.filter(F.transform(lines, lambda x: F.trim(tags_replaced(x, "<[^>]*>", ""))), lambda x: x != "")
 
 
 def line_key(line: Column) -> Column:

@@ -80,7 +80,7 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5"""
 
 LINE_SQL = """with h as (select page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') as host,
- list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', chr(10), 'g'), '(?is)<script\\b.*?</script\\s*>', chr(10), 'g'), '(?is)<style\\b.*?</style\\s*>', chr(10), 'g'),
+ list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(?:-->|\\z)', chr(10), 'g'), '(?is)<script\\b.*?(?:</script\\s*>|\\z)', chr(10), 'g'), '(?is)<style\\b.*?(?:</style\\s*>|\\z)', chr(10), 'g'),
   '(?i)\\n|</?(?:BLOCKS)\\b[^>]*>'), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'), ' ')), lambda x: x <> '') as lines from pages),
 k as (select *, array_to_string(lines, chr(10)) as page from h),
 t as (select host, count(distinct page) as host_pages from k group by host),
