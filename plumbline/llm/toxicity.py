@@ -1,7 +1,7 @@
 """Operator 3: toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 A document's features are the distinct hashed character n-grams of its whole text. On a bounded, hash-chosen sample of
-labelled rows (PER_CLASS rows of each label), each feature gets the log of the ratio of its smoothed document counts
+labelled rows (PER_CLASS rows of each label, one text of each id), each feature gets the log of the ratio of its smoothed document counts
 under the two labels; a logistic regression with an L2 penalty is fitted on the features so scaled. The fit is one
 task over the bounded sample; scoring is a map over all rows with one weight a feature (BUCKETS floats, broadcast).
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import in_pieces, written
+from plumbline.llm.common import in_pieces, share_package
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -102,11 +102,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn_from: Column, per_cl
     ids = chosen[0].union(chosen[1]).select(F.col("id").alias("of"), "label")
     # Bounded by 2 * per_class ids, so that a broadcast is safe and the texts of other rows never move.
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), F.col("id") == F.col("of")).select("id", "text", "label")
+    found = texts.join(F.broadcast(ids), F.col("id") == F.col("of"))
+    return found.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[np.ndarray, float]:
     """The fitted weights and intercept. learn_from: which rows of labels may be learned from, over a column named id."""
+    share_package(docs.sparkSession)
     sample = training_rows(docs, labels, learn_from, per_class, id_col, text_col, label_col)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

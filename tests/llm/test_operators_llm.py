@@ -4,11 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from plumbline.llm import licenses, line_dedup, minhash, mixing, secrets, spotsigs, token_counts, topk, toxicity
@@ -101,7 +104,7 @@ def test_mix(docs, none):
     for r in docs.collect():
         size[r["source"]] += len(WORD.findall(r["text"] or ""))
     names = sorted(size, key=lambda s: (s is None, s or ""))
-    want = mixing.water_fill([size[n] for n in names], [1, 2, 3, 1], 3)
+    want = water_fill([size[n] for n in names], [1, 2, 3, 1], 3)
     source = {r["doc_id"]: r["source"] for r in docs.collect() if r["doc_id"] is not None}
     taken = Counter()
     for r in got:
@@ -114,29 +117,98 @@ def test_mix(docs, none):
     assert mixing.mix_totals(none).count() == 0
 
 
-def test_water_fill():
-    assert mixing.water_fill([10, 90], [1, 1], 3) == [30, 70]
-    assert mixing.water_fill([0, 5], [1, 2], 3) == [0, 5]
-    assert sum(mixing.water_fill([7, 11, 400, 3], [1, 2, 3, 1], 3)) == pytest.approx(421)
+def water_fill(sizes, weights, most):
+    targets, live, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while live:
+        share = left / sum(weights[i] for i in live)
+        full = {i for i in live if share * weights[i] > most * sizes[i]}
+        for i in full or live:
+            targets[i] = most * sizes[i] if full else share * weights[i]
+            left -= targets[i]
+        live -= full or live
+    return targets
+
+
+@pytest.mark.parametrize(("sizes", "weights", "want"), [([10, 90], [1, 1], [30, 70]), ([0, 5], [1, 2], [0, 5]), ([7, 11, 400, 3], [1, 2, 3, 1], None)])
+def test_water_filling(spark, sizes, weights, want):
+    rows = spark.createDataFrame([(i, n, float(w)) for i, (n, w) in enumerate(zip(sizes, weights, strict=True))], "place long, size long, weight double")
+    got = [r["target"] for r in mixing.water_filled(rows, 3).orderBy("place").collect()]
+    assert got == pytest.approx(want or water_fill(sizes, weights, 3)) and sum(got) == pytest.approx(sum(sizes))
 
 
 def test_splitting_tree_and_permutation():
     quotas = np.array([1000, 3, 0, 517])
     parts = mixing.split_quotas(quotas, 7, 5)
     assert (parts.sum(axis=1) == quotas).all() and parts.sum(axis=0).max() - parts.sum(axis=0).min() <= 3
+    given = mixing.split_quotas(quotas, [1500, 0, 20], 5)
+    assert given.sum(axis=0).tolist() == [1500, 0, 20] and (given.sum(axis=1) == quotas).all()
+    huge = np.array([3 * 10**12, 10**9, 7])
+    parts = mixing.split_quotas(huge, 5, 5)
+    assert (parts.sum(axis=1) == huge).all() and (parts >= 0).all() and np.ptp(parts.sum(axis=0)) <= 3
     for n in (1, 2, 5, 64, 1001):
         assert sorted(mixing.permuted(np.arange(n), n, 9)) == list(range(n))
 
 
+def test_own_hypergeometric_draw_follows_numpys(monkeypatch):
+    for good, bad, need in ((30, 50, 20), (5, 1000, 300), (4000, 100, 2000)):
+        want = np.bincount(np.random.default_rng(1).hypergeometric(good, bad, need, 40_000), minlength=good + 1) / 40_000
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "NUMPY_LIMIT", 0)
+            draw = np.random.default_rng(2)
+            got = np.bincount([mixing.hypergeometric(draw, good, bad, need) for _ in range(20_000)], minlength=good + 1) / 20_000
+        assert np.abs(got - want).max() < 0.015
+    draw = np.random.default_rng(3)
+    x = np.array([mixing.hypergeometric(draw, 4 * 10**11, 6 * 10**11, 5 * 10**11) for _ in range(2000)], float)
+    sd = (5e11 * 0.4 * 0.6 * 0.5) ** 0.5
+    assert abs(x.mean() - 2e11) < 4 * sd / 2000**0.5 and abs(x.std() / sd - 1) < 0.08
+
+
 def test_drawn_blocks_are_disjoint_and_fill_the_shards(docs):
-    _, drawn, recipe = mixing.mix(docs, weights=[1, 2, 3], block_words=64, shards=8)
-    rows = drawn.toPandas()
+    run = mixing.Mix(docs, weights=[1, 2, 3], block_words=64, shards=8)
+    rows, recipe = run.pieces().toPandas(), run.recipe.toPandas()
     assert (rows.groupby(["source", "pass", "block"], dropna=False)["shard"].nunique() == 1).all()
-    filled = rows.drop_duplicates(["source", "pass", "block"]).groupby("shard").size().reindex(range(8), fill_value=0)
-    assert filled.tolist() == np.diff(recipe.offsets, axis=1).sum(axis=0).tolist()
+    filled = rows.drop_duplicates(["source", "pass", "block"]).groupby("shard").size().reindex(range(8), fill_value=0).to_numpy()
+    quotas = sum(np.array(q) for own in recipe["quotas"] for q in own)
+    # One block of each source is cut, which may be one beside the quotas.
+    assert np.ptp(quotas) <= 1 and 0 <= (filled - quotas).min() and (filled - quotas).sum() <= len(recipe)
     assert not rows.duplicated(["source", "pass", "start", "first"]).any()
 
 
+def test_the_tree_decides_what_is_taken():
+    rng = np.random.default_rng(4)
+    size = rng.integers(1, 900, 400)
+    rows = pd.DataFrame({"start": np.r_[0, np.cumsum(size)[:-1]], "size": size})
+    own = {"place": 0, "size": int(size.sum()), "target": 1.4 * size.sum(), "blocks": int(-(-size.sum() // 256)), "block_words": 256, "passes": 1, "rest": round(0.4 * size.sum())}
+    other = own | {"place": 1, "rest": 5000}
+    quotas = mixing.even_parts(sum(r["blocks"] + -(-r["rest"] // 256) for r in (own, other)), 8)
+    taken = []
+    # The band seeds the tree alone: streams and permutations stay.
+    for band in (0, 1):
+        group = pd.DataFrame([r | {"source": str(r["place"]), "band": band, "quotas": quotas} for r in (own, other)])
+        found = mixing.pieces(rows, mixing.group_recipes(8, 7)(group).iloc[0], 7)
+        taken.append(np.bincount(found["at"], found["words"], minlength=400))
+        assert (taken[-1] >= size).all() and (taken[-1] <= 2 * size).all()
+    assert taken[0].sum() == taken[1].sum() == own["size"] + own["rest"] and (taken[0] != taken[1]).any()
+
+
+def test_mix_of_many_sources_and_hot_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_SOURCES", 16)
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 100:03d}") for i in range(1500)] + [(None, "null id " * (i % 3), None) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_totals(d, weights=[1, 2, 3]).toPandas()
+    assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all()
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, water_fill([size[n] for n in names], [1 + i % 3 for i in range(101)], 3), strict=True))
+    source = {i: s for i, _, s in rows}
+    taken = got.groupby(got["doc_id"].map(source).fillna("null"))["taken"].sum()
+    assert all(abs(taken[s or "null"] - w) <= 1 for s, w in want.items())
+    empty = mixing.mix_totals(d.where("false"))
+    assert dict(empty.dtypes) == {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"} and empty.isEmpty()
+
+
 def test_mixed_documents_keep_columns(docs, none):
     out = mixing.mixed_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), weights=[1, 2, 3])
     assert out.columns == docs.columns
@@ -194,11 +266,24 @@ def test_secret_scan(spark, docs, none):
             assert [s for s in r["spans"].split(",") if s.split(":")[0] in ("assign", "access", "hex")] == [s for s in want.split(",") if s]
             assert r["n_hex"] == want.count("hex:")
     by = {r["doc_id"]: r for r in got}
-    assert (by[200]["n_shared"], by[200]["n_live"], by[200]["most_owners"]) == (1, 0, 4)
-    assert by[100]["n_live"] >= 1 and "github" in by[105]["spans"]
+    assert (by[200]["n_shared"], by[200]["n_live"], by[200]["most_owners"], by[200]["most_repositories"]) == (1, 0, 4, 4)
+    assert by[200]["shared_spans"] == by[200]["spans"] and by[200]["live_spans"] == ""
+    assert by[100]["n_live"] >= 1 and "github" in by[105]["spans"] and by[105]["live_spans"] == by[105]["spans"]
+    for r in got:
+        parts = [r[c].split(",") if r[c] else [] for c in ("spans", "live_spans", "shared_spans")]
+        assert not set(parts[1]) & set(parts[2]) and set(parts[1]) | set(parts[2]) <= set(parts[0]) and (len(parts[1]), len(parts[2])) == (r["n_live"], r["n_shared"])
     assert secrets.scan(none).count() == 0
 
 
+def test_values_found_most_often_count_alike(spark, monkeypatch):
+    rows = [(i, f"token: abcdefghijKLM{min(i % 50, 9)}x", f"o{i % 5 if i % 50 >= 9 else i % 50}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(secrets, "HEAVY_VALUES", 2)
+    a = sorted(secrets.scan(d).collect())
+    monkeypatch.setattr(secrets, "HEAVY_VALUES", 1 << 40)
+    assert a == sorted(secrets.scan(d).collect()) and {r["n_shared"] for r in a} == {0, 1}
+
+
 def brute_groups(rows, words, percent):
     sets = []
     for _, text in rows:
@@ -266,26 +351,81 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_spot_signatures(spark, docs, none, texts, monkeypatch):
+def test_top_k_takes_every_finite_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.choice([0, 1, 7, 12, 15])]) for i in range(120)]
+    rows += [(200, [1e300, 0.0, 0.0, 0.0]), (201, [-1e300, 1.0, 0.0, 0.0]), (250, [1e7] * 4), (202, [8_388_608.0] * 4), (203, [0.5, 0.25, -0.5, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    whole = {i: [int(x * 256 // 1) if abs(x) < 1e15 else int(x) * 256 for x in v] for i, v in rows}
+    want, long = [], 2**63 - 1
+    for q in (i for i in whole if i % 50 == 0):
+        scores = {i: sum(a * b for a, b in zip(whole[q], v, strict=True)) for i, v in whole.items() if i != q}
+        capped = sorted((-min(max(s, 1 - 10**38), 10**38 - 1), i) for i, s in scores.items())[:5]
+        want += [(q, r + 1, i, min(max(-s, -long - 1), long)) for r, (s, i) in enumerate(capped)]
+    assert got == sorted(want)
+
+
+LETTERS = regex.compile(r"\p{L}+")
+
+
+def spot_set(text):
+    words = LETTERS.findall(text.lower())
+    common = set(spotsigs.ANCHORS)
+    found = set()
+    for i, w in enumerate(words):
+        if w in common:
+            chain = [x for x in words[i + 1 :] if x not in common][:2] if len(words) < 3000 else []
+            for x in words[i + 1 :] if not chain else []:
+                if len(chain) < 2 and x not in common:
+                    chain.append(x)
+                if len(chain) == 2:
+                    break
+            if len(chain) == 2:
+                found.add((w, *chain))
+    return found or ({tuple(words)} if words else set())
+
+
+def likeness(a, b):
+    j = len(a & b) / len(a | b) if a | b else 1.0
+    return j if j >= spotsigs.LEAST else 0.0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_spot_signatures(spark, docs, none, texts, monkeypatch, kind):
     monkeypatch.setattr(spotsigs, "WINDOW_ROWS", 9)
-    got = by_id(spotsigs.fingerprints(docs))
-    order = [i for i in range(len(texts))][::-1]
-    after_last = [r for r in docs.collect()]
-    for place, i in enumerate(order[:-1]):
-        text, follows = texts[i] or "", texts[order[place + 1]] or ""
-        if i == 20:
-            continue  # three equal rows follow each other; the last is followed by 19
+    texts = ["The quick fox and the lazy dog of a house was there", *texts[1:]]
+    rows = [(i if kind == "long" else f"{i:04d}", t) for i, t in enumerate(texts)] + [(None, f"the null id {i} and its text") for i in range(30)]
+    rows += [rows[20], rows[20]]
+    d = spark.createDataFrame(rows, f"doc_id {kind}, text string").withColumns({c: F.lit("clash") for c in CLASHES})
+    tie = {t: x for t, x in d.select("text", F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, [-ord(c) for c in f"{r[0]:04d}"] if kind == "long" and r[0] is not None else [-ord(c) for c in r[0] or ""], -tie[r[1]]))
+    want = Counter()
+    for row, follows in zip(order, order[1:] + order[:1], strict=True):
+        text, other = row[1] or "", follows[1] or ""
         half = len(text) // 2
-        assert got[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - half] + follows[:half]).encode()).hexdigest(), i
-        assert got[i]["n_chars"] == len(text) and 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
-    same = {}
-    for i, t in enumerate(texts):
-        same.setdefault(t or "", set()).add(got[i]["fingerprint"])
-    assert all(len(v) == 1 for v in same.values())
-    assert len(spotsigs.fingerprints(docs).collect()) == len(after_last)
+        edited = text[: len(text) - half] + other[:half]
+        want[row[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), round(likeness(spot_set(text), spot_set(edited)), 9), round(likeness(spot_set(text), spot_set(other)), 9)] += 1
+    got = spotsigs.fingerprints(d).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+    prints = {}
+    for r in got:
+        prints.setdefault(r["fingerprint"], r["doc_id"])
+        assert len(r["fingerprint"]) % 8 == 0 and len(r["edited_fingerprint"]) % 8 == 0
     assert spotsigs.fingerprints(none).count() == 0
-    alone = docs.where("doc_id = 30")
-    assert spotsigs.fingerprints(alone).collect()[0]["near_next"] == 1.0
+    alone = spotsigs.fingerprints(docs.where("doc_id = 30")).collect()[0]
+    assert alone["near_next"] == 1.0 and len(alone["fingerprint"]) == 8 * len(spot_set(texts[30]))
+
+
+def test_pruned_likeness_is_the_jaccard_similarity_from_the_least_on(spark):
+    rng = random.Random(3)
+    rows = [(sorted(rng.sample(range(40), rng.randint(0, 30))), sorted(rng.sample(range(40), rng.randint(0, 30)))) for _ in range(400)]
+    d = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    for least in (0.05, 0.5, 0.8):
+        for r in d.select("a", "b", spotsigs.likeness(F.col("a"), F.col("b"), least).alias("j")).collect():
+            a, b = set(r["a"]), set(r["b"])
+            j = len(a & b) / len(a | b) if a | b else 1.0
+            assert r["j"] == pytest.approx(j if j >= least else 0.0)
 
 
 def test_signatures_are_chains_after_anchors(spark):
@@ -363,3 +503,45 @@ def test_page_lines(spark):
     df = spark.createDataFrame([(html, "https://u@Example.ORG:80/x?y"), (None, None), ("", "nonsense")], "html string, url string")
     rows = df.select(line_dedup.page_lines(F.col("html")).alias("l"), line_dedup.page_host(F.col("url")).alias("h")).collect()
     assert [(r["l"], r["h"]) for r in rows] == [(["menu", "One two.", "Three"], "example.org"), ([], None), ([], None)]
+
+
+def test_page_line_dedup(spark):
+    pages = [(i, "http://h1.org/x", f"<p>menu</p><p>own {i}</p>" + "<p>menu</p>" * (i % 2)) for i in range(20)] + [(1, "http://h1.org/x", "<p>menu</p><p>own 1</p><p>menu</p>")]
+    pages += [(50, None, None), (51, "no host", ""), (None, "http://h2.org", "<p>menu</p>"), (52, "http://h2.org", "<p>menu<b>s</p>")]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in CLASHES})
+    got = Counter(tuple(r) for r in line_dedup.page_line_dedup(d).select("page_id", "host", "n_lines", "n_dropped", "text").collect())
+    want = Counter((i, "h1.org", 2 + i % 2, 1 + i % 2, f"own {i}") for i in [*range(20), 1])
+    want += Counter([(50, None, 0, 0, ""), (51, None, 0, 0, ""), (None, "h2.org", 1, 0, "menu"), (52, "h2.org", 1, 0, "menus")])
+    assert got == want
+    assert line_dedup.page_line_dedup(d.where("false")).count() == 0
+
+
+HOSTILE = {
+    "letters": "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)) + " http://",
+    "jwt": "eyJ" * 330_000,
+    "scheme": "a" * 1_000_000 + "://u:p@",
+    "places": "cc by x " * 125_000,
+    "licenses": "mit license gpl 2 0 " * 50_000,
+    "scripts": "<script " * 125_000,
+    "comments": "<!-- " * 200_000,
+    "tags": "<p " * 330_000,
+    "inline": "x\n" + "<" * 1_000_000,
+    "blanks": "token" + " " * 1_000_000 + "bearer" + " " * 1_000_000,
+}
+
+
+HOSTILE_RUNS = {
+    "op1": lambda d: token_counts.token_counts(d, VOCABULARY),
+    "op4": secrets.scan,
+    "op8": spotsigs.fingerprints,
+    "op9": licenses.license_scan,
+    "op10": lambda d: line_dedup.page_line_dedup(d.select(F.col("doc_id").alias("page_id"), F.lit("http://h.org").alias("url"), F.col("text").alias("html"))),
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE_RUNS))
+def test_long_hostile_texts_take_seconds(spark, name):
+    d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(HOSTILE.values())], "doc_id long, text string, source string")
+    began = time.time()
+    assert len(HOSTILE_RUNS[name](d).collect()) == len(HOSTILE)
+    assert time.time() - began < 10 * len(HOSTILE)

@@ -10,8 +10,9 @@ import public_tokenizers as P
 
 import __spark_entry__
 import corpus_pipeline
-from plumbline.llm import mixing, toxicity
+from plumbline.llm import toxicity
 from plumbline.llm.common import table
+from tests.llm.test_operators_llm import water_fill
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -59,7 +60,7 @@ def check_source_mix(spark, before, after):
         own[r["doc_id"]] = (r["source"], len(WORD.findall(r["text"])))
         size[r["source"]] += own[r["doc_id"]][1]
     names = sorted(size)
-    want = dict(zip(names, mixing.water_fill([size[n] for n in names], [(1, 2, 3)[i % 3] for i in range(len(names))], 3), strict=True))
+    want = dict(zip(names, water_fill([size[n] for n in names], [(1, 2, 3)[i % 3] for i in range(len(names))], 3), strict=True))
     taken = Counter()
     for i, n in times.items():
         assert n <= 3
