@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.order import hash_bins, quantile_bins, running_before
+
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
@@ -75,17 +77,31 @@ def both_ends(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
 
 
 def even_stride(df: DataFrame, key: str, wanted: int, of: int) -> DataFrame:
-    """Every (of / wanted)-th row in key order: rows int(i * of / wanted) for i below wanted."""
-    at = F.row_number().over(Window.orderBy(key)) - 1
+    """Every (of / wanted)-th row in key order: rows int(i * of / wanted) for i below wanted. Keys are numbers."""
+    placed = running_before(quantile_bins(df, key), [], "_bin", [F.col(key)], F.lit(1).cast("long")).withColumnRenamed("before", "at")
     stride = of / wanted
     near = F.ceil(F.col("at") / F.lit(stride)).cast("long")
-    return df.withColumn("at", at.cast("long")).where((F.floor(near * F.lit(stride)).cast("long") == F.col("at")) & (near < wanted)).drop("at")
+    return placed.where((F.floor(near * F.lit(stride)).cast("long") == F.col("at")) & (near < wanted)).drop("at", "_bin")
 
 
 def permuted_labels(df: DataFrame, key: str, label: str, group: str) -> DataFrame:
-    """key and another row's label of the same group: rows in key order meet rows in hash order."""
-    by_key = Window.partitionBy(group).orderBy(key)
-    by_hash = Window.partitionBy(group).orderBy(F.md5(F.col(key).cast("string")), key)
-    a = df.select(group, key, F.row_number().over(by_key).alias("at"))
-    b = df.select(F.col(group).alias("g"), F.col(label).alias("permuted"), F.row_number().over(by_hash).alias("n"))
-    return a.join(b, (F.col(group) == F.col("g")) & (F.col("at") == F.col("n"))).select(key, group, "permuted")
+    """key and another row's label of the same group: rows in key order meet rows in hash order. Keys are numbers."""
+    one, digest = F.lit(1).cast("long"), F.md5(F.col(key).cast("string"))
+    a = running_before(quantile_bins(df.select(group, key), key), [group], "_bin", [F.col(key)], one).drop("_bin")
+    b = df.select(F.col(group).alias("g"), F.col(label).alias("permuted"), digest.alias("digest"), F.col(key).alias("other")).withColumn("_bin", hash_bins(F.col("digest")))
+    b = running_before(b, ["g"], "_bin", [F.col("digest"), F.col("other")], one).select("g", "permuted", F.col("before").alias("n"))
+    return a.join(b, F.col(group).eqNullSafe(F.col("g")) & (F.col("before") == F.col("n"))).select(key, group, "permuted")
+
+
+def at_least_one(df: DataFrame, what: str) -> DataFrame:
+    """df itself; an error where a filter has left nothing."""
+    if df.isEmpty():
+        raise ValueError(f"no rows left after {what}")
+    return df
+
+
+def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, finite and nonzero (shares of all rows), median and sd of the finite values."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
+    x = F.when(finite("x"), F.col("x"))
+    return each.groupBy("feature").agg(F.avg(x.isNotNull().cast("double")).alias("finite"), F.avg(F.coalesce(x != 0, F.lit(False)).cast("double")).alias("nonzero"), F.median(x).alias("median"), F.stddev_samp(x).alias("sd"))

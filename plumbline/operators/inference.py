@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of the linear congruential draws (modulo 2**31), so that reruns and other engines agree.
-LCG_A, LCG_C, LCG_M = 1103515245, 12345, 2147483648
+from plumbline.operators.order import quantile_bins, running_before
+
+#: Probabilities that a Poisson variable of mean 1 is at most 0, 1, 2 and so on.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+
 
+def scrambled(df: DataFrame, x: Column, name: str) -> DataFrame:
+    """df with a 32-bit hash of whole numbers in plain 64-bit arithmetic, so that reruns and other engines agree.
+
+    Each round is a column of its own: written as one expression, a round's argument would be worked out twice.
+    """
+    df = df.withColumn(name, F.pmod(x, F.lit(1 << 32)))
+    for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+        df = df.withColumn(name, F.pmod(F.col(name).bitwiseXOR(F.shiftright(name, shift)) * F.lit(factor), F.lit(1 << 32)))
+    return df.withColumn(name, F.col(name).bitwiseXOR(F.shiftright(name, 15)))
 
-def draws(spark, replicates: Column | int, clusters: DataFrame) -> DataFrame:
-    """replicate, place: which cluster each of the replicate's draws takes. clusters: one row with n_clusters."""
-    each = clusters.select("n_clusters", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    each = each.select("replicate", "n_clusters", F.explode(F.sequence(F.lit(0), F.col("n_clusters").cast("int") - 1)).alias("i"))
-    seed = (F.col("replicate").cast("long") * F.lit(1000003) + F.col("i").cast("long")) % F.lit(LCG_M)
-    once = (seed * F.lit(LCG_A) + F.lit(LCG_C)) % F.lit(LCG_M)
-    twice = (once * F.lit(LCG_A) + F.lit(LCG_C)) % F.lit(LCG_M)
-    return each.select("replicate", (F.floor(twice / 65536) % F.col("n_clusters")).cast("long").alias("place"))
 
+def resampled(df: DataFrame, cluster: str, replicates: int) -> DataFrame:
+    """df once for each replicate, with replicate and times: how often it draws the cluster, which may be 0.
 
-def multiplicities(df: DataFrame, cluster: str, replicates: int) -> DataFrame:
-    """replicate, cluster, times: how often each replicate draws each cluster."""
-    own = df.select(cluster).distinct().select(cluster, (F.row_number().over(Window.orderBy(cluster)) - 1).cast("long").alias("own"))
-    n = own.agg(F.count(F.lit(1)).alias("n_clusters"))
-    times = draws(df.sparkSession, replicates, n).groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("times"))
-    # Draws come from one row, so Spark takes them for small and would broadcast them.
-    return times.hint("merge").join(own, F.col("place") == F.col("own")).select("replicate", cluster, "times")
+    Each replicate draws each cluster a Poisson number of times of mean 1, which a hash of both gives: no cluster is
+    numbered, nothing is shuffled, and all rows of a cluster have the same number. A null cluster isn't drawn.
+    """
+    kind = df.schema[cluster].dataType.simpleString()
+    number = F.col(cluster).cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(cluster)
+    own = scrambled(df.where(F.col(cluster).isNotNull()), number, "_h")
+    each = scrambled(df.sparkSession.range(replicates).withColumnRenamed("id", "replicate"), F.col("replicate") + 1, "_r")
+    # One row a replicate: that many longs are broadcast.
+    both = scrambled(own.join(F.broadcast(each)), F.col("_h").bitwiseXOR(F.col("_r")), "_x")
+    share = F.col("_x") / F.lit(float(1 << 32))
+    times = sum((F.when(share >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(share >= POISSON[0], 1).otherwise(0))
+    # Rows drawn 0 times stay, since a filter would be pushed below the columns above and work them out again.
+    return both.withColumn("times", times.cast("long")).drop("_h", "_r", "_x")
 
 
 def bootstrap_r2(df: DataFrame, cluster: str, y: str, base: str, full: str, replicates: int, level: float = 0.95) -> DataFrame:
@@ -35,44 +49,37 @@ def bootstrap_r2(df: DataFrame, cluster: str, y: str, base: str, full: str, repl
     """
     e = lambda c: (F.col(y) - F.col(c)) * (F.col(y) - F.col(c))
     stats = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(e(base)).alias("eb"), F.sum(e(full)).alias("ef"))
-    m = multiplicities(stats, cluster, replicates)
-    w = m.hint("merge").join(stats, cluster).groupBy("replicate").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "sy", "syy", "eb", "ef")])
+    w = resampled(stats, cluster, replicates).groupBy("replicate").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "sy", "syy", "eb", "ef")])
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     r = w.where(sst > 0).select((1 - F.col("ef") / sst).alias("r_full"), (1 - F.col("ef") / sst - F.greatest(1 - F.col("eb") / sst, F.lit(0.0))).alias("r_inc"))
     t = (1 - level) / 2
     return r.agg(F.count(F.lit(1)).alias("replicates"), *[F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("r_full", "r_inc") for name, q in (("low", t), ("high", 1 - t))])
 
 
-#: Bins of equal width that a score's range is cut into before it is ranked.
-BINS = 4096
+def rank_sums(at: DataFrame, by: list[str]) -> DataFrame:
+    """by, n_positive, n_negative, auc of distinct scores s with p positives, q negatives and _bin: ties count half.
 
+    Scores are ranked within bins of about as many rows each, so no task sees all scores. auc is null where one label
+    is missing.
+    """
+    ranked = running_before(at, by, "_bin", [F.col("s")], F.col("q"))
+    win = F.col("p") * (F.col("before") + F.col("q").cast("double") / 2)
+    total = ranked.groupBy(*by).agg(F.coalesce(F.sum("p"), F.lit(0)).cast("long").alias("n_positive"), F.coalesce(F.sum("q"), F.lit(0)).cast("long").alias("n_negative"), F.sum(win).alias("w"))
+    both = F.col("n_positive").cast("double") * F.col("n_negative")
+    return total.select(*by, "n_positive", "n_negative", F.when(both > 0, F.try_divide("w", both)).alias("auc"))
 
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """n_positive, n_negative, auc by the rank sum over distinct scores: ties count half.
 
-    Scores are summed up by distinct value, then ranked within bins of the score's range; what lies below a bin is a
-    running sum over at most BINS + 1 rows, which are broadcast. So no task sees all scores.
-    """
+def auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """n_positive, n_negative, auc by the rank sum over distinct scores; rows without a label count on no side."""
     at = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    ends = at.agg(F.min("s").alias("low"), F.max("s").alias("high"))
-    place = F.least(F.floor((F.col("s") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * BINS), F.lit(BINS))
-    at = at.join(F.broadcast(ends)).withColumn("bin", F.coalesce(place, F.lit(0)).cast("int")).drop("low", "high")
-    bins = at.groupBy("bin").agg(F.sum("q").alias("bin_q"))
-    under = F.sum("bin_q").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    bins = bins.select(F.col("bin").alias("of"), F.coalesce(under, F.lit(0)).alias("under"))
-    inside = F.sum("q").over(Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    wins = at.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(bins), F.col("bin") == F.col("of"))
-    wins = wins.withColumn("win", F.col("p") * (F.col("under") + F.col("inside") + F.col("q").cast("double") / 2))
-    total = wins.agg(F.sum("p").alias("n_positive"), F.sum("q").alias("n_negative"), F.sum("win").alias("w"))
-    return total.select("n_positive", "n_negative", F.try_divide("w", F.col("n_positive").cast("double") * F.col("n_negative")).alias("auc"))
-
-
-def weighted_auc(df: DataFrame, by: str, label: str, score: str, weight: str) -> DataFrame:
-    """by, auc: null where a replicate has one class only."""
-    at = df.groupBy(by, score).agg(F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, F.col(weight)).otherwise(0)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = at.withColumn("win", F.col("p") * (below + F.col("q") / F.lit(2.0).cast("double"))).groupBy(by).agg(F.sum("win").alias("w"), F.sum("p").alias("n1"), F.sum("q").alias("n0"))
-    return s.select(by, F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.try_divide("w", F.col("n1").cast("double") * F.col("n0"))).alias("auc"))
+    return rank_sums(quantile_bins(at, "s"), [])
+
+
+def weighted_auc(df: DataFrame, by: str, label: str, score: str, weight: str, bins: str) -> DataFrame:
+    """by, auc: null where a replicate has one class only. bins: the column with the scores' bins."""
+    count = lambda y: F.sum(F.when(F.col(label) == y, F.col(weight)).otherwise(0))
+    at = df.where(F.col(score).isNotNull()).groupBy(by, F.col(bins).alias("_bin"), F.col(score).cast("double").alias("s")).agg(count(1).alias("p"), count(0).alias("q"))
+    return rank_sums(at, [by]).select(by, "auc")
 
 
 def auc_differences(df: DataFrame, cluster: str, label: str, base: str, full: str, replicates: int) -> DataFrame:
@@ -80,11 +87,11 @@ def auc_differences(df: DataFrame, cluster: str, label: str, base: str, full: st
 
     Equal rows of a cluster are counted first, so that each goes once into every replicate that draws the cluster.
     """
-    m = multiplicities(df, cluster, replicates)
     own = df.groupBy(cluster, label, base, full).agg(F.count(F.lit(1)).alias("equal"))
-    rows = m.hint("merge").join(own.where(F.col(cluster).isNotNull()), cluster).groupBy("replicate", label, base, full).agg(F.sum(F.col("times") * F.col("equal")).alias("times"))
-    a = weighted_auc(rows, "replicate", label, full, "times").withColumnRenamed("auc", "full_auc")
-    b = weighted_auc(rows, "replicate", label, base, "times").select(F.col("replicate").alias("r"), F.col("auc").alias("base_auc"))
+    own = quantile_bins(quantile_bins(own, base, "_base_bin"), full, "_full_bin")
+    rows = resampled(own, cluster, replicates).withColumn("times", F.col("times") * F.col("equal"))
+    a = weighted_auc(rows, "replicate", label, full, "times", "_full_bin").withColumnRenamed("auc", "full_auc")
+    b = weighted_auc(rows, "replicate", label, base, "times", "_base_bin").select(F.col("replicate").alias("r"), F.col("auc").alias("base_auc"))
     return a.join(b, F.col("replicate") == F.col("r")).select((F.col("full_auc") - F.col("base_auc")).alias("d"))
 
 
@@ -114,9 +121,49 @@ def testable(df: DataFrame, labels: list[str], least: int, folds: int) -> DataFr
 
 
 def noise_floor(df: DataFrame, key: str, run: str, value: str, runs: list[str]) -> DataFrame:
-    """n, mean_correlation, nu: 1 less the mean correlation between runs over the keys that all have, within [0, 1]."""
+    """n, mean_correlation, nu: 1 less the mean correlation between runs over the keys that all have, within [0, 1].
+
+    Pairs with a run without variance have no correlation and are left out; nu is null where none has one.
+    """
     wide = df.groupBy(key).pivot(run, runs).agg(F.avg(value)).dropna()
     pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i + 1 :]]
     c = wide.agg(F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    mean = sum((F.col(f"c{i}") for i in range(len(pairs))), F.lit(0.0)) / len(pairs)
+    found = F.filter(F.array(*[F.when(~F.isnan(f"c{i}"), F.col(f"c{i}")) for i in range(len(pairs))]), lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(found, F.lit(0.0), lambda x, y: x + y), F.size(found))
     return c.select("n", mean.alias("mean_correlation"), F.least(F.greatest(1 - mean, F.lit(0.0)), F.lit(1.0)).alias("nu"))
+
+
+def corrected_share(unexplained: Column, nu: Column) -> Column:
+    """The unexplained share beyond the noise between runs."""
+    return F.greatest(unexplained - nu, F.lit(0.0))
+
+
+def noise_floor_interval(df: DataFrame, key: str, run: str, value: str, runs: list[str], replicates: int = 1000, level: float = 0.95) -> DataFrame:
+    """noise_floor with low and high of nu from draws of single keys: replicates of weighted sums of products, in one pass.
+
+    A pair of runs without variance in a replicate is left out of that replicate's mean.
+    """
+    wide = df.groupBy(key).pivot(run, runs).agg(F.avg(value)).dropna()
+    pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i + 1 :]]
+    products = {f"s{i}": F.col(a) for i, a in enumerate(runs)} | {f"q{i}": F.col(a) * F.col(a) for i, a in enumerate(runs)} | {f"c{i}": F.col(a) * F.col(b) for i, (a, b) in enumerate(pairs)}
+    sums = resampled(wide, key, replicates).groupBy("replicate").agg(F.sum("times").alias("n"), *[F.sum(F.col("times") * p).alias(name) for name, p in products.items()])
+    at = {name: i for i, name in enumerate(runs)}
+    spread = lambda i: F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}") / F.col("n")
+    r = [F.try_divide(F.col(f"c{i}") - F.col(f"s{at[a]}") * F.col(f"s{at[b]}") / F.col("n"), F.sqrt(F.greatest(spread(at[a]) * spread(at[b]), F.lit(0.0)))) for i, (a, b) in enumerate(pairs)]
+    usable = F.filter(F.array(*r), lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(usable, F.lit(0.0), lambda x, y: x + y), F.size(usable))
+    nu = F.least(F.greatest(1 - mean, F.lit(0.0)), F.lit(1.0))
+    tail = (1 - level) / 2
+    ends = sums.select(F.when(mean.isNotNull(), nu).alias("nu")).agg(F.percentile("nu", F.lit(tail)).alias("low"), F.percentile("nu", F.lit(1 - tail)).alias("high"))
+    return noise_floor(df, key, run, value, runs).join(F.broadcast(ends))
+
+
+def report(links: DataFrame) -> DataFrame:
+    """One row over the tested labels: any_improves, all_equivalent, n_inconclusive and best, the label with the largest delta."""
+    sure = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return links.agg(F.bool_or(sure("improves")).alias("any_improves"), F.bool_and(sure("equivalent")).alias("all_equivalent"), F.count_if(~sure("improves") & ~sure("equivalent")).alias("n_inconclusive"), F.max_by("label", F.struct("delta", "label")).alias("best"))
+
+
+def tightest_bound(low: Column, high: Column) -> Column:
+    """The smallest margin that the interval lies inside."""
+    return F.greatest(F.abs(low), F.abs(high))

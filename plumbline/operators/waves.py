@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,23 +78,38 @@ def axis(df: DataFrame, vertical: str, horizontal: str) -> DataFrame:
 
 
 def scored(reference: DataFrame, detected: DataFrame, key: str, time: str, tolerance: float) -> DataFrame:
-    """key, n_reference, n_detected, n_matched, sensitivity, ppv, f1 and mean_error.
+    """key, n_reference, n_detected, n_matched, sensitivity, ppv, f1, mean_error and max_error (absolute; null without a match).
 
-    A reference and a detection match if each is the other's nearest within the tolerance, ties to the earlier. Both
-    sides fall into bins as wide as the tolerance, so that the band join is an equi-join over three bins.
+    References in order of time take their nearest detection within the tolerance that none before has taken, the
+    earlier of two as near. Where two neighbours on the time line, of either kind, are more than the tolerance apart,
+    no match spans the gap: what lies between two gaps is matched on its own, so that a long record isn't one task's.
     """
-    bin_ = lambda c: F.floor(F.col(c) / tolerance).cast("long")
-    a = reference.select(key, F.col(time).alias("rt")).withColumn("rb", bin_("rt"))
-    b = detected.select(F.col(key).alias("dk"), F.col(time).alias("dt")).withColumn("db", F.explode(F.array(bin_("dt") - 1, bin_("dt"), bin_("dt") + 1)))
-    near = a.join(b, (F.col(key) == F.col("dk")) & (F.col("rb") == F.col("db"))).withColumn("gap", F.abs(F.col("dt") - F.col("rt"))).where(F.col("gap") <= tolerance)
-    by_r = F.row_number().over(Window.partitionBy(key, "rt").orderBy("gap", "dt"))
-    by_d = F.row_number().over(Window.partitionBy(key, "dt").orderBy("gap", "rt"))
-    pairs = near.withColumn("r1", by_r).withColumn("d1", by_d).where("r1 = 1 and d1 = 1")
-    matched = pairs.groupBy(F.col(key).alias("mk")).agg(F.count(F.lit(1)).alias("n_matched"), F.avg(F.col("dt") - F.col("rt")).alias("mean_error"))
-    n_r = reference.groupBy(key).agg(F.count(F.lit(1)).alias("n_reference"))
-    n_d = detected.groupBy(F.col(key).alias("ck")).agg(F.count(F.lit(1)).alias("n_detected"))
-    out = n_r.join(n_d, F.col(key) == F.col("ck"), "full").select(F.coalesce(key, "ck").alias(key), F.coalesce("n_reference", F.lit(0)).alias("n_reference"), F.coalesce("n_detected", F.lit(0)).alias("n_detected"))
-    out = out.join(matched, F.col(key) == F.col("mk"), "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
+    marks = reference.select(key, F.col(time).cast("double").alias("t"), F.lit(True).alias("is_reference")).unionByName(detected.select(key, F.col(time).cast("double").alias("t"), F.lit(False).alias("is_reference"))).where("t is not null")
+    along = Window.partitionBy(key).orderBy("t")
+    marks = marks.withColumn("apart", F.col("t") - F.lag("t").over(along) > tolerance)
+    marks = marks.withColumn("island", F.sum(F.coalesce(F.col("apart"), F.lit(False)).cast("long")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("is_reference") == kind, F.col("t"))))
+    islands = marks.groupBy(key, "island").agg(of(True).alias("references"), of(False).alias("detections"))
+    start = F.struct(F.col("detections").alias("free"), F.array().cast("array<double>").alias("errors"))
+
+    def match(state: Column, r: Column) -> Column:
+        near = F.array_min(F.transform(F.filter(state["free"], lambda d: F.abs(d - r) <= tolerance), lambda d: F.struct(F.abs(d - r).alias("gap"), d.alias("d"))))
+        at = F.array_position(state["free"], near["d"]).cast("int")
+        rest = F.concat(F.slice(state["free"], F.lit(1), at - 1), F.slice(state["free"], at + 1, F.size(state["free"])))
+        return F.when(near.isNull(), state).otherwise(F.struct(rest.alias("free"), F.concat(state["errors"], F.array(near["gap"])).alias("errors")))
+
+    done = islands.withColumn("errors", F.aggregate("references", start, match, lambda state: state["errors"]))
+    total = lambda c: F.sum(F.size(c)).cast("long")
+    out = done.groupBy(key).agg(total("references").alias("n_reference"), total("detections").alias("n_detected"), total("errors").alias("n_matched"), F.sum(F.aggregate("errors", F.lit(0.0), lambda a, b: a + b)).alias("error"), F.max(F.array_max("errors")).alias("max_error"))
     out = out.withColumn("sensitivity", F.try_divide("n_matched", "n_reference")).withColumn("ppv", F.try_divide("n_matched", "n_detected"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("n_matched"), F.col("n_reference") + F.col("n_detected")), F.lit(0.0))
-    return out.select(key, "n_reference", "n_detected", "n_matched", "sensitivity", "ppv", f1.alias("f1"), "mean_error")
+    return out.select(key, "n_reference", "n_detected", "n_matched", "sensitivity", "ppv", f1.alias("f1"), F.try_divide("error", F.col("n_matched")).alias("mean_error"), "max_error")
+
+
+def circular_median(df: DataFrame, key: str, degrees: str, order: list[str]) -> DataFrame:
+    """key and the median of angles in order, each led on from the one before by the shorter way; it may pass 180 degrees."""
+    along = Window.partitionBy(key).orderBy(*order)
+    turn = -F.floor((F.col(degrees) - F.lag(degrees).over(along) + 180.0) / 360.0)
+    rows = df.where(F.col(degrees).isNotNull()).withColumn("_turn", F.coalesce(turn, F.lit(0)))
+    rows = rows.withColumn("_on", F.col(degrees) + 360.0 * F.sum("_turn").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(key).agg(F.median("_on").alias("median"))

@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import cohort, inference, regression, segments, splits, sweep, waves
+from plumbline.functions import signals
+from plumbline.operators import cohort, delineation, inference, regression, segments, splits, sweep, waves
 from plumbline.plans.frames import LEAD_SQL, ORDER_SQL, lead_samples, order_features, rounded, user_signal
-from plumbline.sources.tables import table
+from plumbline.sources.tables import header_fields, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: Bootstrap replicates of the queries with SQL, and the reference's number, which their whole forms take.
-REPLICATES, WHOLE_REPLICATES = 100, 1000
+#: Bootstrap replicates.
+REPLICATES = 1000
 SIGNAL = "e as (select *, epoch_us(ts)::double / 1000000.0::double as s from events)"
 TRAINING_SUMS = """g as (select fold, count(*)::double n, sum({x}) sx, sum(y) sy, sum({x}*{x}) sxx, sum({x}*y) sxy, sum(y*y) syy from f group by fold),
 t as (select a.fold, a.n, a.sx, a.sy, a.sxx, a.sxy, a.syy, (w.n-a.n) tn, (w.sx-a.sx) tx, (w.sy-a.sy) ty, (w.sxx-a.sxx) txx, (w.sxy-a.sxy) txy
@@ -80,7 +81,7 @@ def indicator_multihot(spark, folder):
 @query("""select user_id, (bool_or(event_type = 'click') and not bool_or(event_type = 'error' and value > 90)) as steady from events group by user_id""")
 def sinus_mask(spark, folder):
     e = table(spark, folder, "events").withColumn("kind", F.when((F.col("event_type") == "error") & (F.col("value") > 90), "bad").otherwise(F.col("event_type")))
-    return cohort.steady(e.where("event_type <> 'error' or value > 90 or true"), "user_id", "kind", "click", ["bad"], explicit=True)
+    return cohort.steady(e, "user_id", "kind", "click", ["bad"], explicit=True)
 
 
 @query("""select page_id, nullif(regexp_extract(url, '^[a-z]+://([^/]+)', 1), '') as host, try_cast(nullif(regexp_extract(url, '/([0-9]+)', 1), '') as bigint) as number,
@@ -91,6 +92,15 @@ def header_regex(spark, folder):
     return p.select("page_id", F.when(host != "", host).alias("host"), F.expr("try_cast(nullif(regexp_extract(url, '/([0-9]+)', 1), '') as bigint)").alias("number"), F.lower(F.regexp_extract("html", '(?i)lang="([a-z]+)"', 1)).alias("lang"))
 
 
+@query("""select c_custkey, case when c_custkey % 7 = 0 then null else (c_custkey % 90)::double + 0.5::double end as age, case c_custkey % 3 when 0 then 0 when 1 then 1 else -1 end::bigint as sex from customer""")
+def header_parse(spark, folder):
+    """Header texts of customers, read as those of recordings are."""
+    age = F.when(F.col("c_custkey") % 7 == 0, "NaN").otherwise(F.concat((F.col("c_custkey") % 90).cast("string"), F.lit(".5")))
+    sex = F.element_at(F.array(F.lit("Male"), F.lit("female"), F.lit("Unknown")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    text = F.concat(F.lit("r 12 500 5000\n# Age: "), age, F.lit("\n#Sex:  "), sex, F.lit("\n"))
+    return table(spark, folder, "customer").select("c_custkey", *header_fields(text)).fillna(-1, ["sex"])
+
+
 @query("""select l_orderkey, l_linenumber::bigint as l_linenumber, round(l_quantity, 6) as l_quantity from lineitem l
 where exists (select 1 from orders o where o.o_orderkey = l.l_orderkey and o.o_totalprice > 300000)""")
 def late_materialise_semi(spark, folder):
@@ -235,18 +245,36 @@ def axis_atan2(spark, folder):
     return waves.axis(net, "v", "h").select("l_orderkey", F.round("axis", 5).alias("axis"))
 
 
-@query(f"""with {SIGNAL}, r as (select user_id, s as rt from e where event_type = 'click'), d as (select user_id, s as dt from e where event_type = 'view'),
-near as (select r.user_id, rt, dt, abs(dt - rt) as gap from r join d on r.user_id = d.user_id and abs(dt - rt) <= 20000),
-m as (select * from (select *, row_number() over (partition by user_id, rt order by gap, dt) as r1, row_number() over (partition by user_id, dt order by gap, rt) as d1 from near) where r1 = 1 and d1 = 1),
-mm as (select user_id, count(*) as n, avg(dt - rt) as err from m group by user_id), nr as (select user_id, count(*) as n from r group by user_id), nd as (select user_id, count(*) as n from d group by user_id)
-select coalesce(nr.user_id, nd.user_id) as user_id, coalesce(nr.n, 0) as n_reference, coalesce(nd.n, 0) as n_detected, coalesce(mm.n, 0) as n_matched,
-round(coalesce(mm.n, 0)::double / nullif(coalesce(nr.n, 0), 0), 6) as sensitivity, round(coalesce(mm.n, 0)::double / nullif(coalesce(nd.n, 0), 0), 6) as ppv,
-round(coalesce(2.0::double * coalesce(mm.n, 0) / nullif(coalesce(nr.n, 0) + coalesce(nd.n, 0), 0), 0), 6) as f1, round(err, 3) as mean_error
-from nr full join nd on nr.user_id = nd.user_id left join mm on mm.user_id = coalesce(nr.user_id, nd.user_id)""")
+@query(f"""with recursive {SIGNAL}, u as (select user_id, coalesce(list(s order by s) filter (where event_type = 'click'), []) as refs, coalesce(list(s order by s) filter (where event_type = 'view'), []) as dets
+ from e where event_type in ('click', 'view') group by 1),
+go as (select user_id, 1 as i, refs, dets, dets as free, []::double[] as errors from u
+ union all select user_id, i + 1, refs, dets, case when gap <= 20000 then list_concat(free[:pos - 1], free[pos + 1:]) else free end, case when gap <= 20000 then list_append(errors, gap) else errors end
+ from (select *, list_min(list_transform(free, lambda x: abs(x - refs[i]))) as gap, list_position(list_transform(free, lambda x: abs(x - refs[i])), list_min(list_transform(free, lambda x: abs(x - refs[i])))) as pos from go where i <= len(refs))),
+d as (select *, len(refs) as nr, len(dets) as nd, len(errors) as nm from go where i = len(refs) + 1)
+select user_id, nr as n_reference, nd as n_detected, nm as n_matched, round(nm::double / nullif(nr, 0), 6) as sensitivity, round(nm::double / nullif(nd, 0), 6) as ppv,
+round(2.0::double * nm / (nr + nd), 6) as f1, round(list_avg(errors), 3) as mean_error, round(list_max(errors), 3) as max_error from d""")
 def detection_scoring(spark, folder):
     e = user_signal(spark, folder)
     out = waves.scored(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "user_id", "s", 20000.0)
-    return out.withColumn("mean_error", F.round("mean_error", 3))
+    return out.withColumn("mean_error", F.round("mean_error", 3)).withColumn("max_error", F.round("max_error", 3))
+
+
+@query("""with r as (select *, value * 3.6::double - 180.0::double as angle from events), t as (select *, coalesce(-floor((angle - lag(angle) over w + 180.0::double) / 360.0::double), 0) as turn from r window w as (partition by user_id order by ts, event_id)),
+o as (select user_id, angle + 360.0::double * sum(turn) over (partition by user_id order by ts, event_id) as led from t)
+select user_id, round(median(led), 5) as median from o group by user_id""")
+def circular_axis_median(spark, folder):
+    e = table(spark, folder, "events").withColumn("angle", F.col("value") * 3.6 - 180.0)
+    return waves.circular_median(e, "user_id", "angle", ["ts", "event_id"]).select("user_id", F.round("median", 5).alias("median"))
+
+
+@query(None)
+def signal_pipeline(spark, folder):
+    """A user's event values, in order, as a recording of one lead: peaks, waves, and the table of intervals."""
+    e = table(spark, folder, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
+    r = e.select("user_id", F.transform("e", lambda x: x["value"] / 100.0).alias("signal"), F.array(F.transform("e", lambda x: x["value"] / 100.0)).alias("leads"))
+    r = r.withColumn("peaks", signals.r_peaks(F.col("signal"), 250))
+    out = delineation.interval_table(r, delineation.delineated(r, "user_id", "leads", "peaks", 250), "user_id", 250)
+    return out
 
 
 # Segments
@@ -310,8 +338,9 @@ def occlusion_paired(spark, folder):
     return segments.occlusion(segments.occluded_scores(s, "vec_id", "x", "w", ["p", "qrs", "t"]))
 
 
-@query(f"""with {LEAD_SQL} select vec_id, round(sum((x - 0.1::double) * ((lead + 1) * 0.5::double + 2 * 0.25::double * (0.1::double + 0.5::double * (x - 0.1::double)))), 6) as total,
-round(sum((lead + 1) * 0.5::double * (x - 0.1::double) + 0.25::double * (x * x - 0.01::double)), 6) as span, 0.0::double as error, false as flagged from s group by vec_id""")
+@query(f"""with {LEAD_SQL}, g as (select *, (x - 0.1::double) * list_sum(list_transform(range(1, 17), lambda k: (lead + 1) * 0.5::double + 0.5::double * (0.1::double + (k - 0.5::double) / 16.0::double * (x - 0.1::double)))) / 16.0::double as a,
+ ((lead + 1) * 0.5::double * x + 0.25::double * x * x) - ((lead + 1) * 0.5::double * 0.1::double + 0.25::double * 0.01::double) as d from s), t as (select vec_id, sum(a) as total, sum(d) as span from g group by 1)
+select vec_id, round(total, 6) as total, round(span, 6) as span, round(total - span, 6) + 0.0::double as error, abs(total - span) > 1.0::double + 0.05::double * abs(span) as flagged from t""")
 def integrated_gradients_completeness(spark, folder):
     s = lead_samples(spark, folder).withColumn("w", (F.col("lead") + 1) * 0.5).withColumn("x0", F.lit(0.1))
     out = segments.completeness(segments.integrated_gradients(s, "x", "x0", "w", 0.25, 16), "vec_id", "x", "x0", "w", 0.25)
@@ -368,45 +397,31 @@ def subgroup_decomposition(spark, folder):
 
 # Inference
 
-DRAWS = f"""o as (select {{c}} as c, row_number() over (order by {{c}}) - 1 as own, count(*) over () as nc from (select distinct {{c}} from {{t}})),
-l as (select b.i as replicate, d.i as place, (((((b.i * 1000003 + d.i) % 2147483648) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 as z, nc
- from range({REPLICATES}) b(i), (select max(nc) as nc from o) n, range(1000000) d(i) where d.i < nc),
-ti as (select replicate, (z // 65536) % nc as place, count(*) as times from l group by 1, 2),
-mu as (select replicate, c, times from ti join o on own = place)"""
-
-
-def _fitted(spark, folder):
-    f = order_features(spark, folder).where("o_custkey % 4 = 0")
-    f = regression.fold_line(f, "age", "y", "fold").withColumnRenamed("fitted", "base")
-    return regression.fold_line(f, "lines", "y", "fold").withColumnRenamed("fitted", "full")
+def _scrambled(x: str) -> str:
+    z = f"(({x}) % 4294967296)"
+    for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+        z = f"((xor({z}, {z} >> {shift}) * {factor}) % 4294967296)"
+    return f"xor({z}, {z} >> 15)"
 
 
-FITTED = "".join(
-    f""", {n}g as (select fold, count(*)::double n, sum({x}) sx, sum(y) sy, sum({x}*{x}) sxx, sum({x}*y) sxy from h group by fold),
-{n}t as (select a.fold, w.n-a.n n, w.sx-a.sx sx, w.sy-a.sy sy, w.sxx-a.sxx sxx, w.sxy-a.sxy sxy from {n}g a, (select sum(n) n, sum(sx) sx, sum(sy) sy, sum(sxx) sxx, sum(sxy) sxy from {n}g) w),
-{n}l as (select fold, (n*sxy-sx*sy)/(n*sxx-sx*sx) as m, (sy-(n*sxy-sx*sy)/(n*sxx-sx*sx)*sx)/n as i from {n}t)"""
-    for n, x in (("b", "age"), ("u", "lines"))
-)
+#: replicate, c, times: how often each replicate draws each cluster.
+DRAWS = f"""hc as (select c, {_scrambled('c')} as h from (select distinct {{c}} as c from {{t}}) where c is not null), hr as (select i as replicate, {_scrambled('i + 1')} as hi from range({REPLICATES}) r(i)),
+hx as (select replicate, c, xor(h, hi) as x from hc, hr), hs as (select replicate, c, {_scrambled('x')}::double / 4294967296.0::double as share from hx),
+mu as (select * from (select replicate, c, {' + '.join(f"(case when share >= {p!r}::double then 1 else 0 end)" for p in inference.POISSON)} as times from hs) where times > 0)"""
 
 
-@query(f"""with {ORDER_SQL}, h as (select * from f where o_custkey % 4 = 0){FITTED},
-p as (select o_custkey, y, bl.i + bl.m * age as base, ul.i + ul.m * lines as ful from h join bl on bl.fold = h.fold join ul on ul.fold = h.fold),
-st as (select o_custkey, count(*) n, sum(y) sy, sum(y*y) syy, sum((y-base)*(y-base)) eb, sum((y-ful)*(y-ful)) ef from p group by 1),
+@query(f"""with {ORDER_SQL}, {TWO.format(k=chr(39) + 'all' + chr(39)).split(chr(10) + 'r as')[0].rstrip(',')},
+pr as (select o_custkey, y, i1 + b1 * age as base, i2 + p * age + q * lines as ful from f join i on i.fold = f.fold),
+st as (select o_custkey, count(*) n, sum(y) sy, sum(y*y) syy, sum((y-base)*(y-base)) eb, sum((y-ful)*(y-ful)) ef from pr group by 1),
 {DRAWS.format(c='o_custkey', t='st')},
 wt as (select replicate, sum(times*n) n, sum(times*sy) sy, sum(times*syy) syy, sum(times*eb) eb, sum(times*ef) ef from mu join st on c = o_custkey group by 1),
 rr as (select 1-ef/(syy-sy*sy/n) as rf, 1-ef/(syy-sy*sy/n)-greatest(1-eb/(syy-sy*sy/n), 0) as ri from wt)
 select count(*) as replicates, round(quantile_cont(rf, 0.025), 6) as r_full_low, round(quantile_cont(rf, 0.975), 6) as r_full_high, round(quantile_cont(ri, 0.025), 6) as r_inc_low, round(quantile_cont(ri, 0.975), 6) as r_inc_high from rr""")
 def cluster_bootstrap_r2(spark, folder):
-    """A quarter of the customers, and lines without age, as its SQL has them; cluster_bootstrap_r2_whole has neither limit."""
-    return inference.bootstrap_r2(_fitted(spark, folder), "o_custkey", "y", "base", "full", REPLICATES)
-
-
-@query(None)
-def cluster_bootstrap_r2_whole(spark, folder):
     """All customers; full is age and lines fitted together, so that r_inc is what lines add to age."""
     f = regression.fold_fit(order_features(spark, folder), ["age"], "y", "fold").withColumnRenamed("fitted", "base")
     f = regression.fold_fit(f, ["age", "lines"], "y", "fold").withColumnRenamed("fitted", "full")
-    return inference.bootstrap_r2(f, "o_custkey", "y", "base", "full", WHOLE_REPLICATES)
+    return inference.bootstrap_r2(f, "o_custkey", "y", "base", "full", REPLICATES)
 
 
 LABELLED = "lb as (select d.doc_id, d.doc_id // 3 as cluster, toxic as label, (n_chars % 50)::double as base, (n_chars % 50 + 20 * toxic)::double as ful from documents d join labels l on d.doc_id = l.doc_id)"
@@ -444,23 +459,9 @@ def delta_auc_bootstrap(spark, folder):
 select round(low, 6) as low, low > 0 as improves, (pl > -0.02::double and ph < 0.02::double) as equivalent,
 case when low > 0 and pl > -0.02::double and ph < 0.02::double then 'improves within margin' when low > 0 then 'improves' when pl > -0.02::double and ph < 0.02::double then 'equivalent' else 'inconclusive' end as verdict from qn""")
 def superiority_tost_verdict(spark, folder):
-    d = _labelled(spark, folder)
-    corrected = inference.delta_auc(d, "cluster", "label", "base", "full", REPLICATES, segments.tail(0.95, 5)).select("low")
-    plain = inference.delta_auc(d, "cluster", "label", "base", "full", REPLICATES, 0.025).select(F.col("low").alias("pl"), F.col("high").alias("ph"))
-    better, same = inference.verdict(F.col("low"), F.lit(None).cast("double"), F.col("pl"), F.col("ph"), 0.02)
-    return corrected.join(F.broadcast(plain)).select("low", better.alias("improves"), same.alias("equivalent"), inference.verdict_text(better, same).alias("verdict"))
-
-
-@query(None)
-def delta_auc_bootstrap_whole(spark, folder):
-    return inference.delta_auc(_labelled(spark, folder), "cluster", "label", "base", "full", WHOLE_REPLICATES, 0.025)
-
-
-@query(None)
-def superiority_tost_verdict_whole(spark, folder):
-    d = inference.auc_differences(_labelled(spark, folder), "cluster", "label", "base", "full", WHOLE_REPLICATES)
+    d = inference.auc_differences(_labelled(spark, folder), "cluster", "label", "base", "full", REPLICATES)
     bounds = d.agg(F.count("d").alias("replicates"), *[F.percentile("d", F.lit(q)).alias(c) for c, q in (("low", segments.tail(0.95, 5)), ("pl", 0.025), ("ph", 0.975))])
-    enough = F.col("replicates") * 2 >= WHOLE_REPLICATES
+    enough = F.col("replicates") * 2 >= REPLICATES
     bounds = bounds.select(*[F.when(enough, F.col(c)).alias(c) for c in ("low", "pl", "ph")])
     better, same = inference.verdict(F.col("low"), F.lit(None).cast("double"), F.col("pl"), F.col("ph"), 0.02)
     return bounds.select("low", better.alias("improves"), same.alias("equivalent"), inference.verdict_text(better, same).alias("verdict"))
@@ -479,6 +480,24 @@ def noise_floor(spark, folder):
     return inference.noise_floor(table(spark, folder, "events"), "user_id", "event_type", "value", ["click", "view", "purchase"])
 
 
+@query("""with w as (select user_id, avg(case when event_type = 'click' then value end) a, avg(case when event_type = 'view' then value end) b, avg(case when event_type = 'purchase' then value end) d from events group by user_id),
+k as (select * from w where a is not null and b is not null and d is not null), """ + DRAWS.format(c="user_id", t="k") + """,
+z as (select replicate, sum(times) n, sum(times*a) sa, sum(times*b) sb, sum(times*d) sd, sum(times*a*a) qa, sum(times*b*b) qb, sum(times*d*d) qd, sum(times*a*b) ab, sum(times*a*d) ad, sum(times*b*d) bd from mu join k on c = user_id group by 1),
+r as (select ((ab-sa*sb/n)/sqrt((qa-sa*sa/n)*(qb-sb*sb/n)) + (ad-sa*sd/n)/sqrt((qa-sa*sa/n)*(qd-sd*sd/n)) + (bd-sb*sd/n)/sqrt((qb-sb*sb/n)*(qd-sd*sd/n))) / 3 as m from z),
+x as (select quantile_cont(least(greatest(1 - m, 0), 1), 0.025) as low, quantile_cont(least(greatest(1 - m, 0), 1), 0.975) as high from r),
+y as (select count(*) n, (corr(a, b) + corr(a, d) + corr(b, d)) / 3 as r from k)
+select n, round(r, 6) as mean_correlation, round(least(greatest(1 - r, 0), 1), 6) as nu, round(low, 6) as low, round(high, 6) as high from y, x""")
+def noise_floor_interval(spark, folder):
+    return inference.noise_floor_interval(table(spark, folder, "events"), "user_id", "event_type", "value", ["click", "view", "purchase"], REPLICATES)
+
+
+@query("""with v as (select 'tax' as feature, case when l_tax <> 0 then l_tax end as x from lineitem union all select 'discount', l_discount from lineitem)
+select feature, round(avg(case when x is not null then 1.0::double else 0.0::double end), 6) as finite, round(avg(case when x <> 0 then 1.0::double else 0.0::double end), 6) as nonzero, round(median(x), 6) as median, round(stddev_samp(x), 6) as sd from v group by 1""")
+def feature_coverage(spark, folder):
+    line = table(spark, folder, "lineitem").select(F.when(F.col("l_tax") != 0, F.col("l_tax")).alias("tax"), F.col("l_discount").alias("discount"))
+    return cohort.coverage(line, ["tax", "discount"])
+
+
 # Sweep
 
 FEATURES = ["lines", "qty", "disc", "tax"]
@@ -491,23 +510,51 @@ def _scores(spark, folder):
     return regression.subset_scores(order_features(spark, folder), "y", ["age"], SUBSETS, "fold")
 
 
-@query(None)
+def _sweep_sql() -> str:
+    """lv: k, n, mean, sd, low, high of all subsets, by Gauss-Jordan elimination over cells (subset, fold, i, j)."""
+    names = ["1.0::double", "age", *FEATURES, "y"]
+    place = {c: i + 1 for i, c in enumerate(names)}
+    y = len(names)
+    members = ", ".join(f"('{'+'.join(x)}', {len(x)}, {[1, 2, *sorted(place[c] for c in x)]})" for x in SUBSETS)
+    out = f"""{ORDER_SQL}, sb(subset, k, own) as (values {members}), v as (select fold, [{', '.join(names)}] as x from f),
+g as (select fold, i, j, sum(x[i] * x[j]) as v from v, range(1, {y + 1}) a(i), range(1, {y + 1}) b(j) group by 1, 2, 3),
+gt as (select i, j, sum(v) as v from g group by 1, 2),
+w0 as (select subset, g.fold, g.i, g.j, gt.v - g.v as v from sb, g join gt on gt.i = g.i and gt.j = g.j where list_contains(own, g.i) and (g.j = {y} or list_contains(own, g.j)))"""
+    for p in range(1, y):
+        w, n = f"w{p - 1}", f"w{p}"
+        out += f""",
+{n} as (select a.subset, a.fold, a.i, a.j, case when d.v is null then a.v when a.i = {p} then a.v / d.v else a.v - b.v * c.v / d.v end as v from {w} a
+ left join {w} b on b.subset = a.subset and b.fold = a.fold and b.i = a.i and b.j = {p} left join {w} c on c.subset = a.subset and c.fold = a.fold and c.i = {p} and c.j = a.j
+ left join {w} d on d.subset = a.subset and d.fold = a.fold and d.i = {p} and d.j = {p})"""
+    return out + f""",
+bt as (select subset, fold, i, v from w{y - 1} where j = {y} union all select subset, fold, {y}, -1.0::double from sb, (select distinct fold from g)),
+se as (select a.subset, sum(a.v * b.v * g.v) as sse from bt a join bt b on a.subset = b.subset and a.fold = b.fold join g on g.fold = a.fold and g.i = a.i and g.j = b.i group by 1),
+sc as (select subset, k, 1 - sse / (select max(case when i = {y} and j = {y} then v end) - power(max(case when i = 1 and j = {y} then v end), 2) / max(case when i = 1 and j = 1 then v end) from gt) as r2 from se join sb using (subset)),
+lv as (select k, count(*) as n, avg(r2) as mean, coalesce(stddev_samp(r2), 0) as sd, min(r2) as low, max(r2) as high from sc group by k),
+st as (select k, mean, mean - lag(mean) over (order by k) as rise, ln(k) - ln(lag(k) over (order by k)) as run from lv)"""
+
+
+SWEEP_SQL = _sweep_sql()
+TREND_SQL = "round(regr_slope(mean, ln(k)), 6) as log_slope, round(arg_max(rise, k), 6) as tail_gain, round(arg_max(rise / run, k), 6) as tail_log_slope"
+
+
+@query(f"with {SWEEP_SQL} select k::bigint as k, n, round(mean, 6) as mean, round(sd, 6) as sd, round(low, 6) as low, round(high, 6) as high from lv")
 def sweep_levels(spark, folder):
     return sweep.levels(_scores(spark, folder))
 
 
-@query(None)
-def sweep_trend(spark, folder):
+@query(f"with {SWEEP_SQL} select {TREND_SQL} from st")
+def log_slope_tail(spark, folder):
     return sweep.trend(sweep.levels(_scores(spark, folder)))
 
 
-@query(None)
-def sweep_saturation(spark, folder):
+@query(f"with {SWEEP_SQL} select {TREND_SQL}, coalesce(arg_max(rise, k) <= 0.01::double and arg_max(rise / run, k) <= 0.01::double, false) as saturated from st")
+def saturation_verdict(spark, folder):
     return sweep.saturation(sweep.trend(sweep.levels(_scores(spark, folder))))
 
 
-@query(None)
-def sweep_spread(spark, folder):
+@query(f"with {SWEEP_SQL} select arg_max(k, high - low)::bigint as k, round(max(high - low), 6) as spread, max(high - low) >= 0.02::double as warn from lv")
+def spread_warning(spark, folder):
     return sweep.spread_warning(sweep.levels(_scores(spark, folder)))
 
 
@@ -517,31 +564,3 @@ def sweep_ceiling(spark, folder):
     rows = sweep.levels(_scores(spark, folder)).orderBy("k").collect()
     fit = sweep.ceiling([r["k"] for r in rows], [r["mean"] for r in rows])
     return spark.createDataFrame([(fit.value, fit.half, fit.refused)], "value double, half double, refused string")
-
-
-SWEEP_SQL = """lv as (select orderyear as k, avg(l) as mean from (select o_orderpriority[1]::int as orderyear, o_totalprice / 1000000.0::double as l from orders) group by 1)"""
-
-
-def _priority_levels(spark, folder):
-    """Levels as the SQL has them: mean prices by order priority, no sweep. sweep_trend, _saturation and _spread run one."""
-    o = table(spark, folder, "orders").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("k"), (F.col("o_totalprice") / 1000000.0).alias("r2_full"))
-    return sweep.levels(o)
-
-
-@query(f"""with {SWEEP_SQL}, st as (select k, mean, mean - lag(mean) over (order by k) as rise, ln(k) - ln(lag(k) over (order by k)) as run from lv)
-select round(regr_slope(mean, ln(k)), 6) as log_slope, round(arg_max(rise, k), 6) as tail_gain, round(arg_max(rise / run, k), 6) as tail_log_slope from st""")
-def log_slope_tail(spark, folder):
-    return sweep.trend(_priority_levels(spark, folder))
-
-
-@query(f"""with {SWEEP_SQL}, st as (select k, mean, mean - lag(mean) over (order by k) as rise, ln(k) - ln(lag(k) over (order by k)) as run from lv)
-select round(regr_slope(mean, ln(k)), 6) as log_slope, round(arg_max(rise, k), 6) as tail_gain, round(arg_max(rise / run, k), 6) as tail_log_slope,
-coalesce(arg_max(rise, k) <= 0.01::double and arg_max(rise / run, k) <= 0.01::double, false) as saturated from st""")
-def saturation_verdict(spark, folder):
-    return sweep.saturation(sweep.trend(_priority_levels(spark, folder)))
-
-
-@query("""with lv as (select o_orderpriority[1]::int as k, max(o_totalprice / 1000000.0::double) - min(o_totalprice / 1000000.0::double) as s from orders group by 1)
-select arg_max(k, s)::bigint as k, round(max(s), 6) as spread, max(s) >= 0.02::double as warn from lv""")
-def spread_warning(spark, folder):
-    return sweep.spread_warning(_priority_levels(spark, folder))

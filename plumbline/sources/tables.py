@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of a cohort's metadata file.
@@ -23,13 +23,30 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=STATEMENTS, escape='"').where("diagnostic = 1 and diagnostic_class is not null").select("code", "diagnostic_class")
 
 
+def header_fields(text: Column) -> list[Column]:
+    """age and sex of a header's text: '#Age: 61' and '#Sex: Male' lines; what can't be read is null."""
+    age = F.regexp_extract(text, r"(?i)#\s*Age:\s*([0-9.]+)", 1).try_cast("double")
+    sex = F.lower(F.substring(F.regexp_extract(text, r"(?i)#\s*Sex:\s*(\w+)", 1), 1, 1))
+    return [age.alias("age"), F.when(sex == "m", 0).when(sex == "f", 1).alias("sex")]
+
+
 def read_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """record_id, path, age, sex of header files: '#Age: 61' and '#Sex: Male' lines; what can't be read is null."""
+    """record_id, path, age, sex of header files, in order of their paths."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hea").option("recursiveFileLookup", "true").load(folder)
-    text = F.col("content").cast("string")
-    sex = F.lower(F.substring(F.regexp_extract(text, r"(?i)#\s*Sex:\s*(\w+)", 1), 1, 1))
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)\.hea$", 1).alias("record_id"), F.regexp_replace("path", r"\.hea$", "").alias("path"),
-        F.expr(r"try_cast(regexp_extract(cast(content as string), '(?i)#\\s*Age:\\s*([0-9.]+)', 1) as double)").alias("age"),
-        F.when(sex == "m", 0).when(sex == "f", 1).alias("sex"),
-    ).orderBy("path")
+    fields = header_fields(F.col("content").cast("string"))
+    return files.select(F.regexp_extract("path", r"([^/]+)\.hea$", 1).alias("record_id"), F.regexp_replace("path", r"\.hea$", "").alias("path"), *fields).orderBy("path")
+
+
+def usable_headers(headers: DataFrame, low: float = 18, high: float = 89) -> DataFrame:
+    """Headers with an age in range and a known sex; an error where none is left."""
+    found = headers.where(F.col("age").between(low, high) & F.col("sex").isNotNull())
+    if found.isEmpty():
+        raise ValueError("no header has a usable age and sex")
+    return found
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, true_age, predicted_age, age_gap, a row a recording, of prediction files with one array a field."""
+    whole = spark.read.option("multiLine", "true").schema("record_id array<string>, true_age array<double>, predicted_age array<double>").json(path)
+    rows = whole.select(F.inline(F.arrays_zip("record_id", "true_age", "predicted_age")))
+    return rows.withColumn("age_gap", F.col("predicted_age") - F.col("true_age"))

@@ -120,8 +120,14 @@ def test_subsets():
 def test_detection_scoring(spark):
     ref = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (2, 1.0)], "k int, t double")
     det = spark.createDataFrame([(1, 1.01), (1, 2.04), (1, 2.03), (3, 5.0)], "k int, t double")
+    # The first takes 103; the second takes what is left, 108, though it isn't the nearest of any other.
+    ref = ref.union(spark.createDataFrame([(4, 100.0), (4, 104.0)], ref.schema))
+    det = det.union(spark.createDataFrame([(4, 103.0), (4, 108.0)], det.schema))
+    wide = {r["k"]: r for r in waves.scored(ref, det, "k", "t", 5.0).collect()}
+    assert (wide[4]["n_matched"], wide[4]["mean_error"], wide[4]["max_error"]) == (2, pytest.approx(3.5), pytest.approx(4.0))
     out = {r["k"]: r for r in waves.scored(ref, det, "k", "t", 0.05).collect()}
     assert (out[1]["n_matched"], out[1]["sensitivity"], out[1]["ppv"]) == (2, pytest.approx(2 / 3), pytest.approx(2 / 3))
+    assert out[1]["mean_error"] == pytest.approx(0.02) and out[1]["max_error"] == pytest.approx(0.03)
     assert out[2]["ppv"] is None and out[3]["sensitivity"] is None and out[3]["f1"] == 0
 
 

@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import signals
-from plumbline.operators import learners, splits, waves
+from plumbline.functions import filters, signals
+from plumbline.operators import delineation, learners, splits, waves
 from plumbline.sources import synthetic, tables
 
 
@@ -76,3 +76,60 @@ def test_headers_and_metadata(spark, tmp_path):
     assert tables.read_metadata(spark, str(tmp_path / "m.csv")).collect()[0]["scp_codes"] == "{'NORM': 100.0}"
     (tmp_path / "s.csv").write_text("code,diagnostic,diagnostic_class\nNORM,1.0,NORM\nSR,,\n")
     assert [tuple(r) for r in tables.read_statements(spark, str(tmp_path / "s.csv")).collect()] == [("NORM", "NORM")]
+
+
+def test_bandpass_keeps_the_band_and_moves_nothing(spark):
+    t = np.arange(3000) / 250
+    slow, own, fast = 2 * np.sin(2 * np.pi * 0.05 * t), np.sin(2 * np.pi * 8 * t), np.sin(2 * np.pi * 100 * t)
+    df = spark.createDataFrame([([(slow + own + fast).tolist()],), (None,)], "x array<array<double>>")
+    out = df.select(filters.bandpass(F.col("x"), 250, 0.5, 40.0).alias("y")).collect()
+    assert out[1]["y"] is None and np.abs(np.array(out[0]["y"][0])[750:-750] - own[750:-750]).max() < 0.05
+    with pytest.raises(ValueError, match="band"):
+        filters.bandpass(F.col("x"), 60, 0.5, 40.0)
+
+
+def test_resampling_keeps_the_curve(spark):
+    x = np.sin(2 * np.pi * 5 * np.arange(1000) / 500)
+    df = spark.createDataFrame([([x.tolist()],)], "x array<array<double>>")
+    for up, down in ((1, 5), (2, 1), (3, 2)):
+        y = np.array(df.select(filters.resample(F.col("x"), up, down).alias("y")).collect()[0]["y"][0])
+        want = np.sin(2 * np.pi * 5 * np.arange(len(y)) / (500 * up / down))
+        assert len(y) == -(-1000 * up // down) and np.abs(y - want)[20:-20].max() < 0.02
+
+
+@pytest.fixture(scope="module")
+def beats(spark):
+    r = synthetic.cohort(spark, 8, fs=250, seconds=6, noise=0.004, wander=0.02).withColumn("leads", F.array("signal", F.transform("signal", lambda v: -0.5 * v))).cache()
+    return r, delineation.delineated(r, "record_id", "leads", "true_peaks", 250).cache()
+
+
+def test_waves_are_found_where_they_are(beats):
+    _, b = beats
+    b = b.toPandas()
+    for wave, centre, half in (("p", -0.16, 0.045), ("t", 0.26, 0.08)):
+        own = b.dropna(subset=[f"{wave}_peak"])
+        assert len(own) > 0.8 * len(b)
+        assert ((own[f"{wave}_peak"] - own.r_peak) / 250 - centre).abs().median() < 0.01
+        assert ((own[f"{wave}_onset"] - own.r_peak) / 250 - (centre - half)).abs().median() < 0.03
+        assert ((own[f"{wave}_offset"] - own.r_peak) / 250 - (centre + half)).abs().median() < 0.03
+    assert (b.qrs_onset < b.r_peak).all() and (b.qrs_offset > b.r_peak).all() and (b.qrs_offset - b.qrs_onset).median() / 250 < 0.14
+
+
+def test_interval_and_amplitude_tables(beats):
+    r, b = beats
+    t = delineation.interval_table(r, b, "record_id", 250).join(r.select("record_id", "rate"), "record_id").toPandas()
+    assert len(t) == 8 and (t.heart_rate_bpm - t.rate).abs().mean() < 2 and t.qtc_bazett_ms.notna().all() and (t.n_beats >= 3).all()
+    a = delineation.amplitude_table(r, b, "record_id", "leads", ["II", "V1"], 250).toPandas()
+    assert ((a.r_amplitude_mv - 1.1).abs() < 0.2).all() and ((a.t_amplitude_mv - 0.3).abs() < 0.1).all() and ((a.p_amplitude_mv - 0.12).abs() < 0.06).all()
+    assert a.qrs_axis_deg.isna().all() and a.sokolow_lyon_mv.isna().all() and a.st_deviation_mv.notna().all()
+    few = delineation.interval_table(r, b.where("beat < 2"), "record_id", 250).toPandas()
+    assert len(few) == 8 and few.heart_rate_bpm.isna().all() and (few.n_beats == 0).all()
+
+
+def test_prediction_files_are_rows(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"record_id": ["a", "b"],\n "true_age": [50, 61.5], "predicted_age": [52, 60]}')
+    assert [(r["record_id"], r["age_gap"]) for r in tables.read_predictions(spark, str(tmp_path / "p.json")).collect()] == [("a", 2.0), ("b", -1.5)]
+    heads = spark.createDataFrame([("a", 30.0, 1), ("b", 7.0, 0), ("c", 40.0, None)], "record_id string, age double, sex int")
+    assert [r["record_id"] for r in tables.usable_headers(heads).collect()] == ["a"]
+    with pytest.raises(ValueError, match="usable"):
+        tables.usable_headers(heads.where("record_id = 'b'"))

@@ -12,11 +12,24 @@ from plumbline.plans.frames import order_features
 FOLDER = "/root/testdata/sf0.001"
 
 
-def places(replicate, n):
-    z = (replicate * 1000003 + np.arange(n, dtype=np.int64)) % inference.LCG_M
-    for _ in range(2):
-        z = (z * inference.LCG_A + inference.LCG_C) % inference.LCG_M
-    return z // 65536 % n
+def scrambled(x):
+    z = np.asarray(x, np.int64) % 2**32
+    for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+        z = (z ^ (z >> shift)) * factor % 2**32
+    return z ^ (z >> 15)
+
+
+def times(replicate, clusters):
+    share = scrambled(scrambled(clusters) ^ scrambled(replicate + 1)) / 2**32
+    return (share[:, None] >= np.array(inference.POISSON)).sum(axis=1)
+
+
+def test_draws_are_poisson_of_mean_1_and_unlike_each_other():
+    drawn = np.array([times(b, np.arange(20_000)) for b in range(40)])
+    assert abs(drawn.mean() - 1) < 0.005 and abs(drawn.var() - 1) < 0.01
+    assert np.abs(np.corrcoef(drawn) - np.eye(40)).max() < 0.04
+    # Sums over replicates spread as those of independent draws do.
+    assert abs(drawn.sum(axis=1).std() / 20_000**0.5 - 1) < 0.35
 
 
 def out_of_fold(pdf, columns):
@@ -32,14 +45,15 @@ def out_of_fold(pdf, columns):
 def test_bootstrap_takes_every_customer_and_fits_full_on_age_and_lines(spark):
     pdf = order_features(spark, FOLDER).toPandas()
     y, base, full = pdf.y.to_numpy(), out_of_fold(pdf, ["age"]), out_of_fold(pdf, ["age", "lines"])
-    rows = [np.flatnonzero(pdf.o_custkey == c) for c in sorted(set(pdf.o_custkey))]
+    clusters = np.array(sorted(set(pdf.o_custkey)))
+    rows = [np.flatnonzero(pdf.o_custkey == c) for c in clusters]
     r_full, r_inc = [], []
     for b in range(1000):
-        at = np.concatenate([rows[i] for i in places(b, len(rows))])
+        at = np.repeat(np.concatenate(rows), np.repeat(times(b, clusters), [len(r) for r in rows]))
         sst = ((y[at] - y[at].mean()) ** 2).sum()
         r_full.append(1 - ((y - full)[at] ** 2).sum() / sst)
         r_inc.append(r_full[-1] - max(1 - ((y - base)[at] ** 2).sum() / sst, 0))
-    got = plans.QUERIES["cluster_bootstrap_r2_whole"](spark, FOLDER).collect()[0]
+    got = plans.QUERIES["cluster_bootstrap_r2"](spark, FOLDER).collect()[0]
     assert got["replicates"] == 1000
     for name, values in (("r_full", r_full), ("r_inc", r_inc)):
         assert got[f"{name}_low"] == pytest.approx(np.quantile(values, 0.025), abs=2e-6)
@@ -54,16 +68,17 @@ def auc(score, label):
 def test_auc_queries_take_1000_replicates(spark):
     pdf = plans._labelled(spark, FOLDER).toPandas()
     label, base, full = pdf.label.to_numpy(), pdf.base.to_numpy(), pdf.full.to_numpy()
-    rows = [np.flatnonzero(pdf.cluster == c) for c in sorted(set(pdf.cluster))]
+    clusters = np.array(sorted(set(pdf.cluster)))
+    rows = [np.flatnonzero(pdf.cluster == c) for c in clusters]
     d = []
     for b in range(1000):
-        at = np.concatenate([rows[i] for i in places(b, len(rows))])
+        at = np.repeat(np.concatenate(rows), np.repeat(times(b, clusters), [len(r) for r in rows]))
         if 0 < label[at].sum() < len(at):
             d.append(auc(full[at], label[at]) - auc(base[at], label[at]))
-    got = plans.QUERIES["delta_auc_bootstrap_whole"](spark, FOLDER).collect()[0]
+    got = plans.QUERIES["delta_auc_bootstrap"](spark, FOLDER).collect()[0]
     assert (got["replicates"], got["low"], got["high"]) == (len(d), pytest.approx(np.quantile(d, 0.025), abs=2e-6), pytest.approx(np.quantile(d, 0.975), abs=2e-6))
     low, pl, ph = np.quantile(d, [0.005, 0.025, 0.975])
-    got = plans.QUERIES["superiority_tost_verdict_whole"](spark, FOLDER).collect()[0]
+    got = plans.QUERIES["superiority_tost_verdict"](spark, FOLDER).collect()[0]
     assert got["low"] == pytest.approx(low, abs=2e-6) and got["improves"] == (low > 0) and got["equivalent"] == (pl > -0.02 and ph < 0.02)
 
 
@@ -83,12 +98,12 @@ def test_sweep_takes_every_subset_and_feeds_the_verdicts(spark):
     means = np.array([np.mean(scores[k]) for k in range(1, 5)])
     tail = means[3] - means[2]
     want = (near(np.polyfit(np.log([1, 2, 3, 4]), means, 1)[0]), near(tail), near(tail / np.log(4 / 3)))
-    r = plans.QUERIES["sweep_trend"](spark, FOLDER).collect()[0]
+    r = plans.QUERIES["log_slope_tail"](spark, FOLDER).collect()[0]
     assert (r["log_slope"], r["tail_gain"], r["tail_log_slope"]) == want
-    r = plans.QUERIES["sweep_saturation"](spark, FOLDER).collect()[0]
+    r = plans.QUERIES["saturation_verdict"](spark, FOLDER).collect()[0]
     assert (r["log_slope"], r["tail_gain"], r["tail_log_slope"], r["saturated"]) == (*want, bool(tail <= 0.01 and tail / np.log(4 / 3) <= 0.01))
     spread = {k: max(v) - min(v) for k, v in scores.items()}
-    r = plans.QUERIES["sweep_spread"](spark, FOLDER).collect()[0]
+    r = plans.QUERIES["spread_warning"](spark, FOLDER).collect()[0]
     assert (r["k"], r["spread"], r["warn"]) == (max(spread, key=spread.get), near(max(spread.values())), max(spread.values()) >= 0.02)
     fit = sweep.ceiling([1, 2, 3, 4], means.tolist())
     r = plans.QUERIES["sweep_ceiling"](spark, FOLDER).collect()[0]
