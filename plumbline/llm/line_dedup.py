@@ -43,7 +43,7 @@ def tags_replaced(text: Column, tag: str, by: str) -> Column:
         tail = F.substring_index(x, ">", -1)
         return F.concat(F.regexp_replace(F.substring(x, F.lit(1), F.length(x) - F.length(tail)), tag, by), tail)
 
-    return F.when(F.contains(text, F.lit(">")), let(text, cut)).otherwise(text)
+    return let(text, lambda x: F.when(F.contains(x, F.lit(">")), cut(x)).otherwise(x))
 
 
 def page_lines(html: Column) -> Column:
