@@ -167,3 +167,22 @@ def report(links: DataFrame) -> DataFrame:
 def tightest_bound(low: Column, high: Column) -> Column:
     """The smallest margin that the interval lies inside."""
     return F.greatest(F.abs(low), F.abs(high))
+
+
+def fold_deltas(df: DataFrame, fold: str, label: str, base: str, full: str) -> DataFrame:
+    """fold, auc_base, auc_full, delta of each fold's own rows; null where a fold has one class only."""
+    rows = quantile_bins(quantile_bins(df.withColumn("_one", F.lit(1)), base, "_base_bin"), full, "_full_bin")
+    a = weighted_auc(rows, fold, label, base, "_one", "_base_bin").withColumnRenamed("auc", "auc_base")
+    b = weighted_auc(rows, fold, label, full, "_one", "_full_bin").select(F.col(fold).alias("_fold"), F.col("auc").alias("auc_full"))
+    out = a.join(b, F.col(fold).eqNullSafe(F.col("_fold"))).drop("_fold")
+    return out.withColumn("delta", F.col("auc_full") - F.col("auc_base"))
+
+
+def dispersion_reliability(df: DataFrame, key: str, kind: str, value: str, factor: float = 2.0) -> DataFrame:
+    """kind, n, sd, floor, usable: does the spread of the keys' means stand out from what repeats of one key scatter?
+
+    floor: mean over keys with two values at least of the standard error of their mean; usable: sd above factor floors.
+    """
+    means = df.groupBy(kind, key).agg(F.avg(value).alias("m"), (F.stddev_samp(value) / F.sqrt(F.count(value).cast("double"))).alias("se"))
+    out = means.groupBy(kind).agg(F.count("m").alias("n"), F.stddev_samp("m").alias("sd"), F.avg("se").alias("floor"))
+    return out.withColumn("usable", F.coalesce(F.col("sd") > factor * F.col("floor"), F.lit(False)))

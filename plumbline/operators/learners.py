@@ -51,3 +51,10 @@ def diagnostic_link(df: DataFrame, cluster: str, label: str, known: list[str], r
     full = inference.auc(both, label, "full").select(F.col("auc").alias("auc_full"))
     out = corrected.join(F.broadcast(plain)).join(F.broadcast(base)).join(F.broadcast(full))
     return out.select("auc_base", "auc_full", "low", "plain_low", "plain_high", inference.verdict_text(better, same).alias("verdict"))
+
+
+def repeated_out_of_fold(df: DataFrame, key: str, features: list[str], label: str, folds: list[str], kind: str, name: str = "predicted") -> DataFrame:
+    """df's usable rows with the mean of their out-of-fold predictions over repeats, one column of folds each. key is unique."""
+    each = [out_of_fold(df, features, label, fold, kind, "_p").select(F.col(key).alias("_key"), "_p") for fold in folds]
+    mean = reduce(DataFrame.unionByName, each).groupBy("_key").agg(F.avg("_p").alias(name))
+    return df.join(mean, F.col(key) == F.col("_key")).drop("_key")

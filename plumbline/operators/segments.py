@@ -120,3 +120,36 @@ def completeness(attributed: DataFrame, key: str, value: str, baseline: str, wei
 def tail(level: float, tests: int) -> float:
     """The tail probability of each side of a Bonferroni-corrected interval."""
     return (1 - level) / tests / 2 if tests else math.nan
+
+
+def input_times_gradient(samples: DataFrame, value: str, weight: str, curve: float) -> DataFrame:
+    """Adds attribution of f(x) = sum(w x + curve x^2): the value times the gradient there."""
+    return samples.withColumn("attribution", F.col(value) * (F.col(weight) + 2 * F.lit(curve) * F.col(value)))
+
+
+def against_controls(trained: DataFrame, controls: dict[str, DataFrame], key: str, level: float = 0.95) -> DataFrame:
+    """method, segment, n, mean, se, low, high, departs: the trained share less each control's, paired by record.
+
+    trained and controls come from by_segment. Intervals are corrected for all tests, segments times controls; departs
+    says that one excludes 0, and is null where fewer than two records have both.
+    """
+    def shares(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(F.col(key).alias("_key"), F.col("segment").alias("_segment")).agg(F.sum("share").alias(name))
+
+    own = shares(trained, "a")
+    tagged = None
+    for method, df in controls.items():
+        one = shares(df, "b").select(F.lit(method).alias("method"), F.col("_key").alias("k"), F.col("_segment").alias("segment"), "b")
+        tagged = one if tagged is None else tagged.unionByName(one)
+    d = tagged.join(own, (F.col("_key") == F.col("k")) & (F.col("_segment") == F.col("segment"))).withColumn("d", F.col("a") - F.col("b"))
+    out = d.groupBy("method", "segment").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), (F.stddev_samp("d") / F.sqrt(F.count("d").cast("double"))).alias("se"))
+    z = NormalDist().inv_cdf(1 - tail(level, (len(PRECEDENCE) + 1) * len(controls)))
+    out = out.withColumn("low", F.col("mean") - z * F.col("se")).withColumn("high", F.col("mean") + z * F.col("se"))
+    return out.withColumn("departs", (F.col("low") > 0) | (F.col("high") < 0))
+
+
+def elevation_summary(elevations: DataFrame) -> DataFrame:
+    """segment, leads, mean, low, high (smallest and largest) of the leads' elevations, n_above: leads whose interval is above 0."""
+    return elevations.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("leads"), F.avg("elevation").alias("mean"), F.min("elevation").alias("low"), F.max("elevation").alias("high"), F.count_if(F.col("low") > 0).alias("n_above"),
+    )

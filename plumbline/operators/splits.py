@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.order import hash_bins, running_before
+
 
 def hash_share(key: Column) -> Column:
     """A number in [0, 1) that follows from the key alone."""
@@ -53,3 +55,22 @@ def lead_stats(long: DataFrame, dead: float = 1e-8) -> DataFrame:
 def normalized(long: DataFrame, stats: DataFrame) -> DataFrame:
     """z = (x - mean) / sd by lead; stats have one row a lead."""
     return long.join(F.broadcast(stats), "lead").withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd"))
+
+
+def stratified_folds(df: DataFrame, group: str, label: str, k: int, repeat: int = 0, name: str = "fold") -> DataFrame:
+    """Adds a fold: groups stay whole, and those with a positive label are dealt out evenly, as are the others.
+
+    Groups of each kind are dealt in the order of a hash of group and repeat, so each repeat gives other folds. The deal
+    balances groups, not their rows. Rows without a group are one group; a null label is no positive.
+    """
+    groups = df.groupBy(F.col(group).alias("_group")).agg(F.max(F.coalesce(F.col(label) == 1, F.lit(False)).cast("int")).alias("_kind"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(repeat)), F.col("_group").cast("string")))
+    groups = groups.withColumn("_digest", digest).withColumn("_bin", hash_bins(F.col("_digest")))
+    dealt = running_before(groups, ["_kind"], "_bin", [F.col("_digest"), F.col("_group")], F.lit(1).cast("long"))
+    dealt = dealt.select("_group", F.pmod("before", F.lit(k)).alias(name))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def fold_balance(df: DataFrame, fold: str, group: str, label: str) -> DataFrame:
+    """fold, n, groups, positives, classes: distinct labels of the fold, two where a score can be judged in it."""
+    return df.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("groups"), F.count_if(F.col(label) == 1).alias("positives"), F.count_distinct(label).alias("classes"))

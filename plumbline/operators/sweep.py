@@ -88,3 +88,20 @@ def ceiling(sizes: list[float], means: list[float]) -> Ceiling:
     if top < max(means):
         return Ceiling(None, None, "ceiling below a level")
     return Ceiling(top, h, None)
+
+
+def arms(scores: DataFrame, named: dict[str, list[str]]) -> DataFrame:
+    """arm, k, r2_full, gain of named subsets in their order; gain: over the arm before, null for the first.
+
+    scores: subset, k, r2_full as regression.subset_scores gives them. Arms are a handful, and so are the rows.
+    """
+    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(a).alias("arm"), F.lit(_sorted("+".join(x))).alias("members")) for i, (a, x) in enumerate(named.items())]))
+    wanted = scores.sparkSession.range(1).select(listed.alias("a")).select("a.*")
+    found = scores.withColumn("members", F.array_join(F.array_sort(F.split("subset", r"\+")), "+")).drop("subset")
+    out = found.join(F.broadcast(wanted), "members")
+    before = F.lag("r2_full").over(Window.orderBy("place"))
+    return out.select("arm", "k", "r2_full", (F.col("r2_full") - before).alias("gain"))
+
+
+def _sorted(subset: str) -> str:
+    return "+".join(sorted(subset.split("+")))

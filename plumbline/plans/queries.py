@@ -564,3 +564,80 @@ def sweep_ceiling(spark, folder):
     rows = sweep.levels(_scores(spark, folder)).orderBy("k").collect()
     fit = sweep.ceiling([r["k"] for r in rows], [r["mean"] for r in rows])
     return spark.createDataFrame([(fit.value, fit.half, fit.refused)], "value double, half double, refused string")
+
+
+ARMS = {"size": ["lines"], "amount": ["lines", "qty"], "price": ["disc", "lines", "qty"], "every": FEATURES}
+ARM_SQL = ", ".join(f"({i}, '{a}', '{'+'.join(sorted(x))}')" for i, (a, x) in enumerate(ARMS.items()))
+
+
+@query(f"""with {SWEEP_SQL}, ar(place, arm, members) as (values {ARM_SQL})
+select arm, k::bigint as k, round(r2, 6) as r2_full, round(r2 - lag(r2) over (order by place), 6) as gain
+from ar join sc on array_to_string(list_sort(string_split(subset, '+')), '+') = members""")
+def enumeration_arms(spark, folder):
+    return sweep.arms(_scores(spark, folder), ARMS)
+
+
+# Folds of diagnostic links, and profiles against controls
+
+DEALT = """gr as (select cluster as g, max(case when label = 1 then 1 else 0 end) as kind from lb group by 1),
+dg as (select g, kind, (row_number() over (partition by kind order by md5('0:' || g::varchar), g) - 1) % 5 as fold from gr), lf as (select lb.*, fold from lb join dg on g = cluster)"""
+
+
+@query(f"""with {LABELLED}, {DEALT} select fold::bigint as fold, count(*) as n, count(distinct cluster) as groups, count(*) filter (where label = 1) as positives, count(distinct label) as classes from lf group by 1""")
+def stratified_folds(spark, folder):
+    return splits.fold_balance(splits.stratified_folds(_labelled(spark, folder), "cluster", "label", 5), "fold", "cluster", "label")
+
+
+@query(f"""with {LABELLED}, {DEALT}, pr as (select a.fold, avg(case when a.base > b.base then 1.0::double when a.base = b.base then 0.5::double else 0.0::double end) as x,
+avg(case when a.ful > b.ful then 1.0::double when a.ful = b.ful then 0.5::double else 0.0::double end) as y from lf a join lf b on a.fold = b.fold and a.label = 1 and b.label = 0 group by 1)
+select f.fold::bigint as fold, round(x, 6) as auc_base, round(y, 6) as auc_full, round(y - x, 6) as delta from (select distinct fold from lf) f left join pr on pr.fold = f.fold""")
+def link_fold_deltas(spark, folder):
+    return inference.fold_deltas(splits.stratified_folds(_labelled(spark, folder), "cluster", "label", 5), "fold", "label", "base", "full")
+
+
+@query("""with m as (select event_type, user_id, avg(value) as m, stddev_samp(value) / sqrt(count(value)) as se from events group by 1, 2),
+k as (select event_type, count(m) as n, stddev_samp(m) as sd, avg(se) as floor from m group by 1)
+select event_type, n, round(sd, 6) as sd, round(floor, 6) as floor, coalesce(sd > 2 * floor, false) as usable from k""")
+def dispersion_verdict(spark, folder):
+    return inference.dispersion_reliability(table(spark, folder, "events"), "user_id", "event_type", "value")
+
+
+@query(f"""with {LEAD_SQL.replace("select vec_id, (i // 16)::int as lead, (i % 16)::int as", "select vec_id, (i // 16)::int as lead, x * ((i // 16 + 1) * 0.5::double + 0.5::double * x) as x, (i % 16)::int as").replace('as "at", x,', 'as "at",')}, {SHARES}
+select vec_id, lead::bigint as lead, segment, round(share, 6) as share, round(density, 6) as density, round(signed_share, 6) as signed_share from q""")
+def input_times_gradient(spark, folder):
+    s = segments.input_times_gradient(lead_samples(spark, folder).withColumn("w", (F.col("lead") + 1) * 0.5), "x", "w", 0.25)
+    return segments.by_segment(s, "vec_id", "attribution")
+
+
+def _sides(spark, folder):
+    """Samples with the values of a weighted scorer, of plain amplitude and of amplitude squared."""
+    s = lead_samples(spark, folder).withColumn("scored", F.col("x") * (F.col("at") + 1)).withColumn("energy", F.col("x") * F.col("x"))
+    return [segments.by_segment(s, "vec_id", c) for c in ("scored", "x", "energy")]
+
+
+def _share_sql(name: str, value: str) -> str:
+    return f"{name} as (select vec_id, segment, sum({value}) / sum(sum({value})) over (partition by vec_id) as share from s group by 1, 2)"
+
+
+#: The normal quantile of eight tests at 95%: four segments, two controls.
+Z_CONTROLS = 2.734368786533176
+
+
+@query(f"""with {LEAD_SQL}, {_share_sql('tr', 'abs(x * ("at" + 1))')}, {_share_sql('am', 'abs(x)')}, {_share_sql('en', 'x * x')},
+d as (select method, c.segment, tr.share - c.share as d from tr join (select 'amplitude' as method, * from am union all select 'energy', * from en) c on c.vec_id = tr.vec_id and c.segment = tr.segment),
+z as (select method, segment, count(d) as n, avg(d) as mean, stddev_samp(d) / sqrt(count(d)) as se from d group by 1, 2),
+i as (select *, mean - {Z_CONTROLS}::double * se as low, mean + {Z_CONTROLS}::double * se as high from z)
+select method, segment, n, round(mean, 6) as mean, round(se, 6) as se, round(low, 6) as low, round(high, 6) as high, low > 0 or high < 0 as departs from i""")
+def against_controls(spark, folder):
+    trained, amplitude, energy = _sides(spark, folder)
+    return segments.against_controls(trained, {"amplitude": amplitude, "energy": energy}, "vec_id")
+
+
+@query(f"""with {LEAD_SQL}, w(seg) as (values ('p'), ('qrs'), ('t')),
+e as (select seg, vec_id, lead, avg(case when segment = seg then abs(x) end) - avg(case when segment <> seg then abs(x) end) as d from s, w group by 1, 2, 3),
+l as (select seg, lead, avg(d) as el, avg(d) - 1.959963984540054::double * stddev_samp(d) / sqrt(count(d)) as lo from e group by 1, 2)
+select seg as segment, count(*) as leads, round(avg(el), 6) as mean, round(min(el), 6) as low, round(max(el), 6) as high, count(*) filter (where lo > 0) as n_above from l group by 1""")
+def elevation_summary(spark, folder):
+    s = lead_samples(spark, folder).withColumn("a", F.abs("x"))
+    p, qrs, t = (segments.elevation(s, "vec_id", "a", name).withColumn("segment", F.lit(name)) for name in ("p", "qrs", "t"))
+    return segments.elevation_summary(p.unionByName(qrs).unionByName(t))

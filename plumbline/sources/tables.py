@@ -50,3 +50,13 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.option("multiLine", "true").schema("record_id array<string>, true_age array<double>, predicted_age array<double>").json(path)
     rows = whole.select(F.inline(F.arrays_zip("record_id", "true_age", "predicted_age")))
     return rows.withColumn("age_gap", F.col("predicted_age") - F.col("true_age"))
+
+
+def read_predictions(spark: SparkSession, path: str, part: str = "test") -> DataFrame:
+    """index, age_gap of a part of prediction files: one JSON object a file, with an array of each. Keyed by index, so
+    that runs which hold the records in another order are still paired right; the longer array's rest is left out."""
+    arrays = "struct<index: array<bigint>, age_gap: array<double>>"
+    files = spark.read.json(path, multiLine=True, schema=f"`{part}` {arrays}")
+    n = F.least(F.size(f"{part}.index"), F.size(f"{part}.age_gap"))
+    pairs = F.arrays_zip(F.col(f"{part}.index").alias("index"), F.col(f"{part}.age_gap").alias("age_gap"))
+    return files.where(n > 0).select(F.explode(F.slice(pairs, F.lit(1), n)).alias("p")).select(F.col("p.index").alias("index"), F.col("p.age_gap").alias("age_gap"))

@@ -151,3 +151,53 @@ def test_integrated_gradients_are_complete(spark):
     s = spark.createDataFrame([(1, 2.0, 0.5), (1, -1.0, 0.1), (2, 0.3, 2.0)], "k int, x double, w double").withColumn("x0", F.lit(0.25))
     out = segments.completeness(segments.integrated_gradients(s, "x", "x0", "w", 0.7, 8), "k", "x", "x0", "w", 0.7)
     assert all(abs(r["error"]) < 1e-9 and not r["flagged"] for r in out.collect())
+
+
+def test_stratified_folds_keep_groups_and_deal_positives_evenly(spark):
+    pdf = pd.DataFrame({"g": np.arange(4000) // 4, "label": ((np.arange(4000) // 4) % 10 == 0).astype(int), "fold_before": 1})
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(None, 1, 1), (None, None, 1)], "g long, label long, fold_before long"))
+    first, second = (splits.stratified_folds(df, "g", "label", 5, repeat=r).toPandas() for r in (0, 1))
+    assert len(first) == 4002 and (first.groupby("g")["fold"].nunique() == 1).all()
+    positive = first[first["label"] == 1].groupby("fold")["g"].nunique(dropna=False)
+    assert positive.sum() == 101 and positive.max() - positive.min() <= 1
+    both = first.drop_duplicates("g").merge(second.drop_duplicates("g"), on="g")
+    assert (both["fold_x"] != both["fold_y"]).mean() > 0.5
+    assert splits.stratified_folds(df.limit(0), "g", "label", 5).count() == 0
+
+
+def test_fold_deltas_against_pairs(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"fold": rng.integers(0, 3, 300), "label": rng.integers(0, 2, 300), "base": rng.integers(0, 6, 300).astype(float), "full": rng.normal(size=300)})
+    pdf.loc[pdf["fold"] == 2, "label"] = 0
+    for r in inference.fold_deltas(spark.createDataFrame(pdf), "fold", "label", "base", "full").collect():
+        own = pdf[pdf["fold"] == r["fold"]]
+        pos, neg = own[own["label"] == 1], own[own["label"] == 0]
+        if not len(pos):
+            assert r["delta"] is None
+            continue
+        want = {c: np.mean([(a > b) + (a == b) / 2 for a in pos[c] for b in neg[c]]) for c in ("base", "full")}
+        assert r["auc_base"] == pytest.approx(want["base"]) and r["delta"] == pytest.approx(want["full"] - want["base"])
+
+
+def test_report_and_bound(spark):
+    rows = [("a", 0.1, True, False), ("b", 0.3, None, None), ("c", 0.0, False, True)]
+    out = one(inference.report(spark.createDataFrame(rows, "label string, delta double, improves boolean, equivalent boolean")))
+    assert out == {"any_improves": True, "all_equivalent": False, "n_inconclusive": 1, "best": "b"}
+    assert spark.range(1).select(inference.tightest_bound(F.lit(-0.03), F.lit(0.01))).collect()[0][0] == 0.03
+
+
+def test_controls_that_equal_the_trained_profile_do_not_depart(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, lead, s, float(v)) for i in range(60) for lead in range(2) for s, v in zip(("p", "qrs", "t", "other"), rng.dirichlet([3, 3, 3, 3]) / 2, strict=True)]
+    own = spark.createDataFrame(rows, "id long, lead int, segment string, share double")
+    moved = own.withColumn("share", F.col("share") + F.when(F.col("segment") == "p", 0.05).when(F.col("segment") == "t", -0.05).otherwise(0.0))
+    out = {(r["method"], r["segment"]): r["departs"] for r in segments.against_controls(own, {"same": own, "moved": moved}, "id").collect()}
+    assert {k for k, v in out.items() if v} == {("moved", "p"), ("moved", "t")} and len(out) == 8
+
+
+def test_predictions_are_keyed(spark, tmp_path):
+    from plumbline.sources.tables import read_predictions
+
+    (tmp_path / "a.json").write_text('{"test": {"index": [3, 1, 2],\n "age_gap": [0.5, -1.0]}, "val": {"index": [9], "age_gap": [1.0]}}')
+    (tmp_path / "b.json").write_text('{"val": {"index": [9], "age_gap": [1.0]}}')
+    assert sorted(map(tuple, read_predictions(spark, str(tmp_path)).collect())) == [(1, -1.0), (3, 0.5)]

@@ -59,6 +59,14 @@ def test_boosted_trees_see_a_curve_that_a_line_does_not(table):
     assert r2["boosted"] > 0.8 > 0.2 > r2["linear"]
 
 
+def test_repeats_are_averaged(table):
+    df = splits.stratified_folds(splits.stratified_folds(table, "patient", "label", 2, 0, "f0"), "patient", "label", 2, 1, "f1")
+    one = {c: {r["record_id"]: r["p"] for r in learners.out_of_fold(df, ["x", "residual"], "label", c, "logistic", "p").collect()} for c in ("f0", "f1")}
+    both = learners.repeated_out_of_fold(df, "record_id", ["x", "residual"], "label", ["f0", "f1"], "logistic").collect()
+    assert len(both) == 800
+    assert all(abs(r["predicted"] - (one["f0"][r["record_id"]] + one["f1"][r["record_id"]]) / 2) < 1e-9 for r in both)
+
+
 def test_diagnostic_link_both_ways(table):
     found = learners.diagnostic_link(table, "patient", "label", ["x"], "residual", "fold", 60, 5).collect()[0]
     assert found["verdict"].startswith("improves") and found["auc_full"] > found["auc_base"] + 0.02
