@@ -30,8 +30,8 @@ from plumbline.llm.tokens import segments, units
 #: Longest piece, in bytes, that is merged directly; longer ones are halved.
 LEAF = 24
 NO_RANK = 1 << 62
-#: Pieces and units that a worker remembers at most, beside those of one segment.
-KEPT = 150_000
+#: Pieces and units that a worker remembers at most, beside those of one segment; 600,000 of usual length take 150 MB.
+KEPT = 600_000
 
 
 class TreeCodec:
@@ -40,6 +40,8 @@ class TreeCodec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        #: Ranks of all pairs of bytes, by first and second byte.
+        self.first = [[self.ranks.get(bytes((x, y)), NO_RANK) for y in range(256)] for x in range(256)]
         self.stable = lru_cache(maxsize=50_000)(self._stable)
         #: Packed ids and decoded bytes of pieces and units seen of late, and of those before; used ones come back.
         self.known: dict[str, tuple[bytes, bytes]] = {}
@@ -47,8 +49,8 @@ class TreeCodec:
 
     def _merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost first, over a short piece: each merge changes two neighbouring ranks."""
-        ranks, get, cut = self.ranks, self.ranks.get, list(range(len(piece) + 1))
-        pair = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+        ranks, get, first, cut = self.ranks, self.ranks.get, self.first, list(range(len(piece) + 1))
+        pair = [first[x][y] for x, y in zip(piece, piece[1:])]  # noqa: B905
         while pair and (low := min(pair)) != NO_RANK:
             i = pair.index(low)
             del cut[i + 1], pair[i]
