@@ -45,16 +45,12 @@ def usable_headers(headers: DataFrame, low: float = 18, high: float = 89) -> Dat
     return found
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, true_age, predicted_age, age_gap, a row a recording, of prediction files with one array a field."""
-    whole = spark.read.option("multiLine", "true").schema("record_id array<string>, true_age array<double>, predicted_age array<double>").json(path)
-    rows = whole.select(F.inline(F.arrays_zip("record_id", "true_age", "predicted_age")))
-    return rows.withColumn("age_gap", F.col("predicted_age") - F.col("true_age"))
-
-
 def read_predictions(spark: SparkSession, path: str, part: str = "test") -> DataFrame:
-    """index, age_gap of a part of prediction files: one JSON object a file, with an array of each. Keyed by index, so
-    that runs which hold the records in another order are still paired right; the longer array's rest is left out."""
+    """index, age_gap, a row a recording, of one part of prediction files, each a JSON object with two arrays a part.
+
+    Runs are to be joined on index, never by position: they need not list recordings in one order. Where the arrays of a
+    part differ in length, what has no partner is left out.
+    """
     arrays = "struct<index: array<bigint>, age_gap: array<double>>"
     files = spark.read.json(path, multiLine=True, schema=f"`{part}` {arrays}")
     n = F.least(F.size(f"{part}.index"), F.size(f"{part}.age_gap"))

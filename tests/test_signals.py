@@ -135,8 +135,14 @@ def test_interval_and_amplitude_tables(beats):
 
 
 def test_prediction_files_are_rows(spark, tmp_path):
-    (tmp_path / "p.json").write_text('{"record_id": ["a", "b"],\n "true_age": [50, 61.5], "predicted_age": [52, 60]}')
-    assert [(r["record_id"], r["age_gap"]) for r in tables.read_predictions(spark, str(tmp_path / "p.json")).collect()] == [("a", 2.0), ("b", -1.5)]
+    (tmp_path / "p.json").write_text('{"test": {"index": [4, 2, 9],\n "age_gap": [2.0, -1.5]}, "validation": {"index": [1], "age_gap": [0.5]}}')
+    assert [(r["index"], r["age_gap"]) for r in tables.read_predictions(spark, str(tmp_path / "p.json")).collect()] == [(4, 2.0), (2, -1.5)]
+    assert tables.read_predictions(spark, str(tmp_path / "p.json"), "validation").count() == 1
+    (tmp_path / "p.json").write_text('{"other": {"index": [4], "age_gap": [2.0]}}')
+    assert tables.read_predictions(spark, str(tmp_path / "p.json")).count() == 0
+
+
+def test_usable_headers(spark):
     heads = spark.createDataFrame([("a", 30.0, 1), ("b", 7.0, 0), ("c", 40.0, None)], "record_id string, age double, sex int")
     assert [r["record_id"] for r in tables.usable_headers(heads).collect()] == ["a"]
     with pytest.raises(ValueError, match="usable"):
