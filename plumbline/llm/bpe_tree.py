@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import share_file, share_package, shared_path
-from plumbline.llm.tokens import segments, units
+from plumbline.llm.tokens import pieces, segments, units
 
 #: Longest piece, in bytes, that is merged directly; longer ones are halved.
 LEAF = 24
 NO_RANK = 1 << 62
-#: Pieces and units that a worker remembers at most, beside those of one segment; 600,000 of usual length take 150 MB.
-KEPT = 600_000
+#: Bytes that a worker's remembered pieces and units take at most, about, beside those of one segment: half of them by
+#: texts seen of late. An entry's own share, beside its text, ids and bytes, is about OVERHEAD.
+KEPT_BYTES, OVERHEAD = 160_000_000, 200
 
 
 class TreeCodec:
@@ -46,6 +47,7 @@ class TreeCodec:
         #: Packed ids and decoded bytes of pieces and units seen of late, and of those before; used ones come back.
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.kept_bytes = 0
 
     def _merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost first, over a short piece: each merge changes two neighbouring ranks."""
@@ -131,7 +133,7 @@ class TreeCodec:
         """Packed ids and decoded bytes of a piece or unit; those of a unit are its pieces', one after the other."""
         found = self.known.get(text) or self.older.get(text)
         if found is None:
-            parts = [text] if is_piece else self.pattern.findall(text)
+            parts = [text] if is_piece else pieces(self.pattern, text)
             if parts == [text]:
                 ids = self.encode_piece(text.encode("utf-8", "surrogatepass"))
                 found = struct.pack(f"<{len(ids)}I", *ids), self.decode_tree(ids)
@@ -139,13 +141,15 @@ class TreeCodec:
                 own = [self.look_up(p, is_piece=True) for p in parts]
                 found = b"".join([f[0] for f in own]), b"".join([f[1] for f in own])
         self.known[text] = found
+        # A text takes up to four bytes a character.
+        self.kept_bytes += OVERHEAD + 4 * len(text) + len(found[0]) + len(found[1])
         return found
 
     def parts(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """Packed ids and decoded bytes of the text, segment by segment."""
         for segment in segments(text):
-            if len(self.known) > KEPT // 2:
-                self.known, self.older = {}, self.known
+            if self.kept_bytes > KEPT_BYTES // 2:
+                self.known, self.older, self.kept_bytes = {}, self.known, 0
             own, known = units(segment), self.known
             for u in set(own).difference(known):
                 self.look_up(u)

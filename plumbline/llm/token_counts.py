@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import in_pieces, share_file, share_package, shared_path
-from plumbline.llm.tokens import segments, units
+from plumbline.llm.tokens import pieces, segments, units
 
 #: The pre-tokenizer's pattern that the vocabulary file names by "use_regex".
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -157,13 +157,13 @@ class Merges:
         return found
 
     def learn(self, fresh: list[str]) -> None:
-        pieces, sizes = [], []
+        found, sizes = [], []
         for unit in fresh:
-            parts = self.pattern.findall(unit)
+            parts = pieces(self.pattern, unit)
             sizes.append(len(parts))
-            pieces.extend(p.encode("utf-8", "surrogatepass") for p in parts)
+            found.extend(p.encode("utf-8", "surrogatepass") for p in parts)
         ends = np.cumsum(sizes)
-        total = np.r_[0, np.cumsum(self.counts(pieces))]
+        total = np.r_[0, np.cumsum(self.counts(found))]
         self.known.update(zip(fresh, (total[ends] - total[ends - sizes]).tolist(), strict=True))
         self.kept_chars += sum(map(len, fresh))
 
