@@ -3,7 +3,7 @@
 A document's features are the distinct hashed character n-grams of its whole text. On a bounded, hash-chosen sample of
 labelled rows (PER_CLASS rows of each label, one text of each id), each feature gets the log of the ratio of its smoothed document counts
 under the two labels; a logistic regression with an L2 penalty is fitted on the features so scaled. The fit is one
-task over the bounded sample; scoring is a map over all rows with one weight a feature (BUCKETS floats, broadcast).
+task over the bounded sample, whose rows take BUCKETS / 8 bytes each at most, 131 MB in all; scoring is a map over all rows with one weight a feature (BUCKETS floats, broadcast).
 
 Cases: null and empty texts have no features and get the score of the intercept; rows with a null id are scored, not
 learned from; repeated rows get repeated results; an empty table gives no rows; without labels of both kinds every
@@ -58,31 +58,70 @@ class Grams:
         return h[self.slot[h] == at]
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights for every bucket, the ratio included, and the intercept."""
+def packed(grams: np.ndarray) -> bytes:
+    """A row's buckets as 32-bit integers, or as one bit a bucket where that is shorter: BUCKETS / 8 bytes at most."""
+    if 4 * len(grams) < BUCKETS // 8:
+        return np.sort(grams).astype(np.int32).tobytes()
+    bits = np.zeros(BUCKETS, bool)
+    bits[grams] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(row: bytes) -> np.ndarray:
+    return np.frombuffer(row, np.int32) if len(row) < BUCKETS // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8)))
+
+
+def portions(rows: list[bytes]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Ranges of rows with about a million buckets each: the range, its buckets, and each row's number of them."""
+    start, found, total = 0, [], 0
+    for i, row in enumerate(rows):
+        found.append(unpacked(row))
+        total += len(found[-1])
+        if total >= 1_000_000 or i + 1 == len(rows):
+            yield slice(start, i + 1), np.concatenate(found), np.array([len(f) for f in found])
+            start, found, total = i + 1, [], 0
+
+
+def fit(rows: list[bytes], labels: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights for every bucket, the ratio included, and the intercept.
+
+    Rows stay packed, and only one portion of them is open at a time, so that memory is bounded by the number of rows,
+    whatever the length of their texts.
+    """
     positive = labels == 1
     if positive.all() or not positive.any():
         return np.zeros(BUCKETS, np.float32), 0.0
-    lengths = np.array([len(r) for r in rows])
-    column, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    p = np.bincount(column[positive[row]], minlength=BUCKETS) + 1.0
-    q = np.bincount(column[~positive[row]], minlength=BUCKETS) + 1.0
+    p, q = np.ones(BUCKETS), np.ones(BUCKETS)
+    for part, column, lengths in portions(rows):
+        of = np.repeat(positive[part], lengths)
+        p += np.bincount(column[of], minlength=BUCKETS)
+        q += np.bincount(column[~of], minlength=BUCKETS)
     ratio = np.log(p / (positive.sum() + 2.0)) - np.log(q / ((~positive).sum() + 2.0))
     # n-grams that both labels use alike have a ratio near 0 and say nothing; the fit leaves them out.
     ratio[np.abs(ratio) < 0.5] = 0
-    keep = ratio[column] != 0
-    column, row = column[keep], row[keep]
-    value = ratio[column]
+    squares = np.zeros(len(rows))
+    for i, row in enumerate(rows):
+        own = unpacked(row)
+        own = own[ratio[own] != 0]
+        rows[i] = packed(own)
+        squares[i] = (ratio[own] ** 2).sum()
     balance = np.where(positive, 0.5 / positive.sum(), 0.5 / (~positive).sum())
     weight, bias, target = np.zeros(BUCKETS), 0.0, positive.astype(float)
     # Nesterov's accelerated gradient; the step follows the largest row's squared length.
-    step = 4.0 / (1.0 + np.bincount(row, value**2, minlength=len(rows)).max() * 0.5)
+    step = 4.0 / (1.0 + squares.max() * 0.5)
     ahead, ahead_bias, momentum = weight.copy(), bias, 1.0
+    # What few buckets leave open is kept open; more is opened anew each round.
+    opened = list(portions(rows)) if sum(map(len, rows)) <= 40_000_000 and all(len(r) < BUCKETS // 8 for r in rows) else None
     for _ in range(rounds):
-        margin = np.bincount(row, value * ahead[column], minlength=len(rows)) + ahead_bias
-        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target) * balance
-        new = ahead - step * (np.bincount(column, value * error[row], minlength=BUCKETS) + penalty * ahead)
-        new_bias = ahead_bias - step * error.sum()
+        scaled, slope, total = ahead * ratio, np.zeros(BUCKETS), 0.0
+        for part, column, lengths in opened or portions(rows):
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            margin = np.bincount(row, scaled[column], minlength=len(lengths)) + ahead_bias
+            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target[part]) * balance[part]
+            slope += np.bincount(column, error[row], minlength=BUCKETS)
+            total += error.sum()
+        new = ahead - step * (slope * ratio + penalty * ahead)
+        new_bias = ahead_bias - step * total
         next_momentum = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         beta = (momentum - 1) / next_momentum
         ahead, ahead_bias = new + beta * (new - weight), new_bias + beta * (new_bias - bias)
@@ -114,16 +153,22 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
-            rows = [g.tobytes() for g in grams.hashed(batch.column("text").to_pylist())]
+            rows = [packed(g) for g in grams.hashed(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), pa.array(rows, pa.binary()), batch.column("label")], ["id", "grams", "label"])
 
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "grams"]).sort_values(["id", "grams"])
-        weight, bias = fit([np.frombuffer(g, np.int32) for g in pdf["grams"]], pdf["label"].to_numpy())
-        return pd.DataFrame({"weight": [weight.tobytes()], "bias": [bias]})
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {(i, g): y for batch in batches for i, g, y in zip(*(batch.column(c).to_pylist() for c in ("id", "grams", "label")), strict=True)}
+        if rows:
+            keys = sorted(rows)
+            labels = np.array([rows[k] for k in keys])
+            del rows
+            packs = [g for _, g in keys]
+            del keys
+            weight, bias = fit(packs, labels)
+            yield pa.RecordBatch.from_pydict({"weight": pa.array([weight.tobytes()], pa.binary()), "bias": [bias]})
 
     rows = sample.mapInArrow(features, "id string, grams binary, label int")
-    found = rows.groupBy().applyInPandas(fitted, "weight binary, bias double").collect()
+    found = rows.repartition(1).mapInArrow(fitted, "weight binary, bias double").collect()
     if not found:
         return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(found[0]["weight"], np.float32), found[0]["bias"]
