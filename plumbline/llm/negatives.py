@@ -7,7 +7,7 @@ Anchors form groups of neighbours that know their least and greatest distance to
 bounds the distances between a group and a ring on both sides, and a ring goes only to groups that it may serve:
 
 * Positives. For each label of a group, the few rows of that label nearest to each pivot bound how far the k-th best of
-  any anchor can be; a ring serves the group unless all of it is farther.
+  any anchor can be; a ring serves the group if it holds the label, unless all of it is farther.
 * Negatives. A positive's score gives the interval of scores that its negatives must have, which is an interval of
   distances; a ring serves the group unless all of it is outside the hull of the group's intervals.
 
@@ -201,13 +201,18 @@ class Space:
     def served(self, spans: DataFrame, anchors: DataFrame, join: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         """What the exact join finds for every group in the rings that may serve it.
 
-        spans: group, near, far: the distances from its anchors that matter; join: over a chunk's anchors and rings.
+        spans: group, near, far: the distances from its anchors that matter, and maybe label: those to rows of that label;
+        join: over a chunk's anchors and rings.
         """
         slack = SLACK * (1 + self.most**0.5)
         reach = self.anchors.select("group", F.posexplode("reach").alias("pivot", "d")).groupBy("group", "pivot").agg(F.min("d").alias("least"), F.max("d").alias("greatest"))
-        heads = self.rings.select("ring", "pivot", "low", "high")
+        heads = self.rings.select("ring", "pivot", "low", "high", F.col("heads.label").alias("labelled"))
         may = (F.col("least") - F.col("high") <= F.col("far") + slack) & (F.col("low") - F.col("greatest") <= F.col("far") + slack) & (F.col("greatest") + F.col("high") >= F.col("near") - slack)
-        pairs = reach.join(spans, "group").join(heads, "pivot").where(may).select("group", "ring")
+        if "label" in spans.columns:
+            heads = heads.withColumn("label", F.explode(F.array_distinct("labelled"))).drop("labelled")
+            pairs = spans.join(heads, "label").join(reach, ["group", "pivot"]).where(may).select("group", "ring").distinct()
+        else:
+            pairs = reach.join(spans, "group").join(heads, "pivot").where(may).select("group", "ring")
         chunks = max(1, -(-self.rings.count() // BLOCKS_A_CHUNK))
         pairs = written(pairs.withColumn("chunk", F.pmod(F.xxhash64("ring"), F.lit(chunks)).cast("int")), "negatives-pairs")
         candidates = pairs.join(self.rings, "ring").select(F.col("group").alias("of_group"), F.col("chunk").alias("of_chunk"), "ids", "labels", "vectors")
@@ -224,9 +229,9 @@ class Space:
         bound = wide.join(first, ["pivot", "label"]).groupBy("group", "label", "of").agg(F.min(F.col("greatest") + F.col("far")).alias("bound"))
         nth = Window.partitionBy("group", "label").orderBy("bound")
         bound = bound.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") == k + 1).select("group", "label", "bound")
-        # A label with fewer ids has no bound: every ring serves it.
-        labels = self.anchors.select("group", "label").distinct().join(bound, ["group", "label"], "left")
-        spans = labels.groupBy("group").agg(F.lit(0.0).alias("near"), F.max(F.coalesce("bound", F.lit(float("inf")))).alias("far"))
+        # A label with fewer ids has no bound: every ring that holds it serves it.
+        spans = self.anchors.select("group", "label").distinct().join(bound, ["group", "label"], "left")
+        spans = spans.select("group", "label", F.lit(0.0).alias("near"), F.coalesce("bound", F.lit(float("inf"))).alias("far"))
         dims = self.dims
 
         def join(asked: pa.Table, rings: pa.Table) -> pa.Table:

@@ -74,7 +74,7 @@ class Codebook:
             d = np.sqrt(((e[:, None, :].astype(float) - e[None, :, :]) ** 2).sum(axis=2)) / 2 * (1 - SLACK)
             np.fill_diagonal(d, np.inf)
             self.half.append(d)
-            self.nearest.append(d.min(axis=1))
+            self.nearest.append(d.min(axis=1, initial=np.inf))
 
     def text(self) -> str:
         return ",".join(str(int(x)) for e in self.entries for x in e.ravel())
@@ -184,7 +184,7 @@ class Training:
         self.dims, self.parts = dims, parts
         ids = [r["id"] for r in rows.select("id").where("id is not null").distinct().orderBy("id").limit(entries).collect()]
         started = rows.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("vector").alias("vector")).orderBy("id")
-        first = np.array([r["vector"] for r in started.collect()], np.int64).reshape(-1, dims)
+        first = np.array([r["vector"] for r in started.collect()], np.int64).reshape(len(ids), dims)
         self.book = Codebook([first[:, a:b] for a, b in cuts(dims, parts)])
         self.entries = len(first)
         self.rows = rows
