@@ -2,45 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.order import quantile_bins, running_before
-
-#: Probabilities that a Poisson variable of mean 1 is at most 0, 1, 2 and so on.
-POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
-
-
-def scrambled(df: DataFrame, x: Column, name: str) -> DataFrame:
-    """df with a 32-bit hash of whole numbers in plain 64-bit arithmetic, so that reruns and other engines agree.
-
-    Each round is a column of its own: written as one expression, a round's argument would be worked out twice.
-    """
-    df = df.withColumn(name, F.pmod(x, F.lit(1 << 32)))
-    for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
-        df = df.withColumn(name, F.pmod(F.col(name).bitwiseXOR(F.shiftright(name, shift)) * F.lit(factor), F.lit(1 << 32)))
-    return df.withColumn(name, F.col(name).bitwiseXOR(F.shiftright(name, 15)))
-
-
-def resampled(df: DataFrame, cluster: str, replicates: int) -> DataFrame:
-    """df once for each replicate, with replicate and times: how often it draws the cluster, which may be 0.
-
-    Each replicate draws each cluster a Poisson number of times of mean 1, which a hash of both gives: no cluster is
-    numbered, nothing is shuffled, and all rows of a cluster have the same number. A null cluster isn't drawn.
-    """
-    kind = df.schema[cluster].dataType.simpleString()
-    number = F.col(cluster).cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(cluster)
-    own = scrambled(df.where(F.col(cluster).isNotNull()), number, "_h")
-    each = scrambled(df.sparkSession.range(replicates).withColumnRenamed("id", "replicate"), F.col("replicate") + 1, "_r")
-    # One row a replicate: that many longs are broadcast.
-    both = scrambled(own.join(F.broadcast(each)), F.col("_h").bitwiseXOR(F.col("_r")), "_x")
-    share = F.col("_x") / F.lit(float(1 << 32))
-    times = sum((F.when(share >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(share >= POISSON[0], 1).otherwise(0))
-    # Rows drawn 0 times stay, since a filter would be pushed below the columns above and work them out again.
-    return both.withColumn("times", times.cast("long")).drop("_h", "_r", "_x")
-
+from plumbline.operators.replicates import replicate_auc, replicate_sums
 
 def bootstrap_r2(df: DataFrame, cluster: str, y: str, base: str, full: str, replicates: int, level: float = 0.95) -> DataFrame:
     """Intervals of the full R2 and of what it adds to the base's, floored at 0, from the same cluster draws.
@@ -49,7 +15,7 @@ def bootstrap_r2(df: DataFrame, cluster: str, y: str, base: str, full: str, repl
     """
     e = lambda c: (F.col(y) - F.col(c)) * (F.col(y) - F.col(c))
     stats = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(e(base)).alias("eb"), F.sum(e(full)).alias("ef"))
-    w = resampled(stats, cluster, replicates).groupBy("replicate").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("n", "sy", "syy", "eb", "ef")])
+    w = replicate_sums(stats, cluster, {c: F.col(c) for c in ("n", "sy", "syy", "eb", "ef")}, replicates)
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     r = w.where(sst > 0).select((1 - F.col("ef") / sst).alias("r_full"), (1 - F.col("ef") / sst - F.greatest(1 - F.col("eb") / sst, F.lit(0.0))).alias("r_inc"))
     t = (1 - level) / 2
@@ -76,23 +42,22 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def weighted_auc(df: DataFrame, by: str, label: str, score: str, weight: str, bins: str) -> DataFrame:
-    """by, auc: null where a replicate has one class only. bins: the column with the scores' bins."""
+    """by, auc: null where one class only is there. bins: the column with the scores' bins."""
     count = lambda y: F.sum(F.when(F.col(label) == y, F.col(weight)).otherwise(0))
     at = df.where(F.col(score).isNotNull()).groupBy(by, F.col(bins).alias("_bin"), F.col(score).cast("double").alias("s")).agg(count(1).alias("p"), count(0).alias("q"))
     return rank_sums(at, [by]).select(by, "auc")
 
 
-def auc_differences(df: DataFrame, cluster: str, label: str, base: str, full: str, replicates: int) -> DataFrame:
-    """d: AUC(full) - AUC(base) of each replicate of paired cluster draws; null where a replicate has one class only.
-
-    Equal rows of a cluster are counted first, so that each goes once into every replicate that draws the cluster.
-    """
-    own = df.groupBy(cluster, label, base, full).agg(F.count(F.lit(1)).alias("equal"))
-    own = quantile_bins(quantile_bins(own, base, "_base_bin"), full, "_full_bin")
-    rows = resampled(own, cluster, replicates).withColumn("times", F.col("times") * F.col("equal"))
-    a = weighted_auc(rows, "replicate", label, full, "times", "_full_bin").withColumnRenamed("auc", "full_auc")
-    b = weighted_auc(rows, "replicate", label, base, "times", "_base_bin").select(F.col("replicate").alias("r"), F.col("auc").alias("base_auc"))
-    return a.join(b, F.col("replicate") == F.col("r")).select((F.col("full_auc") - F.col("base_auc")).alias("d"))
+def auc_differences(df: DataFrame, cluster: str, label: str, base: str, full: str, replicates: int, by: list[str] | None = None) -> DataFrame:
+    """by, replicate, d: AUC(full) - AUC(base) of each replicate of paired cluster draws; null where one has one class only."""
+    by = by or []
+    rows = df.where(F.col(base).isNotNull() & F.col(full).isNotNull())
+    arms = [replicate_auc(rows, by, cluster, label, score, replicates) for score in (full, base)]
+    other = arms[1].select(*[F.col(b).alias(f"_{b}") for b in by], F.col("replicate").alias("_replicate"), F.col("auc").alias("base_auc"))
+    on = F.col("replicate") == F.col("_replicate")
+    for b in by:
+        on &= F.col(b).eqNullSafe(F.col(f"_{b}"))
+    return arms[0].join(other, on).select(*by, "replicate", (F.col("auc") - F.col("base_auc")).alias("d"))
 
 
 def delta_auc(df: DataFrame, cluster: str, label: str, base: str, full: str, replicates: int, tail: float) -> DataFrame:
@@ -146,7 +111,7 @@ def noise_floor_interval(df: DataFrame, key: str, run: str, value: str, runs: li
     wide = df.groupBy(key).pivot(run, runs).agg(F.avg(value)).dropna()
     pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i + 1 :]]
     products = {f"s{i}": F.col(a) for i, a in enumerate(runs)} | {f"q{i}": F.col(a) * F.col(a) for i, a in enumerate(runs)} | {f"c{i}": F.col(a) * F.col(b) for i, (a, b) in enumerate(pairs)}
-    sums = resampled(wide, key, replicates).groupBy("replicate").agg(F.sum("times").alias("n"), *[F.sum(F.col("times") * p).alias(name) for name, p in products.items()])
+    sums = replicate_sums(wide, key, {"n": F.lit(1), **products}, replicates)
     at = {name: i for i, name in enumerate(runs)}
     spread = lambda i: F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}") / F.col("n")
     r = [F.try_divide(F.col(f"c{i}") - F.col(f"s{at[a]}") * F.col(f"s{at[b]}") / F.col("n"), F.sqrt(F.greatest(spread(at[a]) * spread(at[b]), F.lit(0.0)))) for i, (a, b) in enumerate(pairs)]

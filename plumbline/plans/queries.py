@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import signals
 from plumbline.operators import cohort, delineation, inference, regression, segments, splits, sweep, waves
+from plumbline.operators.replicates import POISSON
 from plumbline.plans.frames import LEAD_SQL, ORDER_SQL, lead_samples, order_features, rounded, user_signal
 from plumbline.sources.tables import header_fields, table
 
@@ -407,7 +408,7 @@ def _scrambled(x: str) -> str:
 #: replicate, c, times: how often each replicate draws each cluster.
 DRAWS = f"""hc as (select c, {_scrambled('c')} as h from (select distinct {{c}} as c from {{t}}) where c is not null), hr as (select i as replicate, {_scrambled('i + 1')} as hi from range({REPLICATES}) r(i)),
 hx as (select replicate, c, xor(h, hi) as x from hc, hr), hs as (select replicate, c, {_scrambled('x')}::double / 4294967296.0::double as share from hx),
-mu as (select * from (select replicate, c, {' + '.join(f"(case when share >= {p!r}::double then 1 else 0 end)" for p in inference.POISSON)} as times from hs) where times > 0)"""
+mu as (select * from (select replicate, c, {' + '.join(f"(case when share >= {p!r}::double then 1 else 0 end)" for p in POISSON)} as times from hs) where times > 0)"""
 
 
 @query(f"""with {ORDER_SQL}, {TWO.format(k=chr(39) + 'all' + chr(39)).split(chr(10) + 'r as')[0].rstrip(',')},

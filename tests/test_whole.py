@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from plumbline.operators import inference, sweep
+from plumbline.operators import replicates, sweep
 from plumbline.plans import queries as plans
 from plumbline.plans.frames import order_features
 
@@ -21,7 +21,7 @@ def scrambled(x):
 
 def times(replicate, clusters):
     share = scrambled(scrambled(clusters) ^ scrambled(replicate + 1)) / 2**32
-    return (share[:, None] >= np.array(inference.POISSON)).sum(axis=1)
+    return (share[:, None] >= np.array(replicates.POISSON)).sum(axis=1)
 
 
 def test_draws_are_poisson_of_mean_1_and_unlike_each_other():
