@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import signals
-from plumbline.operators import cohort, delineation, inference, regression, segments, splits, sweep, waves
+from plumbline.operators import accumulate, boosting, cohort, decompose, delineation, inference, regression, segments, splits, sweep, waves
 from plumbline.operators.replicates import POISSON
 from plumbline.plans.frames import LEAD_SQL, ORDER_SQL, lead_samples, order_features, rounded, user_signal
 from plumbline.sources.tables import header_fields, table
@@ -19,6 +19,8 @@ SQL: dict[str, str] = {}
 
 #: Bootstrap replicates.
 REPLICATES = 1000
+#: Boosted explainers of the queries: larger steps than the default's, and so fewer passes.
+QUICK = boosting.Settings(rounds=40, rate=0.2)
 SIGNAL = "e as (select *, epoch_us(ts)::double / 1000000.0::double as s from events)"
 TRAINING_SUMS = """g as (select fold, count(*)::double n, sum({x}) sx, sum(y) sy, sum({x}*{x}) sxx, sum({x}*y) sxy, sum(y*y) syy from f group by fold),
 t as (select a.fold, a.n, a.sx, a.sy, a.sxx, a.sxy, a.syy, (w.n-a.n) tn, (w.sx-a.sx) tx, (w.sy-a.sy) ty, (w.sxx-a.sxx) txx, (w.sxy-a.sxy) txy
@@ -511,14 +513,15 @@ def _scores(spark, folder):
     return regression.subset_scores(order_features(spark, folder), "y", ["age"], SUBSETS, "fold")
 
 
-def _sweep_sql() -> str:
-    """lv: k, n, mean, sd, low, high of all subsets, by Gauss-Jordan elimination over cells (subset, fold, i, j)."""
+def _fits_sql(subsets: list[list[str]], whole: bool = False) -> str:
+    """g, gt: sums of products; sb: subsets; bt: coefficients by subset and fold, -1 for y. By Gauss-Jordan elimination
+    over cells (subset, fold, i, j). whole: fold -1 is fitted to all rows."""
     names = ["1.0::double", "age", *FEATURES, "y"]
     place = {c: i + 1 for i, c in enumerate(names)}
     y = len(names)
-    members = ", ".join(f"('{'+'.join(x)}', {len(x)}, {[1, 2, *sorted(place[c] for c in x)]})" for x in SUBSETS)
+    members = ", ".join(f"('{'+'.join(x) or 'base'}', {len(x)}, {[1, 2, *sorted(place[c] for c in x)]})" for x in subsets)
     out = f"""{ORDER_SQL}, sb(subset, k, own) as (values {members}), v as (select fold, [{', '.join(names)}] as x from f),
-g as (select fold, i, j, sum(x[i] * x[j]) as v from v, range(1, {y + 1}) a(i), range(1, {y + 1}) b(j) group by 1, 2, 3),
+g as (select fold, i, j, sum(x[i] * x[j]) as v from v, range(1, {y + 1}) a(i), range(1, {y + 1}) b(j) group by 1, 2, 3{' union all select -1, i, j, 0.0::double from range(1, ' + str(y + 1) + ') a(i), range(1, ' + str(y + 1) + ') b(j)' if whole else ''}),
 gt as (select i, j, sum(v) as v from g group by 1, 2),
 w0 as (select subset, g.fold, g.i, g.j, gt.v - g.v as v from sb, g join gt on gt.i = g.i and gt.j = g.j where list_contains(own, g.i) and (g.j = {y} or list_contains(own, g.j)))"""
     for p in range(1, y):
@@ -528,7 +531,13 @@ w0 as (select subset, g.fold, g.i, g.j, gt.v - g.v as v from sb, g join gt on gt
  left join {w} b on b.subset = a.subset and b.fold = a.fold and b.i = a.i and b.j = {p} left join {w} c on c.subset = a.subset and c.fold = a.fold and c.i = {p} and c.j = a.j
  left join {w} d on d.subset = a.subset and d.fold = a.fold and d.i = {p} and d.j = {p})"""
     return out + f""",
-bt as (select subset, fold, i, v from w{y - 1} where j = {y} union all select subset, fold, {y}, -1.0::double from sb, (select distinct fold from g)),
+bt as (select subset, fold, i, v from w{y - 1} where j = {y} union all select subset, fold, {y}, -1.0::double from sb, (select distinct fold from g))"""
+
+
+def _sweep_sql() -> str:
+    """lv: k, n, mean, sd, low, high of all subsets."""
+    y = len(FEATURES) + 3
+    return f"""{_fits_sql(SUBSETS)},
 se as (select a.subset, sum(a.v * b.v * g.v) as sse from bt a join bt b on a.subset = b.subset and a.fold = b.fold join g on g.fold = a.fold and g.i = a.i and g.j = b.i group by 1),
 sc as (select subset, k, 1 - sse / (select max(case when i = {y} and j = {y} then v end) - power(max(case when i = 1 and j = {y} then v end), 2) / max(case when i = 1 and j = 1 then v end) from gt) as r2 from se join sb using (subset)),
 lv as (select k, count(*) as n, avg(r2) as mean, coalesce(stddev_samp(r2), 0) as sd, min(r2) as low, max(r2) as high from sc group by k),
@@ -578,6 +587,57 @@ def enumeration_arms(spark, folder):
     return sweep.arms(_scores(spark, folder), ARMS)
 
 
+# The whole decomposition
+
+GAP = {"key": "o_orderkey", "y": "y", "covariates": ["age"], "features": FEATURES, "fold": "fold", "cluster": "o_custkey"}
+#: pt, rp: shares of every subset over all rows and over each replicate; er: errors by order.
+GAP_SQL = f"""{_fits_sql([[], FEATURES, *[[c] for c in FEATURES]], whole=True)},
+vk as (select o_orderkey, o_custkey, fold, [1.0::double, age, {', '.join(FEATURES)}, y] as x from f),
+er as (select vk.o_orderkey, vk.o_custkey, subset, -sum(bt.v * x[bt.i]) as e, any_value(x[{len(FEATURES) + 3}]) as y from vk join bt on bt.fold = vk.fold group by 1, 2, 3),
+st as (select o_custkey, subset, count(*) as n, sum(y) as sy, sum(y * y) as syy, sum(e * e) as se from er group by 1, 2), {DRAWS.format(c='o_custkey', t='st')},
+pt as (select subset, sum(n) as n, sqrt(greatest(sum(syy) / sum(n) - power(sum(sy) / sum(n), 2), 0)) as sd, 1 - sum(se) / (sum(syy) - sum(sy) * sum(sy) / sum(n)) as r from st group by 1),
+rp as (select replicate, subset, 1 - sum(times * se) / (sum(times * syy) - sum(times * sy) * sum(times * sy) / sum(times * n)) as r from mu join st on c = o_custkey group by 1, 2),
+ab as (select a.subset, a.r, a.r - greatest(b.r, 0) as added from rp a join rp b on a.replicate = b.replicate and b.subset = 'base'),
+qt as (select subset, quantile_cont(r, 0.025) as rl, quantile_cont(r, 0.975) as rh, quantile_cont(added, 0.025) as al, quantile_cont(added, 0.975) as ah from ab group by 1),
+bs as (select n, sd, greatest(r, 0) as base from pt where subset = 'base')"""
+
+
+def _linear(spark, folder):
+    return decompose.decompose(order_features(spark, folder), **GAP, explainers=("linear",), replicates=REPLICATES)
+
+
+@query(f"""with {GAP_SQL} select 'linear' as explainer, bs.n::bigint as n, 0::bigint as n_dropped, round(bs.sd, 6) as gap_sd, round(base, 6) as r2_base, round(r, 6) as r2_full, round(r - base, 6) as incremental, round(1 - r, 6) as unexplained,
+round(rl, 6) as full_low, round(rh, 6) as full_high, round(al, 6) as incremental_low, round(ah, 6) as incremental_high, true as most_explanatory from pt join qt using (subset), bs where subset = '{'+'.join(FEATURES)}'""")
+def gap_explainers(spark, folder):
+    return _linear(spark, folder).explainers
+
+
+@query(f"""with {GAP_SQL}, sp as (select i, sqrt(greatest(v / (select v from gt where i = 1 and j = 1) - power((select v from gt z where z.i = 1 and z.j = gt.i) / (select v from gt where i = 1 and j = 1), 2), 0)) as sd from gt where i = j),
+ef as (select bt.i, bt.v * sp.sd as effect from bt join sp on sp.i = bt.i where fold = -1 and subset = '{'+'.join(FEATURES)}')
+select 'linear' as explainer, subset as feature, round(effect, 6) as effect, round(r - base, 6) as univariate, round(al, 6) as low, round(ah, 6) as high
+from pt join qt using (subset) join sb using (subset) join ef on ef.i = own[3], bs where k = 1""")
+def gap_features(spark, folder):
+    return _linear(spark, folder).features
+
+
+@query(f"with {GAP_SQL} select o_orderkey, 'linear' as explainer, round(e, 6) as residual from er where subset = '{'+'.join(FEATURES)}'")
+def gap_residuals(spark, folder):
+    return _linear(spark, folder).residuals
+
+
+@query(None)
+def gap_boosted(spark, folder):
+    """Both explainers over the same rows and draws."""
+    return decompose.decompose(order_features(spark, folder), **GAP, replicates=REPLICATES, settings=QUICK).explainers
+
+
+@query(None)
+def gap_sweep(spark, folder):
+    """Points of drawn and named subsets, each by the explainer that explains most."""
+    points = accumulate.sweep_known(order_features(spark, folder), **GAP, draws=2, named={"price": ["disc", "tax"]}, replicates=REPLICATES, settings=QUICK).points
+    return points.withColumn("features", F.array_join("features", "+"))
+
+
 # Folds of diagnostic links, and profiles against controls
 
 DEALT = """gr as (select cluster as g, max(case when label = 1 then 1 else 0 end) as kind from lb group by 1),
