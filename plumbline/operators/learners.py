@@ -38,21 +38,6 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, kind:
     return reduce(DataFrame.unionByName, parts)
 
 
-def diagnostic_link(df: DataFrame, cluster: str, label: str, known: list[str], residual: str, fold: str, replicates: int, tests: int, margin: float = 0.02) -> DataFrame:
-    """One row: does the residual add to known features' out-of-fold AUC? Superiority corrected, equivalence not."""
-    from plumbline.operators import inference
-    from plumbline.operators.segments import tail
-
-    both = out_of_fold(out_of_fold(df, known, label, fold, "logistic", "base"), [*known, residual], label, fold, "logistic", "full")
-    corrected = inference.delta_auc(both, cluster, label, "base", "full", replicates, tail(0.95, tests)).select("low")
-    plain = inference.delta_auc(both, cluster, label, "base", "full", replicates, 0.025).select(F.col("low").alias("plain_low"), F.col("high").alias("plain_high"))
-    better, same = inference.verdict(F.col("low"), F.lit(None), F.col("plain_low"), F.col("plain_high"), margin)
-    base = inference.auc(both, label, "base").select(F.col("auc").alias("auc_base"))
-    full = inference.auc(both, label, "full").select(F.col("auc").alias("auc_full"))
-    out = corrected.join(F.broadcast(plain)).join(F.broadcast(base)).join(F.broadcast(full))
-    return out.select("auc_base", "auc_full", "low", "plain_low", "plain_high", inference.verdict_text(better, same).alias("verdict"))
-
-
 def repeated_out_of_fold(df: DataFrame, key: str, features: list[str], label: str, folds: list[str], kind: str, name: str = "predicted") -> DataFrame:
     """df's usable rows with the mean of their out-of-fold predictions over repeats, one column of folds each. key is unique."""
     each = [out_of_fold(df, features, label, fold, kind, "_p").select(F.col(key).alias("_key"), "_p") for fold in folds]

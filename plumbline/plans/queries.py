@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import signals
-from plumbline.operators import accumulate, boosting, cohort, decompose, delineation, inference, regression, segments, splits, sweep, waves
+from plumbline.operators import accumulate, boosting, cohort, decompose, delineation, inference, link, regression, segments, splits, sweep, waves
 from plumbline.operators.replicates import POISSON
 from plumbline.plans.frames import LEAD_SQL, ORDER_SQL, lead_samples, order_features, rounded, user_signal
 from plumbline.sources.tables import header_fields, table
@@ -656,6 +656,16 @@ def link_fold_deltas(spark, folder):
     return inference.fold_deltas(splits.stratified_folds(_labelled(spark, folder), "cluster", "label", 5), "fold", "label", "base", "full")
 
 
+@query(None)
+def diagnostic_links(spark, folder):
+    """Two labels of documents: what a residual that only one of them drives adds to known features; untested ones with a reason."""
+    rows = _labelled(spark, folder).where("quality is not null")
+    known = F.col("doc_id") % 11
+    rows = rows.select("doc_id", "cluster", "label", "quality", "base", known.cast("double").alias("known"), (F.col("doc_id") * 7919 % 1000 / 500 + F.col("label")).cast("double").alias("residual"))
+    found = link.diagnostic_links(rows, "doc_id", ["label", "quality"], ["base", "known"], "residual", cluster="cluster", replicates=REPLICATES)
+    return found.links.unionByName(found.skipped, allowMissingColumns=True)
+
+
 @query("""with m as (select event_type, user_id, avg(value) as m, stddev_samp(value) / sqrt(count(value)) as se from events group by 1, 2),
 k as (select event_type, count(m) as n, stddev_samp(m) as sd, avg(se) as floor from m group by 1)
 select event_type, n, round(sd, 6) as sd, round(floor, 6) as floor, coalesce(sd > 2 * floor, false) as usable from k""")

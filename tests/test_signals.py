@@ -67,13 +67,6 @@ def test_repeats_are_averaged(table):
     assert all(abs(r["predicted"] - (one["f0"][r["record_id"]] + one["f1"][r["record_id"]]) / 2) < 1e-9 for r in both)
 
 
-def test_diagnostic_link_both_ways(table):
-    found = learners.diagnostic_link(table, "patient", "label", ["x"], "residual", "fold", 60, 5).collect()[0]
-    assert found["verdict"].startswith("improves") and found["auc_full"] > found["auc_base"] + 0.02
-    none = learners.diagnostic_link(table, "patient", "label", ["x"], "noise", "fold", 60, 5).collect()[0]
-    assert not none["verdict"].startswith("improves")
-
-
 def test_headers_and_metadata(spark, tmp_path):
     (tmp_path / "WFDB").mkdir()
     (tmp_path / "WFDB" / "r1.hea").write_text("r1 12 500 5000\n#Age: 61\n#Sex: Male\n")
