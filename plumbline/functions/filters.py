@@ -48,19 +48,29 @@ def kernel(up: int, down: int) -> np.ndarray:
     return up * h / h.sum()
 
 
+def resampled(x: np.ndarray, up: int, down: int) -> np.ndarray:
+    """One array at up / down times its rate: ceil(n * up / down) samples, zeros beyond its ends.
+
+    Every sample that is kept is one product of neighbours with the taps of its phase; none between is worked out.
+    """
+    h, n = kernel(up, down), -(-len(x) * up // down)
+    half = len(h) // 2
+    reach = half // up + 1
+    # Taps of each phase over the neighbours from reach before to reach after.
+    at = half + np.arange(up)[:, None] - np.arange(-reach, reach + 1)[None, :] * up
+    taps = np.where((at >= 0) & (at < len(h)), h[np.clip(at, 0, len(h) - 1)], 0.0)
+    centre, phase = np.divmod(np.arange(n) * down, up)
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(np.asarray(x, float), reach), 2 * reach + 1)[centre]
+    return (near * taps[phase]).sum(axis=1)
+
+
 def resample(leads: Column, up: int, down: int) -> Column:
     """Every lead at up / down times its rate, array<array<double>>: ceil(n * up / down) samples."""
     shared = math.gcd(up, down)
     up, down = up // shared, down // shared
-    h = kernel(up, down)
-
-    def one(x: np.ndarray) -> np.ndarray:
-        spread = np.zeros(len(x) * up)
-        spread[::up] = x
-        return np.convolve(spread, h)[len(h) // 2 :][: len(spread)][::down]
 
     @F.pandas_udf("array<array<double>>")
     def of(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else [one(np.asarray(x, float)) for x in r])
+        return rows.map(lambda r: None if r is None else [resampled(np.asarray(x, float), up, down) for x in r])
 
     return of(leads) if up != down else leads
