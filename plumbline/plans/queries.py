@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import signals
-from plumbline.operators import accumulate, boosting, cohort, decompose, delineation, inference, link, regression, segments, splits, sweep, waves
+from plumbline.operators import accumulate, atrial, boosting, cohort, decompose, delineation, inference, link, regression, segments, splits, sweep, waves
 from plumbline.operators.replicates import POISSON
-from plumbline.plans.frames import LEAD_SQL, ORDER_SQL, lead_samples, order_features, rounded, user_signal
+from plumbline.plans.frames import LEAD_SQL, LEADS, ORDER_SQL, lead_samples, order_features, rounded, user_signal
 from plumbline.sources.tables import header_fields, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,6 +280,38 @@ def signal_pipeline(spark, folder):
     return out
 
 
+def _recordings(spark, folder):
+    """Embeddings as recordings of LEADS leads with two beats each, at 100 samples a second; and the beats."""
+    e = table(spark, folder, "embeddings")
+    width = F.floor(F.size("embedding") / LEADS).cast("int")
+    leads = F.transform(F.sequence(F.lit(0), F.lit(LEADS - 1)), lambda i: F.transform(F.slice("embedding", i * width + 1, width), lambda v: v.cast("double")))
+    r = e.where("size(embedding) >= 64").select("vec_id", leads.alias("leads"))
+    bounds = [(0, 3, 6, 1, 2, 3, 4, 5, 6), (1, 12, 14, 9, 10, 11, None, None, None)]
+    names = ("beat", "qrs_onset", "qrs_offset", "p_onset", "p_peak", "p_offset", "t_onset", "t_peak", "t_offset")
+    beats = F.array(*[F.struct(*[F.lit(v).cast("int").alias(n) for n, v in zip(names, b, strict=True)], F.lit(b[1] + 1).alias("r_peak")) for b in bounds])
+    return r, r.select("vec_id", F.inline(beats))
+
+
+@query(None)
+def atrial_features(spark, folder):
+    """Terminal force, area, notch and dispersion of P windows; a record a vector."""
+    r, b = _recordings(spark, folder)
+    return atrial.atrial_table(r, b, "vec_id", "leads", ["II", "V1", "I", "aVF"], 100)
+
+
+@query(None)
+def amplitude_features(spark, folder):
+    r, b = _recordings(spark, folder)
+    return delineation.amplitude_table(r, b, "vec_id", "leads", ["II", "V1", "I", "aVF"], 100)
+
+
+@query(None)
+def p_dispersion_floor(spark, folder):
+    """Does P dispersion spread more between records than it does where every lead has the same wave?"""
+    r, b = _recordings(spark, folder)
+    return atrial.dispersion_reliability(r, b, "vec_id", "leads", ["II", "V1", "I", "aVF"], 100)
+
+
 # Segments
 
 SHARES = """m as (select vec_id, lead, segment, sum(abs(x)) mass, sum(x) sg, count(*) n from s group by 1, 2, 3),
