@@ -1,7 +1,7 @@
 """Waves of beats and what is measured on them: a row a beat, from arrays of samples to a table of features.
 
 QRS and T of a beat depend on that beat alone; where its P may begin depends on the T of the beat before, so beats are
-found in two steps with a window between them. Samples stay in arrays until the windows around a beat are cut out.
+found in two steps with a window between them. A beat's row has the samples that its waves can reach, not the trace.
 """
 
 from __future__ import annotations
@@ -107,8 +107,17 @@ def delineated(recordings: DataFrame, key: str, leads: str, peaks: str, fs: int,
     search, quiet, before = samples(QRS_SEARCH_MS, fs), max(samples(QUIET_MS, fs), 1), max(samples(BASELINE_MS, fs), 1)
     (p_near, p_far), (t_near, t_far) = ([samples(ms, fs) for ms in span] for span in (P_SEARCH_MS, T_SEARCH_MS))
     rows = prepared(recordings, key, leads, peaks, fs, lead).where(F.size("peaks") > 0).withColumn("n", F.size("wave"))
-    shape = lambda p, i: F.struct(i.alias("beat"), p.alias("r_peak"), F.coalesce(F.when(i > 0, p - F.get("peaks", i - 1)), F.get("peaks", F.lit(1)) - p, F.lit(fs)).alias("rr"), F.get("peaks", i + 1).alias("following"))
-    b = rows.select(key, "wave", "envelope", "n", F.inline(F.transform("peaks", shape))).where("r_peak between 0 and n - 1")
+    # What a beat's waves can reach; only these samples go on, and places are counted from the first of them.
+    back, ahead = search + max(p_far, before + 1) + 1, search + max(t_far, t_near) + 2
+
+    def shape(p: Column, i: Column) -> Column:
+        first = F.greatest(p - back, F.lit(0))
+        rr = F.coalesce(F.when(i > 0, p - F.get("peaks", i - 1)), F.get("peaks", F.lit(1)) - p, F.lit(fs))
+        own = lambda c: part(F.col(c), first, p + ahead).alias(c)
+        return F.struct(i.alias("beat"), first.alias("first"), (p - first).alias("r_peak"), rr.alias("rr"), (F.get("peaks", i + 1) - first).alias("following"), own("wave"), own("envelope"))
+
+    inside = F.transform("peaks", lambda p, i: F.when((p >= 0) & (p < F.col("n")), shape(p, i)))
+    b = rows.select(key, F.inline(F.filter(inside, lambda x: x.isNotNull()))).withColumn("n", F.size("wave"))
     b = b.withColumn("low", F.greatest(F.col("r_peak") - search, F.lit(0))).withColumn("high", F.least(F.col("r_peak") + search, F.col("n") - 1))
     b = b.withColumn("level", F.array_max(part(F.col("envelope"), F.col("low"), F.col("high"))) * QRS_THRESHOLD).where("high - low >= 3 and level > 0")
     back = first_quiet(F.reverse(part(F.col("envelope"), F.col("low"), F.col("r_peak"))), F.col("level"), quiet)
@@ -127,13 +136,14 @@ def delineated(recordings: DataFrame, key: str, leads: str, peaks: str, fs: int,
     b = b.withColumn("t_onset", tangent(wave, F.col("t_peak"), F.col("qrs_offset"), base, F.col("t_on"), False)).withColumn("t_offset", tangent(wave, F.col("t_peak"), F.col("t_high"), base, F.col("t_off"), True))
     b = _null_unless(b, "t")
     # The P wave's search begins where the T wave of the beat before has ended.
-    b = b.withColumn("p_low", F.greatest(F.col("qrs_onset") - p_far, F.coalesce(F.lag("t_offset").over(Window.partitionBy(key).orderBy("beat")), F.lit(0)), F.lit(0))).withColumn("p_high", F.col("qrs_onset") - p_near)
+    b = b.withColumn("p_low", F.greatest(F.col("qrs_onset") - p_far, F.coalesce(F.lag(F.col("t_offset") + F.col("first")).over(Window.partitionBy(key).orderBy("beat")), F.lit(0)) - F.col("first"), F.lit(0))).withColumn("p_high", F.col("qrs_onset") - p_near)
     b = b.withColumn("p_peak", F.when(F.col("p_high") - F.col("p_low") >= 3, F.col("p_low") + largest(height(F.col("p_low"), F.col("p_high")))))
     b = b.withColumn("p_peak", F.when(F.abs(F.get(wave, F.col("p_peak")) - base) >= P_LEAST_MV, F.col("p_peak")))
     half = max(samples(P_LONGEST_MS, fs) // 2, 1)
     onset, offset = extent(wave, F.col("p_peak"), base, F.greatest("p_low", F.col("p_peak") - half), F.least("p_high", F.col("p_peak") + half), P_THRESHOLD, quiet)
     b = _null_unless(b.withColumn("p_onset", onset).withColumn("p_offset", offset), "p")
-    return b.select(key, "beat", "r_peak", "qrs_onset", "qrs_offset", "baseline", "p_onset", "p_peak", "p_offset", "t_onset", "t_peak", "t_offset")
+    at = lambda c: (F.col(c) + F.col("first")).alias(c)
+    return b.select(key, "beat", at("r_peak"), at("qrs_onset"), at("qrs_offset"), "baseline", *[at(f"{w}_{c}") for w in "pt" for c in ("onset", "peak", "offset")])
 
 
 def _null_unless(b: DataFrame, wave: str) -> DataFrame:

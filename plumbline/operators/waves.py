@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.order import running_before
+from plumbline.sources.staging import share_package
+
 
 def intervals(df: DataFrame, key: str, time: str, order: list[str]) -> DataFrame:
     """Adds rr: the time since the key's row before; null for the first."""
@@ -77,33 +83,83 @@ def axis(df: DataFrame, vertical: str, horizontal: str) -> DataFrame:
     return df.withColumn("axis", F.degrees(F.atan2(vertical, horizontal)))
 
 
+#: Tolerances that one bin of a record's time line is wide.
+BIN = 256
+
+
+def matched(references: list[float], detections: list[float], tolerance: float) -> list[float]:
+    """Distances of matches: references in order take the nearest detection that is free, the earlier of two as near."""
+    taken, first, out = [False] * len(detections), 0, []
+    for r in references:
+        while first < len(detections) and r - detections[first] > tolerance:
+            first += 1
+        best, at = first, None
+        while best < len(detections) and detections[best] - r <= tolerance:
+            if not taken[best] and (at is None or abs(detections[best] - r) < abs(detections[at] - r)):
+                at = best
+            best += 1
+        if at is not None:
+            taken[at] = True
+            out.append(abs(detections[at] - r))
+    return out
+
+
 def scored(reference: DataFrame, detected: DataFrame, key: str, time: str, tolerance: float) -> DataFrame:
     """key, n_reference, n_detected, n_matched, sensitivity, ppv, f1, mean_error and max_error (absolute; null without a match).
 
     References in order of time take their nearest detection within the tolerance that none before has taken, the
     earlier of two as near. Where two neighbours on the time line, of either kind, are more than the tolerance apart,
-    no match spans the gap: what lies between two gaps is matched on its own, so that a long record isn't one task's.
+    no match spans the gap: what lies between two gaps is matched on its own. Neighbours are found within bins of the
+    time line, and between bins from the bins' ends, so that no task sorts a whole record.
     """
-    marks = reference.select(key, F.col(time).cast("double").alias("t"), F.lit(True).alias("is_reference")).unionByName(detected.select(key, F.col(time).cast("double").alias("t"), F.lit(False).alias("is_reference"))).where("t is not null")
-    along = Window.partitionBy(key).orderBy("t")
-    marks = marks.withColumn("apart", F.col("t") - F.lag("t").over(along) > tolerance)
-    marks = marks.withColumn("island", F.sum(F.coalesce(F.col("apart"), F.lit(False)).cast("long")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("is_reference") == kind, F.col("t"))))
-    islands = marks.groupBy(key, "island").agg(of(True).alias("references"), of(False).alias("detections"))
-    start = F.struct(F.col("detections").alias("free"), F.array().cast("array<double>").alias("errors"))
-
-    def match(state: Column, r: Column) -> Column:
-        near = F.array_min(F.transform(F.filter(state["free"], lambda d: F.abs(d - r) <= tolerance), lambda d: F.struct(F.abs(d - r).alias("gap"), d.alias("d"))))
-        at = F.array_position(state["free"], near["d"]).cast("int")
-        rest = F.concat(F.slice(state["free"], F.lit(1), at - 1), F.slice(state["free"], at + 1, F.size(state["free"])))
-        return F.when(near.isNull(), state).otherwise(F.struct(rest.alias("free"), F.concat(state["errors"], F.array(near["gap"])).alias("errors")))
-
-    done = islands.withColumn("errors", F.aggregate("references", start, match, lambda state: state["errors"]))
-    total = lambda c: F.sum(F.size(c)).cast("long")
-    out = done.groupBy(key).agg(total("references").alias("n_reference"), total("detections").alias("n_detected"), total("errors").alias("n_matched"), F.sum(F.aggregate("errors", F.lit(0.0), lambda a, b: a + b)).alias("error"), F.max(F.array_max("errors")).alias("max_error"))
+    share_package(reference.sparkSession)
+    marks = reference.select(F.col(key).alias("k"), F.col(time).cast("double").alias("t"), F.lit(True).alias("is_reference")).unionByName(detected.select(F.col(key).alias("k"), F.col(time).cast("double").alias("t"), F.lit(False).alias("is_reference"))).where("t is not null")
+    marks = marks.withColumn("bin", F.floor(F.col("t") / (BIN * tolerance) if tolerance > 0 else F.col("t")).cast("long"))
+    inside = F.lag("t").over(Window.partitionBy("k", "bin").orderBy("t"))
+    ends = marks.groupBy("k", "bin").agg(F.max("t").alias("end"))
+    ends = ends.select(F.col("k").alias("_k"), F.col("bin").alias("_bin"), F.lag("end").over(Window.partitionBy("k").orderBy("bin")).alias("before_bin"))
+    marks = marks.withColumn("before", inside).join(ends, F.col("k").eqNullSafe(F.col("_k")) & (F.col("bin") == F.col("_bin"))).drop("_k", "_bin")
+    marks = marks.withColumn("apart", F.coalesce(F.col("t") - F.coalesce("before", "before_bin") > tolerance, F.lit(True)).cast("long"))
+    # Gaps so far number the parts: those of earlier bins, and of the own bin.
+    marks = running_before(marks, ["k"], "bin", [F.col("t"), F.col("apart").desc(), F.col("is_reference")], F.col("apart")).withColumn("island", F.col("before") + F.col("apart"))
+    kind = marks.schema["k"].dataType.simpleString()
+    rows = marks.select("k", "island", "t", "is_reference").repartition("k", "island").sortWithinPartitions("k", "island", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, references, detections, out = None, [], [], []
+
+        def end() -> None:
+            if own is not None:
+                errors = matched(references, detections, tolerance)
+                out.append((own[0], len(references), len(detections), len(errors), sum(errors), max(errors, default=None)))
+            references.clear()
+            detections.clear()
+
+        def written() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = [key_type, *[pa.int64()] * 3, *[pa.float64()] * 2]
+            rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "r", "d", "m", "error", "most"])
+            out.clear()
+            return rows
+
+        key_type = pa.null()
+        for batch in batches:
+            key_type = batch.column("k").type
+            for k, island, t, is_reference in zip(*(batch.column(c).to_pylist() for c in ("k", "island", "t", "is_reference")), strict=True):
+                if own != (k, island):
+                    end()
+                    own = (k, island)
+                (references if is_reference else detections).append(t)
+            yield written()
+        end()
+        if out:
+            yield written()
+
+    each = rows.mapInArrow(run, f"k {kind}, r long, d long, m long, error double, most double")
+    out = each.groupBy("k").agg(F.sum("r").alias("n_reference"), F.sum("d").alias("n_detected"), F.sum("m").alias("n_matched"), F.sum("error").alias("error"), F.max("most").alias("max_error"))
     out = out.withColumn("sensitivity", F.try_divide("n_matched", "n_reference")).withColumn("ppv", F.try_divide("n_matched", "n_detected"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("n_matched"), F.col("n_reference") + F.col("n_detected")), F.lit(0.0))
-    return out.select(key, "n_reference", "n_detected", "n_matched", "sensitivity", "ppv", f1.alias("f1"), F.try_divide("error", F.col("n_matched")).alias("mean_error"), "max_error")
+    return out.select(F.col("k").alias(key), "n_reference", "n_detected", "n_matched", "sensitivity", "ppv", f1.alias("f1"), F.try_divide("error", F.col("n_matched")).alias("mean_error"), "max_error")
 
 
 def circular_median(df: DataFrame, key: str, degrees: str, order: list[str]) -> DataFrame:

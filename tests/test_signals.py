@@ -140,3 +140,26 @@ def test_usable_headers(spark):
     assert [r["record_id"] for r in tables.usable_headers(heads).collect()] == ["a"]
     with pytest.raises(ValueError, match="usable"):
         tables.usable_headers(heads.where("record_id = 'b'"))
+
+
+@pytest.mark.parametrize("bins", [256, 2])
+def test_scores_follow_the_greedy_rule_over_any_bins(spark, monkeypatch, bins):
+    import random
+
+    monkeypatch.setattr(waves, "BIN", bins)
+    draw = random.Random(bins)
+    marks = {k: [[draw.choice([1, 1, 0.5]) * draw.randint(0, 300) / 4 for _ in range(draw.randint(0, 90))] for _ in range(2)] for k in ["a", "b", None, "one"]}
+    marks["one"] = [[5.0], []]
+    rows = [(k, t, kind) for k, both in marks.items() for kind, own in enumerate(both) for t in own] + [("a", None, 0), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "k string, t double, kind int").repartition(3)
+    got = {r["k"]: r for r in waves.scored(df.where("kind = 0"), df.where("kind = 1"), "k", "t", 1.0).collect()}
+    for k, (references, detections) in marks.items():
+        free, errors = sorted(detections), []
+        for r in sorted(references):
+            near = min(((abs(d - r), d) for d in free if abs(d - r) <= 1.0), default=None)
+            if near:
+                free.remove(near[1])
+                errors.append(near[0])
+        r = got[k]
+        assert (r["n_reference"], r["n_detected"], r["n_matched"]) == (len(references), len(detections), len(errors))
+        assert r["max_error"] == max(errors, default=None) and (r["mean_error"] is None if not errors else r["mean_error"] == pytest.approx(sum(errors) / len(errors)))
