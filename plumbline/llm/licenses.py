@@ -166,6 +166,72 @@ proprietary; 50; proprietary; proprietary licen[cs]e
 proprietary; 65; prohibited; (?:unauthori[sz]ed|any) (?:copying|reproduction|distribution|use).{0,60} (?:is )?(?:strictly )?prohibited
 proprietary; 55; commercial; commercial licen[cs]e
 noncommercial; 45; commercial; non ?commercial use only
+0bsd; 85; zero; (?:bsd zero clause|zero clause bsd|0bsd)(?: licen[cs]e)?
+mit-0; 86; attribution; mit no attribution(?: licen[cs]e)?
+mit-modern; 84; modern; modern mit licen[cs]e
+bsd-patent; 86; patent; bsd(?: 2 clause)? plus patent licen[cs]e
+bsd-attribution; 84; attribution; bsd with attribution
+bsd-clear; 86; clear; clear bsd licen[cs]e
+bsd-source-code; 84; bsd; bsd source code attribution
+aladdin; 82; aladdin; aladdin free public licen[cs]e
+adsl; 80; amazon; amazon digital services licen[cs]e
+aal; 82; assurance; attribution assurance licen[cs]e
+apl-1.0; 82; adaptive; adaptive public licen[cs]e(?: 1 0)?
+bittorrent; 80; bittorrent; bittorrent open source licen[cs]e
+catosl; 80; computer; computer associates trusted open source licen[cs]e
+cern-ohl; 84; cern; cern open hardware licen[cs]e(?: version [12])?(?: (?:permissive|weakly reciprocal|strongly reciprocal))?
+cnri; 80; cnri; cnri(?: python)?(?: open source)? licen[cs]e(?: agreement)?
+condor; 78; condor; condor public licen[cs]e
+cua-opl; 80; cua; cua office public licen[cs]e
+d-fsl; 80; freie; deutsche freie software lizenz
+eiffel; 78; eiffel; eiffel forum licen[cs]e(?: v?[12])?
+entessa; 78; entessa; entessa public licen[cs]e
+eudatagrid; 80; datagrid; eu datagrid software licen[cs]e
+fair; 72; fair; fair licen[cs]e
+frameworx; 78; frameworx; frameworx(?: open)? licen[cs]e
+ftl; 82; freetype; freetype(?: project)? licen[cs]e
+gsoap; 80; gsoap; gsoap public licen[cs]e
+hpnd; 84; historical; historical permission notice and disclaimer
+ijg; 82; jpeg; independent jpeg group(?: licen[cs]e)?
+imagemagick; 80; imagemagick; imagemagick licen[cs]e
+imatix; 78; imatix; imatix standard function library agreement
+info-zip; 80; zip; info zip licen[cs]e
+intel; 78; intel; intel open source licen[cs]e
+interbase; 78; interbase; interbase public licen[cs]e
+jasper; 76; jasper; jasper licen[cs]e
+libtiff; 80; libtiff; libtiff licen[cs]e
+liliq; 80; libre; licence libre du qu[^ ]+bec(?: (?:permissive|r[^ ]+ciprocit[^ ]+))?
+lppl; 80; latex; latex project public licen[cs]e(?: v?1 [0123][abc]?)?
+lpl; 78; lucent; lucent public licen[cs]e(?: v?1 0[012]?)?
+miros; 78; miros; miros licen[cs]e
+motosoto; 78; motosoto; motosoto(?: open source)? licen[cs]e
+multics; 78; multics; multics licen[cs]e
+nasa; 82; nasa; nasa open source agreement(?: 1 3)?
+naumen; 78; naumen; naumen public licen[cs]e
+nethack; 80; nethack; nethack general public licen[cs]e
+nokia; 78; nokia; nokia open source licen[cs]e
+nposl; 80; profit; non profit open software licen[cs]e(?: 3 0)?
+ntp; 76; ntp; ntp licen[cs]e
+oclc; 78; oclc; oclc research public licen[cs]e(?: 2 0)?
+ogtsl; 80; group; open group test suite licen[cs]e
+oset-pl; 80; oset; oset public licen[cs]e(?: version)?(?: 2 1)?
+rpl; 80; reciprocal; reciprocal public licen[cs]e(?: 1 [15])?
+rpsl; 80; realnetworks; realnetworks public source licen[cs]e
+rscpl; 78; ricoh; ricoh source code public licen[cs]e
+simpl; 78; simple; simple public licen[cs]e(?: 2 0)?
+sissl; 80; sun; sun industry standards source licen[cs]e
+spl-1.0; 80; sun; sun public licen[cs]e(?: v?1 0)?
+sugarcrm; 78; sugarcrm; sugarcrm public licen[cs]e
+tmate; 78; tmate; tmate open source licen[cs]e
+torque; 78; torque; torque v?2 5 software licen[cs]e
+vovida; 78; vovida; vovida software licen[cs]e
+vsl; 76; vovida; vovida software licen[cs]e v?1 0
+watcom; 80; watcom; sybase open watcom public licen[cs]e
+wxwindows; 82; wxwindows; wxwindows library licen[cs]e(?: version)?(?: 3 1)?
+xnet; 76; net; x net licen[cs]e
+ypl; 78; yahoo; yahoo public licen[cs]e(?: v?1 [01])?
+zend; 78; zend; zend licen[cs]e(?: v?2 0)?
+zpl; 80; zope; zope public licen[cs]e(?: version)?(?: [12] [01])?
 copyright; 20; copyright; copyright (?:c )?(?:19|20)[0-9]{2}
 copyright; 15; copyright; copyright holders?
 """
@@ -235,15 +301,22 @@ def base_places(low: bytes, starts: np.ndarray) -> list[tuple[int, str]]:
     return [(place, label) for place, (_, label) in zip(places, found, strict=True)]
 
 
-def detections(low: bytes) -> list[tuple[int, int, int, str]]:
+Detection = tuple[int, int, int, str]
+
+
+def detections(low: bytes) -> list[Detection]:
     """(priority, start, end, label) of the rules' detections that no other suppresses; places are of joined words."""
     live = [r for r in rules() if r[2] in low]
     if not live:
         return []
     words = b" ".join(WORD.findall(low))
-    found = [(priority, m.start(), m.end(), label) for label, priority, _, pattern in live for m in pattern.finditer(words)]
-    found.sort(key=lambda d: (-d[0], d[1] - d[2], d[1], d[3]))
-    kept: list[tuple[int, int, int, str]] = []
+    return unsuppressed([(priority, m.start(), m.end(), label) for label, priority, _, pattern in live for m in pattern.finditer(words)])
+
+
+def unsuppressed(found: list[Detection]) -> list[Detection]:
+    """Detections by priority, then length, place and label, but for those inside one that was taken before them."""
+    found = sorted(found, key=lambda d: (-d[0], d[1] - d[2], d[1], d[3]))
+    kept: list[Detection] = []
     # Of the intervals taken, those that none contains: their starts and ends both rise.
     starts: list[int] = []
     ends: list[int] = []

@@ -10,6 +10,7 @@ import public_tokenizers as P
 
 import __spark_entry__
 import corpus_pipeline
+from plumbline.llm.line_dedup import DOCUMENT_RATIO
 from plumbline.llm import toxicity
 from plumbline.llm.common import table
 from tests.llm.test_operators_llm import water_fill
@@ -32,7 +33,7 @@ def check_line_dedup(spark, before, after):
         on.update((source, line) for page in own for line in set(page) - {""})
     want = {}
     for i, source, lines, text in rows:
-        kept = [x for x in lines if not (on[source, x] >= 3 and on[source, x] > 0.1 * len(pages[source]))]
+        kept = [x for x in lines if not (on[source, x] >= 3 and on[source, x] > DOCUMENT_RATIO * len(pages[source]))]
         want[i] = "\n".join(kept) if len(kept) < len(lines) else text
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in after.collect()} == {i: (t, len(t)) for i, t in want.items()}
 
