@@ -105,3 +105,10 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
     x = F.when(finite("x"), F.col("x"))
     return each.groupBy("feature").agg(F.avg(x.isNotNull().cast("double")).alias("finite"), F.avg(F.coalesce(x != 0, F.lit(False)).cast("double")).alias("nonzero"), F.median(x).alias("median"), F.stddev_samp(x).alias("sd"))
+
+
+def composition(indicated: DataFrame, names: list[str], none: str = "(none)") -> DataFrame:
+    """name, n, share: how many rows have each indicator, and how many have none of them; a row may have several."""
+    every = F.array(*[F.struct(F.lit(c).alias("name"), (F.col(c) == 1).alias("has")) for c in names], F.struct(F.lit(none).alias("name"), (F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in names], F.lit(0)) != 1).alias("has")))
+    each = indicated.select(F.inline(every))
+    return each.groupBy("name").agg(F.count_if("has").alias("n"), (F.count_if("has") / F.count(F.lit(1))).alias("share"))

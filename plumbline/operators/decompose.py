@@ -170,3 +170,20 @@ def decompose(
         residuals,
         spark.createDataFrame(warnings, "explainer string, warning string"),
     )
+
+
+def arms(df: DataFrame, key: str, y: str, covariates: list[str], named: dict[str, list[str]], fold: str, cluster: str | None = None, **more) -> DataFrame:
+    """arm, n_features, explainer, n, incremental, low, high, unexplained of named sets of known features, a row each.
+
+    Each arm is decomposed on the rows that have its own features; one with absent columns is skipped. Arms are a handful.
+    """
+    out = None
+    for arm, features in named.items():
+        if any(c not in df.columns for c in features):
+            continue
+        best = decompose(df, key, y, covariates, features, fold, cluster, **more).explainers.where("most_explanatory")
+        row = best.select(F.lit(arm).alias("arm"), F.lit(len(features)).alias("n_features"), "explainer", "n", "incremental", F.col("incremental_low").alias("low"), F.col("incremental_high").alias("high"), "unexplained")
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise KeyError("no arm has all of its columns")
+    return out

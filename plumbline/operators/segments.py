@@ -153,3 +153,22 @@ def elevation_summary(elevations: DataFrame) -> DataFrame:
     return elevations.groupBy("segment").agg(
         F.count(F.lit(1)).alias("leads"), F.avg("elevation").alias("mean"), F.min("elevation").alias("low"), F.max("elevation").alias("high"), F.count_if(F.col("low") > 0).alias("n_above"),
     )
+
+
+def segment_totals(summary: DataFrame) -> DataFrame:
+    """segment, share (the sum of the leads' mean shares) and density (the mean of their mean densities) of a cohort summary."""
+    return summary.groupBy("segment").agg(F.sum("share_mean").alias("share"), F.avg("density_mean").alias("density"))
+
+
+def attention_correlation(attributed: DataFrame, key: str, segment: str, measured: DataFrame, measured_key: str, columns: list[str]) -> DataFrame:
+    """feature, n, r: does a record's share of attribution on a segment, over all leads, follow what is measured of it?
+
+    attributed comes from by_segment; a pair counts where both are finite. r is null without variance.
+    """
+    own = attributed.where(F.col("segment") == segment).groupBy(F.col(key).alias("_key")).agg(F.sum("share").alias("share"))
+    rows = measured.join(own, F.col(measured_key) == F.col("_key"))
+    listed = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
+    sound = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    each = rows.select("share", F.inline(listed)).withColumn("ok", sound(F.col("v")) & sound(F.col("share")))
+    x, y = (F.when(F.col("ok"), F.col(c)) for c in ("share", "v"))
+    return each.groupBy("feature").agg(F.count_if("ok").alias("n"), F.nanvl(F.corr(x, y), F.lit(None).cast("double")).alias("r"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.order import hash_bins, running_before
@@ -14,9 +14,30 @@ def hash_share(key: Column) -> Column:
 
 
 def patient_split(df: DataFrame, patient: str, train: float = 0.7, validation: float = 0.1) -> DataFrame:
-    """Adds split: all rows of a patient fall on the same side, without a shuffle."""
-    h = hash_share(F.col(patient))
-    return df.withColumn("split", F.when(h < train, "train").when(h < train + validation, "val").otherwise("test"))
+    """Adds split: train, val or test; all rows of a patient fall on the same side, and no side is empty.
+
+    The side follows from a hash of the patient, without a shuffle. Only where that leaves a side empty, as it may with
+    few patients, are they dealt in order of the hash instead, at least one to each side. Fewer than three are an error.
+    """
+    def hashed(key: Column) -> Column:
+        h = hash_share(key)
+        return F.when(h < train, "train").when(h < train + validation, "val").otherwise("test")
+
+    split = df.withColumn("split", hashed(F.col(patient)))
+    if split.select("split").distinct().count() == 3:
+        return split
+    patients = df.select(F.col(patient).alias("_patient")).distinct()
+    n = patients.count()
+    if n < 3:
+        raise ValueError(f"{n} patients can't be split three ways")
+    n_validation, n_test = (max(1, round(share * n)) for share in (validation, 1 - train - validation))
+    while n_validation + n_test > n - 1:
+        n_validation, n_test = (n_validation - 1, n_test) if n_validation > n_test else (n_validation, n_test - 1)
+    n_train = n - n_validation - n_test
+    place = F.row_number().over(Window.orderBy(hash_share(F.col("_patient")), "_patient"))
+    side = F.when(place <= n_train, "train").when(place <= n_train + n_validation, "val").otherwise("test")
+    dealt = patients.select("_patient", side.alias("split"))
+    return df.join(dealt, F.col(patient).eqNullSafe(F.col("_patient"))).drop("_patient")
 
 
 def official_split(df: DataFrame, fold: Column, validation: int = 9, test: int = 10) -> DataFrame:
@@ -35,8 +56,10 @@ def leakage(df: DataFrame, patient: str, split: str = "split") -> DataFrame:
 
 
 def folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Adds fold: groups stay whole."""
-    return df.withColumn("fold", F.pmod(F.col(group), F.lit(k)))
+    """Adds fold: groups stay whole. Whole numbers go round the folds; other groups by a hash."""
+    kind = df.schema[group].dataType.simpleString()
+    number = F.col(group) if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(group)
+    return df.withColumn("fold", F.pmod(number, F.lit(k)))
 
 
 def leads(df: DataFrame, key: str, signal: str, n_leads: int) -> DataFrame:

@@ -81,6 +81,13 @@ def indicator_multihot(spark, folder):
     return cohort.indicators(table(spark, folder, "events"), "user_id", "event_type", {"browse": ["click", "view"], "buy": ["purchase"], "fail": ["error"]})
 
 
+@query("""with i as (select user_id, max((event_type = 'click')::int) as click, max((event_type in ('purchase', 'refund'))::int) as pay, max((event_type = 'nothing')::int) as absent from events group by 1)
+select name, sum(has)::bigint as n, round(avg(has), 6) as share from (select unnest(['click', 'pay', 'absent', '(none)']) as name, unnest([click, pay, absent, (click + pay + absent = 0)::int]) as has from i) group by 1""")
+def indicator_composition(spark, folder):
+    groups = {"click": ["click"], "pay": ["purchase", "refund"], "absent": ["nothing"]}
+    return cohort.composition(cohort.indicators(table(spark, folder, "events"), "user_id", "event_type", groups), list(groups))
+
+
 @query("""select user_id, (bool_or(event_type = 'click') and not bool_or(event_type = 'error' and value > 90)) as steady from events group by user_id""")
 def sinus_mask(spark, folder):
     e = table(spark, folder, "events").withColumn("kind", F.when((F.col("event_type") == "error") & (F.col("value") > 90), "bad").otherwise(F.col("event_type")))
@@ -330,6 +337,21 @@ def segment_cohort_summary(spark, folder):
     return segments.cohort_summary(segments.by_segment(lead_samples(spark, folder), "vec_id", "x"))
 
 
+@query(f"""with {LEAD_SQL}, {SHARES}, w as (select lead, segment, avg(share) as share, avg(density) as density from q group by 1, 2)
+select segment, round(sum(share), 6) as share, round(avg(density), 6) as density from w group by 1""")
+def segment_totals(spark, folder):
+    return segments.segment_totals(segments.cohort_summary(segments.by_segment(lead_samples(spark, folder), "vec_id", "x")))
+
+
+@query(f"""with {LEAD_SQL}, {SHARES}, t as (select vec_id, sum(share) as share from q where segment = 'p' group by 1),
+ml as (select e.vec_id, share, unnest(['first', 'label', 'third']) as feature, unnest([embedding[1]::double, label::double, case when e.vec_id % 3 = 0 then embedding[3]::double end]) as v from embeddings e join t on t.vec_id = e.vec_id)
+select feature, count(v) as n, round(corr(share, v), 6) as r from ml group by 1""")
+def attention_correlation(spark, folder):
+    e = table(spark, folder, "embeddings")
+    measured = e.select(F.col("vec_id").alias("record"), F.get("embedding", F.lit(0)).alias("first"), "label", F.when(F.col("vec_id") % 3 == 0, F.get("embedding", F.lit(2))).alias("third"))
+    return segments.attention_correlation(segments.by_segment(lead_samples(spark, folder), "vec_id", "x"), "vec_id", "p", measured, "record", ["first", "label", "third"])
+
+
 @query(f"""with {LEAD_SQL}, {SHARES}, t as (select vec_id, segment, sum(share) as share from q where segment <> 'other' group by 1, 2)
 select vec_id, arg_max(segment, share) as segment, round(max(share), 6) as share from t group by vec_id""")
 def dominant_segment(spark, folder):
@@ -657,6 +679,16 @@ def gap_residuals(spark, folder):
     return _linear(spark, folder).residuals
 
 
+GAP_ARMS = {"size": ["lines"], "size and price": ["lines", "disc", "tax"], "every": FEATURES, "absent": ["lines", "nowhere"]}
+
+
+@query("\nunion all ".join(f"""select * from (with {GAP_SQL.replace(_fits_sql([[], FEATURES, *[[c] for c in FEATURES]], whole=True), _fits_sql([[], own]))}
+select '{arm}' as arm, {len(own)}::bigint as n_features, 'linear' as explainer, bs.n::bigint as n, round(r - base, 6) as incremental, round(al, 6) as low, round(ah, 6) as high, round(1 - r, 6) as unexplained from pt join qt using (subset), bs where subset = '{'+'.join(own)}')""" for arm, own in GAP_ARMS.items() if "nowhere" not in own))
+def gap_arms(spark, folder):
+    more = {k: v for k, v in GAP.items() if k != "features"}
+    return decompose.arms(order_features(spark, folder), **more, named=GAP_ARMS, explainers=("linear",), replicates=REPLICATES)
+
+
 @query(None)
 def gap_boosted(spark, folder):
     """Both explainers over the same rows and draws."""
