@@ -78,19 +78,54 @@ def refined(x: Column, beats: Column, half: int) -> Column:
     return F.array_sort(F.array_distinct(F.transform(beats, top)))
 
 
+def orientation(x: Column, beats: Column, half: int) -> Column:
+    """1 or -1: whether the largest swing around the beats points up or down. One choice for a lead."""
+    near = lambda b: F.slice(x, F.greatest(b - half, F.lit(0)) + 1, F.lit(2 * half + 1))
+    up = F.array_max(F.transform(beats, lambda b: F.array_max(near(b))))
+    down = F.array_max(F.transform(beats, lambda b: -F.array_min(near(b))))
+    return F.when(F.coalesce(up, F.lit(0.0)) >= F.coalesce(down, F.lit(0.0)), 1.0).otherwise(-1.0)
+
+
 def r_peaks(signal: Column, fs: int) -> Column:
-    """Places of R peaks in one lead, array<int>; empty for signals that are null, short, flat or not finite."""
+    """Places of R peaks in one lead, array<int>; empty for signals that are null, short, flat or not finite.
+
+    The energy of the slope has no sign, so beats are found in inverted leads, too; peaks are then looked for on the side
+    to which the lead points, from its middle level.
+    """
     sound = (F.size(signal) >= fs // 2) & F.forall(signal, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (F.array_max(signal) > F.array_min(signal))
+    half = max(round(0.1 * fs), 1)
 
-    def of(x: Column) -> Column:
-        def found(envelope: Column) -> Column:
-            return refined(x, threshold_walk(candidates(envelope, round(0.2 * fs)), envelope, fs), max(round(0.1 * fs), 1))
+    def level(x: Column) -> Column:
+        return let(F.array_sort(x), lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int")))
 
-        return let(moving_mean(slope_energy(x, fs), round(0.06 * fs)), found)
+    def turned(x: Column, found: Column) -> Column:
+        flat = let(level(x), lambda m: F.transform(x, lambda v: v - m))
+        return let(F.struct(flat.alias("x"), found.alias("beats")), lambda v: refined(F.transform(v["x"], lambda y: y * orientation(v["x"], v["beats"], half)), v["beats"], half))
+
+    def of(x: Column) -> Column:
+        return let(moving_mean(slope_energy(x, fs), round(0.06 * fs)), lambda envelope: let(threshold_walk(candidates(envelope, round(0.2 * fs)), envelope, fs), lambda found: turned(x, found)))
 
     return F.when(F.coalesce(sound, F.lit(False)), let(signal, of)).otherwise(F.array().cast("array<int>"))
 
 
+def multi_lead_peaks(recordings: DataFrame, key: str, leads: str, fs: int, reference: int = 0, least: float = 0.5, within_ms: float = 100.0) -> DataFrame:
+    """key, peaks, n_leads (that found any beat): beats that enough leads vote for, whatever their polarity.
+
+    Each lead is searched by itself. Votes less than within_ms apart are one beat; it counts if so large a share of the
+    leads with beats votes for it, and lies where the reference lead has it, or at the votes' median.
+    """
+    votes = recordings.select(F.col(key).alias("k"), F.posexplode(leads).alias("lead", "x")).select("k", "lead", F.explode(r_peaks(F.col("x"), fs)).alias("at"))
+    along = Window.partitionBy("k").orderBy("at", "lead")
+    votes = votes.withColumn("fresh", F.coalesce(F.col("at") - F.lag("at").over(along) > within_ms / 1000.0 * fs, F.lit(True)).cast("int"))
+    votes = votes.withColumn("beat", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    voters = votes.groupBy("k").agg(F.count_distinct("lead").alias("n_leads"))
+    beats = votes.groupBy("k", "beat").agg(F.count_distinct("lead").alias("voted"), F.min(F.when(F.col("lead") == reference, F.col("at"))).alias("own"), F.floor(F.median("at")).cast("int").alias("middle"))
+    kept = beats.join(voters, "k").where(F.col("voted") >= F.greatest(F.col("n_leads") * least, F.lit(1.0)))
+    found = kept.groupBy(F.col("k").alias("_k")).agg(F.array_sort(F.collect_set(F.coalesce("own", "middle"))).alias("peaks"), F.max("n_leads").alias("n_leads"))
+    out = recordings.select(key).join(found, F.col(key) == F.col("_k"), "left")
+    return out.select(key, F.coalesce("peaks", F.array().cast("array<int>")).alias("peaks"), F.coalesce("n_leads", F.lit(0)).alias("n_leads"))
+
+
 def beats(recordings: DataFrame, key: str, peaks: str, fs: str) -> DataFrame:
     """key, beat, at, rr_ms: one row a beat; the first has no interval."""
     rows = recordings.select(key, F.col(fs).alias("fs"), F.posexplode(peaks).alias("beat", "at"))

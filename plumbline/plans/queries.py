@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import signals
-from plumbline.operators import accumulate, atrial, boosting, cohort, decompose, delineation, inference, link, regression, segments, splits, sweep, waves
+from plumbline.operators import accumulate, atrial, boosting, cohort, decompose, delineation, inference, link, paths, regression, segments, splits, sweep, waves
 from plumbline.operators.replicates import POISSON
 from plumbline.plans.frames import LEAD_SQL, LEADS, ORDER_SQL, lead_samples, order_features, rounded, user_signal
 from plumbline.sources.tables import header_fields, table
@@ -395,6 +396,20 @@ def occlusion_paired(spark, folder):
     return segments.occlusion(segments.occluded_scores(s, "vec_id", "x", "w", ["p", "qrs", "t"]))
 
 
+@query(f"""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as x from embeddings where len(embedding) = 64),
+w as (select list_transform(range(64), lambda i: (i % 7 - 3) / 4.0::double) as w),
+z as (select vec_id, x, w, list_sum(list_transform(list_zip(x, w), lambda p: p[1] * p[2])) as s from e, w),
+g as (select z.*, (select avg((1 / (1 + exp(-(0.5::double + s * (k + 0.5::double) / 64)))) * (1 - 1 / (1 + exp(-(0.5::double + s * (k + 0.5::double) / 64))))) from range(64) r(k)) as slope from z)
+select vec_id, round(1 / (1 + exp(-(0.5::double + s))), 6) as score, round(1 / (1 + exp(-0.5::double)), 6) as baseline_score, round(s * slope - (1 / (1 + exp(-(0.5::double + s))) - 1 / (1 + exp(-0.5::double))), 6) + 0 as error,
+abs(s * slope - (1 / (1 + exp(-(0.5::double + s))) - 1 / (1 + exp(-0.5::double)))) > 0.001::double as flagged, round(x[1] * w[1] * slope, 6) + 0 as first, round(x[64] * w[64] * slope, 6) + 0 as last from g""")
+def path_attribution(spark, folder):
+    """A logistic scorer over vectors, its path from zero; the whole attribution is in the operator's array."""
+    weights = (np.arange(64) % 7 - 3) / 4.0
+    e = table(spark, folder, "embeddings")
+    found = paths.path_attribution(e, "vec_id", "embedding", paths.logistic(weights, 0.5), "zero", LEADS, 64, absolute=0.001, relative=0.0)
+    return found.select("vec_id", "score", "baseline_score", "error", "flagged", F.get("attribution", F.lit(0)).alias("first"), F.get("attribution", F.lit(63)).alias("last"))
+
+
 @query(f"""with {LEAD_SQL}, g as (select *, (x - 0.1::double) * list_sum(list_transform(range(1, 17), lambda k: (lead + 1) * 0.5::double + 0.5::double * (0.1::double + (k - 0.5::double) / 16.0::double * (x - 0.1::double)))) / 16.0::double as a,
  ((lead + 1) * 0.5::double * x + 0.25::double * x * x) - ((lead + 1) * 0.5::double * 0.1::double + 0.25::double * 0.01::double) as d from s), t as (select vec_id, sum(a) as total, sum(d) as span from g group by 1)
 select vec_id, round(total, 6) as total, round(span, 6) as span, round(total - span, 6) + 0.0::double as error, abs(total - span) > 1.0::double + 0.05::double * abs(span) as flagged from t""")
