@@ -281,6 +281,22 @@ def rules() -> list[tuple[str, int, bytes, re.Pattern]]:
     return sorted(((a, p, k.encode(), re.compile(rf"(?<![^ ])(?:{r})(?![^ ])".encode())) for a, p, k, r in each), key=lambda x: (-x[1], x[0], x[3].pattern))
 
 
+def mandatory(pattern: str) -> str:
+    """What of a rule's pattern every match has: groups with a choice or without need are left out."""
+    while (shorter := re.sub(r"\(\?:[^()]*\)\??", lambda m: " " if m[0].endswith("?") or "|" in m[0] else m[0][3:-1], pattern)) != pattern:
+        pattern = shorter
+    return pattern
+
+
+@lru_cache(maxsize=1)
+def by_need() -> tuple[list, list]:
+    """Rules that need the word license in the text, beside their keyword, and the others."""
+    named, others = [], []
+    for rule in rules():
+        (named if "licen" in mandatory(rule[3].pattern.decode().removeprefix("(?<![^ ])").removesuffix("(?![^ ])")) else others).append(rule)
+    return named, others
+
+
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 GAP = rb"[^0-9a-z\x80-\xff]+"
 BASE_PATTERNS = [(label, phrase.split(" ")[0].encode(), re.compile(rb"(?<![0-9a-z\x80-\xff])" + GAP.join(phrase.encode().split(b" ")) + rb"(?![0-9a-z\x80-\xff])")) for phrase, label in BASE]
@@ -306,7 +322,10 @@ Detection = tuple[int, int, int, str]
 
 def detections(low: bytes) -> list[Detection]:
     """(priority, start, end, label) of the rules' detections that no other suppresses; places are of joined words."""
-    live = [r for r in rules() if r[2] in low]
+    named, others = by_need()
+    live = [r for r in others if r[2] in low]
+    if b"licen" in low:
+        live += [r for r in named if r[2] in low]
     if not live:
         return []
     words = b" ".join(WORD.findall(low))
