@@ -20,6 +20,8 @@ SQL: dict[str, str] = {}
 
 #: Bootstrap replicates.
 REPLICATES = 1000
+#: Samples a second of events taken as a recording: above twice the band's upper end of 40 Hz.
+EVENT_RATE = 100
 #: Boosted explainers of the queries: larger steps than the default's, and so fewer passes.
 QUICK = boosting.Settings(rounds=40, rate=0.2)
 SIGNAL = "e as (select *, epoch_us(ts)::double / 1000000.0::double as s from events)"
@@ -280,11 +282,14 @@ def circular_axis_median(spark, folder):
 
 @query(None)
 def signal_pipeline(spark, folder):
-    """A user's event values, in order, as a recording of one lead: peaks, waves, and the table of intervals."""
+    """A user's event values, in order, as a recording of one lead: peaks, waves, and the table of intervals.
+
+    Users have some 70 events each, so that a rate of EVENT_RATE makes recordings of about a second.
+    """
     e = table(spark, folder, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
     r = e.select("user_id", F.transform("e", lambda x: x["value"] / 100.0).alias("signal"), F.array(F.transform("e", lambda x: x["value"] / 100.0)).alias("leads"))
-    r = r.withColumn("peaks", signals.r_peaks(F.col("signal"), 250))
-    out = delineation.interval_table(r, delineation.delineated(r, "user_id", "leads", "peaks", 250), "user_id", 250)
+    r = r.withColumn("peaks", signals.r_peaks(F.col("signal"), EVENT_RATE))
+    out = delineation.interval_table(r, delineation.delineated(r, "user_id", "leads", "peaks", EVENT_RATE), "user_id", EVENT_RATE)
     return out
 
 
