@@ -131,9 +131,9 @@ def beats_of(leads, peaks, fs, lead=0):
 
 
 def table_of(beats, fs):
-    ms, none = 1000.0 / fs, {"n_beats": len(beats)}
     if len(beats) < 3:
-        return none
+        return {"n_beats": 0}
+    ms, none = 1000.0 / fs, {"n_beats": len(beats)}
     of = lambda values: median(values) if values else None
     rr = [(b[0] - a[0]) * ms for a, b in zip(beats[:-1], beats[1:], strict=True)]
     qt = of([(t[2] - q) * ms for _, q, _, _, t in beats if t and t[2] > q])
