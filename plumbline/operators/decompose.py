@@ -67,7 +67,7 @@ def linear(rows: DataFrame, y: str, fold: str, subsets: dict[str, list[str]]) ->
     """
     columns = sorted({c for s in subsets.values() for c in s})
     s = Sums(rows, y, columns, fold)
-    by_fold = s.found["all"]
+    by_fold = s.found
     total, last = sum(by_fold.values()), len(columns) + 1
 
     def beta(g: np.ndarray, own: list[str]) -> np.ndarray:

@@ -2,17 +2,21 @@
 
 Per fold (and stratum) the pass sums all products of 1, the covariates, the features and the target. Sums of all folds
 less a fold's own are its training set; its held-out error follows from its own sums. What comes to the driver is one
-row a fold and stratum, whatever the table's size.
+row a fold, whatever the table's size; strata are solved where their sums meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.staging import share_package
+
 
 def metrics(df: DataFrame, y: str | Column, p: str | Column) -> DataFrame:
     """n, mae, rmse, r2 (null without variance; may be negative)."""
@@ -21,50 +25,66 @@ def metrics(df: DataFrame, y: str | Column, p: str | Column) -> DataFrame:
     return df.agg(F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.avg(e * e), F.var_pop(F.when(e.isNotNull(), y)))).alias("r2"))
 
 
+def fold_sums(df: DataFrame, y: str, columns: list[str], fold: str, stratum: str | None = None) -> DataFrame:
+    """stratum, fold and s<i>_<j>: sums of products of 1, the columns and the target; rows with any value missing are left out."""
+    z = ["_one", *columns, y]
+    rows = df.withColumn("_one", F.lit(1.0)).dropna(subset=[*columns, y]).select(F.col(fold).cast("long").alias("fold"), (F.col(stratum) if stratum else F.lit("all")).cast("string").alias("stratum"), *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(z)])
+    sums = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in combinations_with_replacement(range(len(z)), 2)]
+    return rows.groupBy("stratum", "fold").agg(*sums)
+
+
+def gram(row: Mapping[str, float], width: int) -> np.ndarray:
+    """The matrix of one row of sums."""
+    g = np.zeros((width, width))
+    for i, j in combinations_with_replacement(range(width), 2):
+        g[i, j] = g[j, i] = row[f"s{i}_{j}"]
+    return g
+
+
+def held_out_r2(by_fold: list[np.ndarray], at: list[int]) -> float | None:
+    """Out-of-fold R2 of the last variable on those at some places, from the folds' matrices; None for one fold."""
+    if len(by_fold) < 2:
+        return None
+    total, y, sse = sum(by_fold), len(by_fold[0]) - 1, 0.0
+    for own in by_fold:
+        train = total - own
+        beta, *_ = np.linalg.lstsq(train[np.ix_(at, at)], train[at, y], rcond=None)
+        sse += own[y, y] - 2 * beta @ own[at, y] + beta @ own[np.ix_(at, at)] @ beta
+    sst = total[y, y] - total[0, y] ** 2 / total[0, 0]
+    return float(1 - sse / sst) if sst > 0 else None
+
+
 class Sums:
-    """The sums of a regression table. columns: covariates and features; rows with any value missing are left out."""
-
-    def __init__(self, df: DataFrame, y: str, columns: list[str], fold: str, stratum: str | None = None):
-        self.columns, self.y = columns, y
-        z = ["_one", *columns, y]
-        rows = df.withColumn("_one", F.lit(1.0)).dropna(subset=[*columns, y]).select(F.col(fold).cast("long").alias("fold"), (F.col(stratum) if stratum else F.lit("all")).cast("string").alias("stratum"), *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(z)])
-        self.pairs = list(combinations_with_replacement(range(len(z)), 2))
-        sums = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i, j in self.pairs]
-        self.found: dict[str, dict[int, np.ndarray]] = {}
-        for r in rows.groupBy("stratum", "fold").agg(*sums).collect():
-            g = np.zeros((len(z), len(z)))
-            for i, j in self.pairs:
-                g[i, j] = g[j, i] = r[f"s{i}_{j}"]
-            self.found.setdefault(r["stratum"], {})[r["fold"]] = g
-
-    def r2(self, subset: list[str], stratum: str = "all") -> float | None:
+    """The sums of a regression table. columns: covariates and features; one row a fold comes to the driver."""
+
+    def __init__(self, df: DataFrame, y: str, columns: list[str], fold: str):
+        self.columns = columns
+        self.found = {r["fold"]: gram(r, len(columns) + 2) for r in fold_sums(df, y, columns, fold).collect()}
+
+    def r2(self, subset: list[str]) -> float | None:
         """Out-of-fold R2 of the target on a subset of the columns, with an intercept."""
-        by_fold = self.found.get(stratum, {})
-        if len(by_fold) < 2:
-            return None
-        at = [0, *[1 + self.columns.index(c) for c in subset]]
-        y, total = len(self.columns) + 1, sum(by_fold.values())
-        sse = 0.0
-        for own in by_fold.values():
-            train = total - own
-            beta, *_ = np.linalg.lstsq(train[np.ix_(at, at)], train[at, y], rcond=None)
-            sse += own[y, y] - 2 * beta @ own[at, y] + beta @ own[np.ix_(at, at)] @ beta
-        sst = total[y, y] - total[0, y] ** 2 / total[0, 0]
-        return float(1 - sse / sst) if sst > 0 else None
-
-    def n(self, stratum: str = "all") -> int:
-        return round(sum(g[0, 0] for g in self.found.get(stratum, {}).values()))
+        return held_out_r2(list(self.found.values()), [0, *[1 + self.columns.index(c) for c in subset]])
 
 
 def decomposition(df: DataFrame, y: str, covariates: list[str], features: list[str], fold: str, stratum: str | None = None) -> DataFrame:
-    """stratum, n, r2_base (floored at 0), r2_full, incremental, unexplained."""
-    s = Sums(df, y, covariates + features, fold, stratum)
-    rows = []
-    for name in sorted(s.found):
-        base, full = s.r2(covariates, name), s.r2(covariates + features, name)
-        if base is not None and full is not None:
-            rows.append((name, s.n(name), max(base, 0.0), full, full - max(base, 0.0), 1 - full))
-    return df.sparkSession.createDataFrame(rows, "stratum string, n long, r2_base double, r2_full double, incremental double, unexplained double")
+    """stratum, n, r2_base (floored at 0), r2_full, incremental, unexplained.
+
+    A stratum's sums, a row a fold, meet in one group and are solved there, so that there may be any number of strata.
+    """
+    share_package(df.sparkSession)
+    width, known = len(covariates) + len(features) + 2, 1 + len(covariates)
+
+    def solve(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["fold"])
+        by_fold = [gram(r, width) for r in rows]
+        base, full = (held_out_r2(by_fold, list(range(n))) for n in (known, width - 1))
+        out = [] if base is None or full is None else [(rows[0]["stratum"], round(sum(g[0, 0] for g in by_fold)), max(base, 0.0), full, full - max(base, 0.0), 1 - full)]
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = [pa.string(), pa.int64(), *[pa.float64()] * 4]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("stratum", "n", "r2_base", "r2_full", "incremental", "unexplained"), columns, kinds, strict=True)})
+
+    sums = fold_sums(df, y, covariates + features, fold, stratum)
+    return sums.groupBy("stratum").applyInArrow(solve, "stratum string, n long, r2_base double, r2_full double, incremental double, unexplained double")
 
 
 def univariate(df: DataFrame, y: str, features: list[str], fold: str) -> DataFrame:
@@ -86,19 +106,9 @@ def subset_scores(df: DataFrame, y: str, covariates: list[str], subsets: list[li
     return df.sparkSession.createDataFrame(rows, "subset string, k int, r2_full double, incremental double")
 
 
-def fold_line(df: DataFrame, x: str, y: str, fold: str) -> DataFrame:
-    """df with fitted: y on x by a line through all other folds' rows. The lines are one row a fold."""
-    own = df.dropna(subset=[x, y]).groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
-    whole = own.agg(*[F.sum(c).alias(f"a{c}") for c in ("n", "sx", "sy", "sxx", "sxy")])
-    t = own.join(F.broadcast(whole)).select(F.col(fold).alias("lf"), *[(F.col(f"a{c}") - F.col(c)).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
-    slope = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    lines = t.withColumn("slope", slope).select("lf", "slope", F.try_divide(F.col("sy") - F.col("slope") * F.col("sx"), F.col("n").cast("double")).alias("intercept"))
-    return df.join(F.broadcast(lines), F.col(fold) == F.col("lf")).withColumn("fitted", F.col("intercept") + F.col("slope") * F.col(x)).drop("lf", "slope", "intercept")
-
-
 def fold_fit(df: DataFrame, columns: list[str], y: str, fold: str) -> DataFrame:
     """df with fitted: y on all columns together, with an intercept, through all other folds' rows. One row a fold is joined."""
-    found = Sums(df, y, columns, fold).found.get("all", {})
+    found = Sums(df, y, columns, fold).found
     total, last = sum(found.values()), len(columns) + 1
     betas = [(k, np.linalg.lstsq((total - own)[:last, :last], (total - own)[:last, last], rcond=None)[0].tolist()) for k, own in found.items()] if len(found) > 1 else []
     fits = df.sparkSession.createDataFrame(betas, "lf long, beta array<double>")

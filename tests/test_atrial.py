@@ -161,3 +161,36 @@ def test_table_of_waves_whose_width_differs_by_lead(spark):
     assert out[2].p_dispersion_ms is None and out[2].p_area == 0
     assert out[3].p_dispersion_ms is None
     assert atrial.atrial_table(r, b.limit(0), "record_id", "leads", names, fs).count() == 0
+
+
+def test_amplitudes_over_vectors_follow_their_rules(spark):
+    folder = "/root/testdata/sf0.001"
+    r, _ = plans._recordings(spark, folder)
+    got = {x["vec_id"]: x for x in plans.QUERIES["amplitude_features"](spark, folder).collect()}
+    # qrs_onset, qrs_offset, r, p, t and the bounds of T; at 100 samples a second.
+    beats = [(3, 6, 4, 2, 5, (4, 6)), (12, 14, 13, 10, None, None)]
+    near = lambda v: None if v is None else pytest.approx(v, abs=2e-6)
+    for record in r.collect():
+        found = {c: [] for c in ("r", "t", "p", "st", "qrs", "axis_t", "progression")}
+        for on, off, top, p, t, bounds in beats:
+            base = [median(x[max(on - 5, 0) : on]) for x in record["leads"]]
+            two, v1, one, foot = record["leads"]
+            found["r"].append(abs(two[top] - base[0]))
+            found["p"].append(two[p] - base[0])
+            if t is not None:
+                found["t"].append(two[t] - base[0])
+            raised = [x[off + 6] - b for x, b in zip(record["leads"], base, strict=True) if off + 6 < len(x)]
+            if raised:
+                found["st"].append(max(raised, key=abs))
+            net = lambda x, b, span: sum(v - b for v in x[span[0] : span[1] + 1])
+            found["qrs"].append(math.degrees(math.atan2(net(foot, base[3], (on, off)), net(one, base[2], (on, off)))))
+            if bounds:
+                found["axis_t"].append(math.degrees(math.atan2(net(foot, base[3], bounds), net(one, base[2], bounds))))
+            qrs = v1[on : off + 1]
+            if max(max(qrs) - base[1], 0) > max(base[1] - min(qrs), 0):
+                found["progression"].append(1.0)
+        a, b = found["qrs"]
+        led = b - 360 * math.floor((b - a + 180) / 360)
+        own = got[record["vec_id"]]
+        want = {"r_amplitude_mv": median(found["r"]), "t_amplitude_mv": found["t"][0], "p_amplitude_mv": median(found["p"]), "st_deviation_mv": median(found["st"]), "qrs_axis_deg": (a + led) / 2, "t_axis_deg": found["axis_t"][0], "sokolow_lyon_mv": None, "r_progression_lead": 1.0 if found["progression"] else None}
+        assert {c: own[c] for c in want} == {c: near(v) for c, v in want.items()}
