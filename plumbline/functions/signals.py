@@ -78,6 +78,12 @@ def refined(x: Column, beats: Column, half: int) -> Column:
     return F.array_sort(F.array_distinct(F.transform(beats, top)))
 
 
+def beat_places(signal: Column, fs: int) -> Column:
+    """Where the walk finds beats, before peaks are refined: array<int>, in order."""
+    found = let(moving_mean(slope_energy(signal, fs), round(0.06 * fs)), lambda envelope: threshold_walk(candidates(envelope, round(0.2 * fs)), envelope, fs))
+    return F.when(F.size(signal) >= fs // 2, found).otherwise(F.array().cast("array<int>"))
+
+
 def orientation(x: Column, beats: Column, half: int) -> Column:
     """1 or -1: whether the largest swing around the beats points up or down. One choice for a lead."""
     near = lambda b: F.slice(x, F.greatest(b - half, F.lit(0)) + 1, F.lit(2 * half + 1))
