@@ -106,7 +106,7 @@ def r_peaks(signal: Column, fs: int) -> Column:
 
     def turned(x: Column, found: Column) -> Column:
         flat = let(level(x), lambda m: F.transform(x, lambda v: v - m))
-        return let(F.struct(flat.alias("x"), found.alias("beats")), lambda v: refined(F.transform(v["x"], lambda y: y * orientation(v["x"], v["beats"], half)), v["beats"], half))
+        return let(F.struct(flat.alias("x"), found.alias("beats")), lambda v: let(orientation(v["x"], v["beats"], half), lambda sign: let(F.transform(v["x"], lambda y: y * sign), lambda z: refined(z, v["beats"], half))))
 
     def of(x: Column) -> Column:
         return let(moving_mean(slope_energy(x, fs), round(0.06 * fs)), lambda envelope: let(threshold_walk(candidates(envelope, round(0.2 * fs)), envelope, fs), lambda found: turned(x, found)))
