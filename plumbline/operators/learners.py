@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.sources.staging import staged
+
 
 def model(kind: str, label: str, rows: int):
     """The estimator of a kind; logistic penalties follow a unit inverse strength over all rows."""
@@ -26,7 +28,8 @@ def model(kind: str, label: str, rows: int):
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, kind: str, name: str = "predicted") -> DataFrame:
     """df's usable rows with a prediction of each by a model that hasn't seen its fold. Folds are few."""
-    rows = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(df.dropna(subset=[*features, label])).cache()
+    rows = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip").transform(df.dropna(subset=[*features, label]))
+    rows = staged(rows, "learners-rows")
     counts = {r[fold]: r["count"] for r in rows.groupBy(fold).count().collect()}
     if len(counts) < 2:
         raise ValueError("out-of-fold predictions need two folds at least")
