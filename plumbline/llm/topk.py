@@ -8,7 +8,8 @@ entries that reach it in some list are collected. In the third, their scores are
 cutoff go into the final ranking. The argument needs no sign of the scores, and nothing is approximate.
 
 Vectors are quantized integers and travel as packed blocks; queries are blocks, too, so that each task multiplies two
-bounded matrices. Query blocks are dealt to all groups of vector blocks: a stated query set against all rows. Vectors
+bounded matrices. Query blocks go to all of at most GROUPS groups of vector blocks, by a shuffle on both sides: a stated
+query set against all rows, of which the driver gets nothing but two counts. Vectors
 with components of SMALL or more have smaller blocks of their own; where products of two blocks could pass 2**53, they
 are multiplied as Python integers.
 
@@ -23,7 +24,7 @@ number of 38 digits. The score column is a long: a score outside its range reads
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -35,6 +36,8 @@ from plumbline.llm.common import share_package, written
 
 PARTS = 2
 ROWS_A_BLOCK, QUERIES_A_BLOCK = 4096, 512
+#: Groups of vector blocks at most: every query block goes to each, so that this bounds how often queries are shuffled.
+GROUPS = 64
 #: Components from which a vector goes to a block of large ones, and rows of such a block.
 SMALL, LARGE_ROWS = 2**21, 128
 #: Scores travel as Spark's widest exact numbers.
@@ -124,21 +127,66 @@ class Pair:
 
 def scores_array(scores: np.ndarray) -> pa.Array:
     if scores.dtype == object:
-        return pa.array([Decimal(s) for s in scores], pa.decimal128(38, 0))
+        return pa.array([Decimal(int(s)) for s in scores], pa.decimal128(38, 0))
     return pa.array(scores.astype(np.int64)).cast(pa.decimal128(38, 0))
 
 
-def rows_of(pair: Pair, scores: np.ndarray, keep: np.ndarray, k: int) -> pa.RecordBatch:
-    """The block's k best of the entries to keep for each query, so that ties at the cutoff stay few."""
-    q, x = np.nonzero(keep)
+#: Places of queries in their block, ids of vectors, scores.
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def best(entries: Entries, k: int) -> Entries:
+    """The k best entries of each query, ties to the smaller id."""
+    q, x, scores = entries
     if scores.dtype == object:
-        order = np.array(sorted(range(len(q)), key=lambda i: (q[i], -scores[q[i], x[i]], pair.xid[x[i]])), np.int64)
+        order = np.array(sorted(range(len(q)), key=lambda i: (q[i], -scores[i], x[i])), np.int64)
     else:
-        order = np.lexsort((pair.xid[x], -scores[q, x], q))
-    q, x = q[order], x[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    q, x = q[place < k], x[place < k]
-    return pa.RecordBatch.from_pydict({"query_id": pair.qid[q], "vec_id": pair.xid[x], "score": scores_array(scores[q, x])})
+        order = np.lexsort((x, -scores, q))
+    q, x, scores = q[order], x[order], scores[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], x[keep], scores[keep]
+
+
+def joined(a: Entries | None, b: Entries) -> Entries:
+    if a is None:
+        return b
+    if object in (a[2].dtype, b[2].dtype):
+        a, b = ((q, x, s if s.dtype == object else np.array([int(v) for v in s], object)) for q, x, s in (a, b))
+    return tuple(np.concatenate(c) for c in zip(a, b, strict=True))
+
+
+def walked(batches: Iterator[pa.RecordBatch], chosen: Callable[[dict, Pair], tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best for each query of what is chosen (scores, and where) of pairs of blocks.
+
+    Pairs of one query block lie one after another, and leave k rows a query together. What is held is that block's.
+    """
+    qids, held = None, None
+
+    def rows() -> pa.RecordBatch:
+        q, x, scores = held
+        return pa.RecordBatch.from_pydict({"query_id": np.frombuffer(qids, np.int64)[q], "vec_id": x, "score": scores_array(scores)})
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if qids is not None and row["qids"] != qids:
+                yield rows()
+                held = None
+            qids, pair = row["qids"], Pair(row)
+            scores, keep = chosen(row, pair)
+            q, x = np.nonzero(keep)
+            held = best(joined(held, (q, pair.xid[x], scores[q, x])), k)
+    if qids is not None:
+        yield rows()
+
+
+def met(asks: DataFrame, blocks: DataFrame, groups: int) -> DataFrame:
+    """Every query block beside every block of vectors of as many dimensions.
+
+    Both sides are shuffled and merged: Spark takes the query blocks for as small as they are before they are repeated,
+    and would pass all copies through the driver.
+    """
+    asks = asks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return asks.join(blocks.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).hint("merge"), ["dims", "group"])
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -148,45 +196,45 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: float = 25
     blocks = written(packed(rows, ROWS_A_BLOCK), "topk-blocks")
     asked = rows.join(embeddings.where(is_query).select(F.col(id_col).cast("long").alias("asked")).distinct(), F.col("id") == F.col("asked"), "left_semi")
     queries = written(packed(asked.repartition(1 + asked.count() // QUERIES_A_BLOCK, "id"), QUERIES_A_BLOCK), "topk-queries")
-    groups = max(1, blocks.count())
-    asks = queries.select("dims", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    pairs = asks.join(blocks.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")), ["dims", "group"])
+    groups = min(max(1, blocks.count()), GROUPS)
+    asks = queries.select("dims", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                pair = Pair(row)
-                at = pair.heads(k)
-                yield rows_of(pair, pair.complete(at), at, k)
+        def chosen(row: dict, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
+            at = pair.heads(k)
+            return pair.complete(at), at
+
+        return walked(batches, chosen, k)
 
-    local = pairs.mapInArrow(first, f"query_id long, vec_id long, score {SCORE}")
+    local = met(asks, blocks, groups).mapInArrow(first, f"query_id long, vec_id long, score {SCORE}")
     nth = Window.partitionBy("query_id").orderBy(F.desc("score"))
     # Queries with fewer than k scores anywhere have no cutoff, nor have those whose k-th is below what a score can say.
     kth = local.withColumn("nth", F.row_number().over(nth)).where((F.col("nth") == k) & (F.col("score") > F.lit(str(-MOST)).cast(SCORE)))
     cutoffs = written(kth.select("query_id", F.col("score").alias("cutoff")), "topk-cutoffs")
-    return _ranked(pairs, queries, cutoffs, k)
+    return _ranked(asks, blocks, groups, cutoffs, k)
 
 
-def _ranked(pairs: DataFrame, queries: DataFrame, cutoffs: DataFrame, k: int) -> DataFrame:
+def _ranked(asks: DataFrame, blocks: DataFrame, groups: int, cutoffs: DataFrame, k: int) -> DataFrame:
     """Second and third phase. The cutoffs go to every block beside the queries that they belong to."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
+            for ids in batch.column("qids").to_pylist():
                 own = np.frombuffer(ids, np.int64)
                 yield pa.RecordBatch.from_pydict({"block": pa.array([ids] * len(own), pa.binary()), "place": np.arange(len(own)), "id": own})
 
-    places = queries.mapInArrow(explode, "block binary, place long, id long")
+    places = asks.select("qids").distinct().mapInArrow(explode, "block binary, place long, id long")
     listed = places.join(cutoffs, F.col("id") == F.col("query_id"), "left").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "cutoff"))).alias("cut"))
-    given = pairs.join(listed, F.col("qids") == F.col("block")).drop("block")
+    # Cutoffs join the query blocks before these are repeated for the groups.
+    given = met(asks.join(listed.hint("merge"), F.col("qids") == F.col("block")).drop("block"), blocks, groups)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                pair = Pair(row)
-                at, cutoff = pair.reach([c["cutoff"] for c in row["cut"]])
-                scores = pair.complete(at)
-                yield rows_of(pair, scores, at & (scores >= cutoff[:, None]).astype(bool), k)
+        def chosen(row: dict, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
+            at, cutoff = pair.reach([c["cutoff"] for c in row["cut"]])
+            scores = pair.complete(at)
+            return scores, at & (scores >= cutoff[:, None]).astype(bool)
+
+        return walked(batches, chosen, k)
 
     found = given.mapInArrow(second, f"query_id long, vec_id long, score {SCORE}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

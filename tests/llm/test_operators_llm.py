@@ -351,6 +351,23 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_passes_no_vectors_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_A_BLOCK", 8)
+    monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 2)
+    monkeypatch.setattr(topk, "GROUPS", 3, raising=False)
+    rng = np.random.default_rng(2)
+    vectors = {i: rng.integers(-3, 4, size=8) / 256 * (1 if i % 9 else 2.0**22) for i in range(400)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>").repartition(3)
+    found = topk.top_k(df, F.col("vec_id") % 50 == 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [dims" in plan and "BroadcastHashJoin [dims" not in plan
+    want = []
+    for q in range(0, 400, 50):
+        best = sorted((-int(sum(int(a * 256) * int(b * 256) for a, b in zip(vectors[q], x, strict=True))), i) for i, x in vectors.items() if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, found.collect())) == want
+
+
 def test_top_k_takes_every_finite_vector(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.choice([0, 1, 7, 12, 15])]) for i in range(120)]
