@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
+#: Bytes of one batch that goes to a Python worker, where rows are packed blocks.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 _own: list[str] = []
 #: Contexts that have been given the package, by their id.
 _given: set[str] = set()

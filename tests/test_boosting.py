@@ -90,3 +90,19 @@ def test_boosting_finds_what_a_line_misses(table):
     x = np.c_[np.ones(len(pdf)), pdf[["a", "b", "c"]]]
     line = x @ np.linalg.lstsq(x, pdf.y, rcond=None)[0]
     assert share > 0.8 > 1 - ((pdf.y - line) ** 2).mean() / pdf.y.var()
+
+
+def test_rows_are_packed_and_few_margins_kept_by_row(table, monkeypatch):
+    """Small models are tables, equal subsets share their models, and what a pass reads of a row is some bytes."""
+    settings = Settings(rounds=4, rate=0.3, bins=8)
+    subsets = {"one": ["a"], "two": ["a", "b"], "swapped": ["b", "a"], "all": ["a", "b", "c"]}
+    monkeypatch.setattr(boosting, "CELLS", 64)
+    run = boosted(table, "id", "y", "fold", subsets, settings)
+    assert len(run.models) == 9 and len(run.large) == 3
+    assert run.margins.count() < 20 and run.rows.count() < 20
+    got = run.predicted().toPandas().set_index("key").sort_index()
+    assert len(got) == 600 and (got.two == got.swapped).all()
+    monkeypatch.setattr(boosting, "CELLS", 0)
+    rows = boosted(table, "id", "y", "fold", subsets, settings)
+    assert len(rows.large) == 9
+    assert np.allclose(got, rows.predicted().toPandas().set_index("key").sort_index())
