@@ -29,13 +29,13 @@ def banded(x: np.ndarray, fs: float, low: float, high: float, order: int) -> np.
 
 
 def bandpass(leads: Column, fs: float, low: float, high: float, order: int = 2) -> Column:
-    """Every lead's band, array<array<double>>; a null stays null. The upper end must be below half the rate."""
+    """Every lead's band, array<array<double>>; nulls stay null. The upper end must be below half the rate."""
     if not 0 < low < high < fs / 2:
         raise ValueError(f"a band must lie inside 0 to {fs / 2} Hz: {low} to {high}")
 
     @F.pandas_udf("array<array<double>>")
     def of(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else [banded(np.asarray(x, float), fs, low, high, order) for x in r])
+        return rows.map(lambda r: None if r is None else [None if x is None else banded(np.asarray(x, float), fs, low, high, order) for x in r])
 
     return of(leads)
 

@@ -18,13 +18,13 @@ def slope_energy(x: Column, fs: int) -> Column:
 
 
 def moving_mean(x: Column, half: int) -> Column:
-    """The centred mean over 2 * half + 1 samples, fewer at the edges."""
-    def at(i: Column) -> Column:
+    """The centred mean over 2 * half + 1 samples, fewer at the edges. x is worked out once, not for every sample."""
+    def at(x: Column, i: Column) -> Column:
         low = F.greatest(i - half, F.lit(0))
         high = F.least(i + half, F.size(x) - 1)
         return F.aggregate(F.slice(x, low + 1, high - low + 1), F.lit(0.0), lambda a, b: a + b) / (high - low + 1)
 
-    return F.transform(x, lambda _, i: at(i))
+    return let(x, lambda x: F.transform(x, lambda _, i: at(x, i)))
 
 
 def candidates(envelope: Column, apart: int) -> Column:
@@ -102,7 +102,7 @@ def r_peaks(signal: Column, fs: int) -> Column:
     half = max(round(0.1 * fs), 1)
 
     def level(x: Column) -> Column:
-        return let(F.array_sort(x), lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int")))
+        return let(F.sort_array(x), lambda s: F.get(s, F.floor(F.size(s) / 2).cast("int")))
 
     def turned(x: Column, found: Column) -> Column:
         flat = let(level(x), lambda m: F.transform(x, lambda v: v - m))

@@ -177,3 +177,34 @@ def test_beats_of_made_recordings(spark, FS):  # noqa: N803
     for k, leads, peaks in rows:
         for name, value in table_of(beats_of(leads, peaks, FS), FS).items():
             assert table[k][name] is None if value is None else table[k][name] == pytest.approx(value), (k, name)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_peaks_and_slopes_are_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.functions import signals
+
+    spark.conf.set("spark.sql.maxPlanStringLength", 10**8)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 10**6)
+    try:
+        # A smoothed expression isn't repeated for every sample.
+        marked = F.transform(F.array(*[F.col("id").cast("double")] * 9), lambda v: v * 1234.5)
+        df = spark.range(2).select(signals.moving_mean(marked, 1).alias("x"))
+        assert plan_of(df).count("1234.5") == 1
+        assert df.collect()[1]["x"] == pytest.approx([1234.5] * 9)
+        # The query's plan has one walk; a filter on its result would bring in another.
+        walk = plan_of(spark.createDataFrame([([0.0],)], "x array<double>").select(signals.r_peaks(F.col("x"), plans.EVENT_RATE).alias("p"))).count("1.66")
+        assert walk > 0 and plan_of(plans.QUERIES["signal_pipeline"](spark, "/root/testdata/sf0.001")).count("1.66") == walk
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_recordings_without_peaks_or_leads_have_no_beats(spark):
+    rows = [(1, [[0.0, 1.0, 0.0] * 40], []), (2, None, None), (3, [None], []), (4, [[]], [])]
+    df = spark.createDataFrame(rows, "k long, leads array<array<double>>, peaks array<int>")
+    assert delineation.delineated(df, "k", "leads", "peaks", 100).collect() == []
