@@ -30,7 +30,7 @@ from plumbline.llm.tokens import pieces, segments, units
 #: Longest piece, in bytes, that is merged directly; longer ones are halved.
 LEAF = 24
 NO_RANK = 1 << 62
-#: Bytes that a worker's remembered pieces and units take at most, about, beside those of one segment: half of them by
+#: Bytes that a task's remembered pieces and units take at most, about, beside those of one segment: half of them by
 #: texts seen of late. An entry's own share, beside its text, ids and bytes, is about OVERHEAD.
 KEPT_BYTES, OVERHEAD = 160_000_000, 200
 
@@ -156,6 +156,10 @@ class TreeCodec:
             found = [known[u] for u in own]
             yield b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
+    def forget(self) -> None:
+        """A worker lives on between tasks and stages; what it remembers of texts would stay beside theirs."""
+        self.known, self.older, self.kept_bytes = {}, {}, 0
+
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> TreeCodec:
@@ -173,25 +177,28 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = codec(shared_path(vocabulary), pattern)
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                ids, decoded, n, same, kept = hashlib.sha256(), hashlib.sha256(), 0, hashlib.sha256(), []
-                for packed, raw in tree.parts(text):
-                    ids.update(packed)
-                    decoded.update(raw)
-                    n += len(packed) // 4
-                    if keep_ids:
-                        kept.append(np.frombuffer(packed, "<u4"))
-                same.update(text.encode("utf-8", "surrogatepass"))
-                rows.append((n, ids.hexdigest(), decoded.hexdigest(), same.digest() == decoded.digest(), np.concatenate(kept).astype(np.int32) if kept else None))
-            n, a, b, same, kept = zip(*rows, strict=True) if rows else ((),) * 5
-            columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "matches"]
-            if keep_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+        try:
+            for batch in batches:
+                rows = []
+                for text in batch.column("text").to_pylist():
+                    ids, decoded, n, same, kept = hashlib.sha256(), hashlib.sha256(), 0, hashlib.sha256(), []
+                    for packed, raw in tree.parts(text):
+                        ids.update(packed)
+                        decoded.update(raw)
+                        n += len(packed) // 4
+                        if keep_ids:
+                            kept.append(np.frombuffer(packed, "<u4"))
+                    same.update(text.encode("utf-8", "surrogatepass"))
+                    rows.append((n, ids.hexdigest(), decoded.hexdigest(), same.digest() == decoded.digest(), np.concatenate(kept).astype(np.int32) if kept else None))
+                n, a, b, same, kept = zip(*rows, strict=True) if rows else ((),) * 5
+                columns = [batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())]
+                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "matches"]
+                if keep_ids:
+                    columns.append(pa.array(kept, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+        finally:
+            tree.forget()
 
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, matches boolean" + ", ids array<int>" * keep_ids

@@ -10,6 +10,7 @@ import pytest
 import regex
 
 from plumbline.llm import bpe_tree, token_counts, toxicity
+from plumbline.llm.common import shared_path
 from plumbline.llm.tokens import pieces, units
 
 VOCABULARY, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
@@ -81,3 +82,19 @@ def test_rows_of_the_fit_are_bounded_at_any_length():
     filler = np.arange(100_000, 110_000)
     long, long_bias = toxicity.fit([toxicity.packed(np.r_[r, filler]) for r in rows], labels)
     assert np.allclose(short, long, atol=1e-6) and abs(bias - long_bias) < 1e-6 and (short[20_000:23_000] >= 0).all()
+
+
+def test_a_worker_keeps_no_texts_after_its_task(spark):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, f"word{i} and again{i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    assert bpe_tree.encode(docs, RANKS, P.PATTERN).where("matches").count() == 400
+    name = RANKS.rsplit("/", 1)[-1]
+
+    def left(batches):
+        for _ in batches:
+            pass
+        tree = bpe_tree.codec(shared_path(name), P.PATTERN)
+        yield pa.RecordBatch.from_pydict({"n": [len(tree.known) + len(tree.older)]})
+
+    assert {r["n"] for r in spark.range(64).repartition(4).mapInArrow(left, "n long").collect()} == {0}
