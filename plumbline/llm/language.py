@@ -1,16 +1,19 @@
 """Operator 13: language identification by interpolated Kneser-Ney character models.
 
 A text's characters are its letters and marks in lower case, with one blank for whatever lies between them. Spark counts
-every ORDER-gram of all texts that may be learned from; what a language's model keeps are its commonest (all that occur
-as often as the last of GRAMS). From these, interpolated Kneser-Ney estimates follow by joins: lower orders count in how
-many contexts a gram continues, and an order's discount is n1 / (n1 + 2 * n2). A model is then two sorted arrays, hashes
-of grams with their log probabilities and hashes of contexts with their backoff weights, which tasks look up.
+every ORDER-gram of all texts that may be learned from. From all of these, interpolated Kneser-Ney estimates follow by joins:
+lower orders count in how many contexts a gram continues, and an order's discount is n1 / (n1 + 2 * n2). A model is two
+tables, grams with their log probabilities and contexts with their backoff weights.
+
+Tasks look grams up in sorted arrays of hashes. Where the tables are small these hold all of them; else what the
+languages' commonest ORDER-grams need, and the other ORDER-grams of a text get their values by joins with the tables.
+Values are whole numbers of 1 / UNIT bits, so that both ways give the same sums in any order.
 
 The language of the lowest cross-entropy, bits over the number of characters, is predicted. Two numbers are calibrated
-on texts that the models don't count (those of CALIBRATION, and CALIBRATED of each language at most): how sharply the
-languages' cross-entropies tell them apart, which gives the score, a probability; and for each language the cross-entropy
-that only one in 200 of its own texts exceeds. A text beyond it is marked as rejected, and its score is halved for every
-bit beyond: it's likely in none of the languages.
+on all texts that the models don't count, those of CALIBRATION: how sharply the languages' cross-entropies tell them
+apart, which gives the score, a probability; and for each language the cross-entropy that only one in 200 of its own
+texts exceeds. A text beyond it is marked as rejected, and its score is halved for every bit beyond: it's likely in none
+of the languages.
 
 Cases: null texts and texts without a letter are `und`, with a score of 0; rows with a null id are predicted, not learned
 from; languages are what lang holds, but for null; without any to learn from, every text is `und`; ties go to the first
@@ -23,27 +26,31 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plumbline.llm.common import share_package, written
 
 ORDER = 4
-#: Grams of the highest order that a language's model keeps, and all models together.
-GRAMS, ALL_GRAMS = 100_000, 2_000_000
-#: Languages that are learned at most, those with most text.
-LANGS = 1000
-#: Of 16 hash classes of documents, the one that calibrates and isn't counted; and most texts of each language from it.
-CALIBRATION, CALIBRATED = 3, 500
+#: Grams of the highest order that tasks hold of a language, and of all; and rows of all tables that they hold.
+GRAMS, ALL_GRAMS, ROWS = 100_000, 2_000_000, 4_000_000
+#: Of 16 hash classes of documents, the one that calibrates and isn't counted.
+CALIBRATION = 3
 #: Share of a language's own texts that its rejection threshold lets pass.
 PASS = 0.995
 #: Characters of one piece of texts.
 PIECE = 1_000_000
+#: Numbers that are worked out at once, over texts or grams and languages.
+CELLS = 8_000_000
+#: Parts of a bit.
+UNIT = 1 << 20
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -58,10 +65,10 @@ def kinds() -> np.ndarray:
     return out
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(texts: list[str], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Code points of many texts, the number of the text each belongs to, and whether a gram ends there.
 
-    A text begins with ORDER - 1 blanks, which only give context, and ends with a blank. Pieces have about PIECE
+    A text begins with ORDER - 1 blanks, which only give context, and ends with a blank. Pieces have about so many
     characters; where a text goes on in the next, its last characters come again as context.
     """
     codes, owners, ends, size = [], [], [], 0
@@ -86,18 +93,18 @@ def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     start = np.full(ORDER - 1, 32, np.uint32)
     for i, text in enumerate(texts):
         last = start
-        for at in range(0, len(text), PIECE):
-            code = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        for at in range(0, len(text), most):
+            code = np.frombuffer(text[at : at + most].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
             inside = kinds()[code] > 0
             code = np.where(inside, code, np.uint32(32))
             # A blank stays only after something else, in this piece or the one before.
             code = code[inside | np.r_[last[-1] != 32, inside[:-1]]]
-            if at + PIECE >= len(text) and len(code) + (last[-1] != 32) and (code[-1] if len(code) else last[-1]) != 32:
+            if at + most >= len(text) and len(code) + (last[-1] != 32) and (code[-1] if len(code) else last[-1]) != 32:
                 code = np.r_[code, np.uint32(32)]
             if len(code):
                 put(np.r_[last, code], i, len(last))
                 last = np.r_[last, code][1 - ORDER :]
-            if size >= PIECE:
+            if size >= most:
                 yield taken()
     if size:
         yield taken()
@@ -147,7 +154,7 @@ def counted(docs: DataFrame) -> DataFrame:
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = batch.column("text").to_pylist()
             for lang in sorted(set(langs)):
-                for code, _, ends in pieces([texts[i] for i in np.flatnonzero(langs == lang)]):
+                for code, _, ends in pieces([texts[i] for i in np.flatnonzero(langs == lang)], PIECE):
                     last, which, _ = distinct(code, ends)
                     for gram, n in zip(spelled(code, last), np.bincount(which, minlength=len(last)).tolist(), strict=True):
                         held[lang, gram] = held.get((lang, gram), 0) + n
@@ -163,7 +170,8 @@ def counted(docs: DataFrame) -> DataFrame:
 def kept(grams: DataFrame, most: int) -> DataFrame:
     """Each language's commonest grams, about most at the most: a count's grams stay if all of them have room.
 
-    Where not even those of the highest count have, as many as fit are chosen of them, by a hash.
+    Where not even those of the highest count have, as many as fit are chosen of them, by a hash. This is what tasks hold;
+    other grams count as well.
     """
     times = grams.groupBy("lang", "times").agg(F.count(F.lit(1)).alias("n"))
     upward = Window.partitionBy("lang").orderBy(F.desc("times"))
@@ -228,52 +236,58 @@ class Table:
     keys: np.ndarray
     values: np.ndarray
 
-    @classmethod
-    def of(cls, texts: list[str], values: list[float]) -> Table:
-        keys = hashed(texts)
-        order = np.argsort(keys)
-        return cls(keys[order], np.log2(np.array(values, float)[order]).astype(np.float32))
-
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values and whether there is one; 0 where there is none."""
         if not len(self.keys):
-            return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         there = self.keys[at] == keys
-        return np.where(there, self.values[at], np.float32(0)), there
+        return np.where(there, self.values[at], np.int32(0)), there
 
 
 @dataclass
 class Models:
-    """Every language's grams and contexts, and what was calibrated."""
+    """Every language's grams and contexts, and what was calibrated.
+
+    hot: hashes of the ORDER-grams for which these are enough; none: for all. rest: otherwise, the whole model as tables
+    (no, gram, cost) and (no, context, cost), no being a language's place; tasks don't get them.
+    """
 
     langs: list[str]
     grams: list[Table]
     contexts: list[Table]
+    hot: np.ndarray | None = None
+    rest: tuple[DataFrame, DataFrame] | None = None
     sharpness: float = 1.0
     limits: np.ndarray | None = None
 
-    def bits(self, forms: list[np.ndarray]) -> np.ndarray:
+    def at_once(self) -> int:
+        """Texts or characters that are looked at together."""
+        return max(1000, CELLS // max(1, len(self.langs)))
+
+    def costs(self, forms: list[np.ndarray]) -> np.ndarray:
         """-log2 of the probability of a character after its context, by language; forms: hashes of the runs that end with it, of 0 to
         ORDER characters, then of their contexts, the runs without it."""
-        out = np.zeros((len(self.langs), len(forms[0])))
+        out = np.zeros((len(self.langs), len(forms[0])), np.int64)
         for i, (table, contexts) in enumerate(zip(self.grams, self.contexts, strict=True)):
             left = np.arange(len(forms[0]))
             for order in range(ORDER, -1, -1):
                 value, there = table.get(forms[order][left])
-                out[i, left[there]] -= value[there]
+                out[i, left[there]] += value[there]
                 left = left[~there]
                 if not len(left):
                     break
                 # The context of this order is the run before the last character: it keeps what it gives to others.
                 weight, _ = contexts.get(forms[ORDER + order][left])
-                out[i, left] -= weight
+                out[i, left] += weight
         return out
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy of each text by language, bits a character, and whether it has a letter."""
-        total, many, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-        for code, owner, ends in pieces(texts):
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, list[str], np.ndarray]]]:
+        """Costs of each text by language, its number of characters and whether it has a letter; then the grams that these
+        costs leave out: the texts' places, the grams, how often."""
+        total, many, letters = np.zeros((len(texts), len(self.langs)), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        rest = []
+        for code, owner, ends in pieces(texts, min(PIECE, self.at_once())):
             last, which, at = distinct(code, ends)
             own = owner[at]
             starts = np.flatnonzero(np.r_[True, np.diff(own) != 0])
@@ -284,22 +298,37 @@ class Models:
             # Hashes of each order's gram, then of each order's context.
             forms = [run_hash(list(rows[:, ORDER - n :].T), len(rows)) for n in range(ORDER + 1)]
             forms += [run_hash(list(rows[:, ORDER - n : ORDER - 1].T), len(rows)) for n in range(1, ORDER + 1)]
-            table = self.bits(forms)
+            if self.hot is None:
+                table = self.costs(forms)
+            else:
+                here = np.isin(forms[ORDER], self.hot)
+                table = np.zeros((len(self.langs), len(last)), np.int64)
+                table[:, here] = self.costs([f[here] for f in forms])
+                away = np.flatnonzero(~here[which])
+                pairs, times = np.unique(own[away].astype(np.int64) * len(last) + which[away], return_counts=True)
+                rest.append((pairs // len(last), spelled(code, last[pairs % len(last)]), times))
             for i in range(len(self.langs)):
                 total[who, i] += np.add.reduceat(table[i][which], starts)
-        return total / np.maximum(many, 1)[:, None], letters
+        return total, many, letters, rest
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy of each text by language, bits a character, and whether it has a letter; of models that hold all."""
+        assert self.hot is None
+        total, many, letters, _ = self.sums(texts)
+        return total / (np.maximum(many, 1) * UNIT)[:, None], letters
 
-    def judged(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def decided(self, entropy: np.ndarray, letters: np.ndarray) -> pa.StructArray:
         """Language, score, cross-entropy, whether rejected."""
-        entropy, letters = self.entropies(texts)
-        if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool)
-        best = entropy.argmin(axis=1)
-        least = entropy[np.arange(len(texts)), best]
-        score = 1 / np.exp(-self.sharpness * (entropy - least[:, None])).sum(axis=1)
-        over = np.maximum(least - self.limits[best], 0)
-        score = np.where(letters, score * 0.5**over, 0.0)
-        return [self.langs[b] if y else "und" for b, y in zip(best, letters, strict=True)], score, np.where(letters, least, np.nan), (over > 0) | ~letters
+        n = len(letters)
+        if self.langs:
+            best = entropy.argmin(axis=1)
+            least = entropy[np.arange(n), best]
+            over = np.maximum(least - self.limits[best], 0)
+            score = np.where(letters, 0.5**over / np.exp(-self.sharpness * (entropy - least[:, None])).sum(axis=1), 0.0)
+            lang, none, rejected = [self.langs[b] if y else "und" for b, y in zip(best, letters, strict=True)], ~letters, (over > 0) | ~letters
+        else:
+            lang, score, least, none, rejected = ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool), np.ones(n, bool)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(least, mask=none), pa.array(rejected)], ["lang_pred", "score", "cross_entropy", "rejected"])
 
 
 def held_out(id_col: Column) -> Column:
@@ -310,74 +339,189 @@ def calibrates(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 16 == CALIBRATION
 
 
+def endings(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All that looking up some ORDER-grams may need: their ends (gram), and these without the last character (context)."""
+    ends = [F.substring("gram", ORDER + 1 - n, n) for n in range(ORDER + 1)]
+    heads = [F.substring("gram", ORDER + 1 - n, n - 1) for n in range(1, ORDER + 1)]
+    return grams.select(F.explode(F.array(*ends)).alias("gram")).distinct(), grams.select(F.explode(F.array(*heads)).alias("context")).distinct()
+
+
+def arrays(rows: DataFrame, text: str, langs: int) -> list[Table]:
+    """A table of each language, from no, text and cost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashed(batch.column(1).to_pylist()).view(np.int64)), batch.column(2)], ["no", "key", "cost"])
+
+    found = rows.select("no", text, "cost").mapInArrow(run, "no int, key long, cost int").toArrow()
+    no, keys, costs = (found.column(c).to_numpy() for c in ("no", "key", "cost"))
+    keys = keys.view(np.uint64)
+    order = np.lexsort((keys, no))
+    cuts = np.searchsorted(no[order], np.arange(1, langs))
+    return [Table(k, v) for k, v in zip(np.split(keys[order], cuts), np.split(costs[order], cuts), strict=True)]
+
+
 def learned(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
     """Models of all languages in docs. learn_from: which rows may be learned from, over a column named id."""
     share_package(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & learn_from)
     grams = written(counted(known.where(~calibrates(F.col("id")))), "language-counts")
-    langs = sorted(r["lang"] for r in grams.groupBy("lang").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect())
+    langs = sorted(r["lang"] for r in grams.select("lang").distinct().collect())
     if not langs:
         return Models([], [], [])
-    best = kept(grams.where(F.col("lang").isin(langs)), min(GRAMS, max(1, ALL_GRAMS // len(langs))))
-    found, contexts = kneser_ney(written(best, "language-kept"))
-
-    def tables(rows: DataFrame, text: str, value: str) -> list[Table]:
-        pdf = rows.toPandas()
-        parts = dict(list(pdf.groupby("lang")))
-        return [Table.of(parts[x][text].tolist(), parts[x][value].tolist()) for x in langs]
-
-    models = Models(langs, tables(found, "gram", "p"), tables(contexts, "context", "weight"))
+    numbers = F.broadcast(docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(langs)], "lang string, no int"))
+    found, contexts = kneser_ney(grams)
+    found = found.join(numbers, "lang").select("no", "gram", F.round(-F.log2("p") * UNIT).cast("int").alias("cost"))
+    contexts = contexts.join(numbers, "lang").select("no", "context", F.round(-F.log2("weight") * UNIT).cast("int").alias("cost"))
+
+    most = min(GRAMS, max(1, ALL_GRAMS // len(langs)))
+    if grams.groupBy("lang").count().agg(F.max("count")).first()[0] <= most and found.count() + contexts.count() <= ROWS:
+        models = Models(langs, arrays(found, "gram", len(langs)), arrays(contexts, "context", len(langs)))
+    else:
+        # Fewer grams until what they need has room; in the end, none.
+        while True:
+            hot = written(kept(grams, most).select("gram").distinct(), "language-hot")
+            ends, heads = endings(hot)
+            some = written(found.join(ends, "gram", "left_semi"), "language-held"), written(contexts.join(heads, "context", "left_semi"), "language-held")
+            if not most or some[0].count() + some[1].count() <= ROWS:
+                break
+            most //= 4
+        keys = arrays(hot.select(F.lit(0).alias("no"), "gram", F.lit(0).alias("cost")), "gram", 1)[0].keys
+        models = Models(langs, arrays(some[0], "gram", len(langs)), arrays(some[1], "context", len(langs)), keys, (found, contexts))
     calibrate(models, known.where(calibrates(F.col("id"))))
     return models
 
 
+def looked_up(grams: DataFrame, models: Models) -> DataFrame:
+    """_gram, _no, _cost of distinct ORDER-grams (_gram) in every language, from the whole model."""
+    found, contexts = models.rest
+    lower = found.where(F.col("gram") == "").select(F.col("no").alias("_no"), F.col("gram").alias("_end"), F.col("cost").cast("long").alias("_cost"))
+    for order in range(1, ORDER + 1):
+        ends = grams.select(F.substring("_gram", ORDER + 1 - order, order).alias("_end")).distinct()
+        ends = ends.withColumns({"_below": F.substring("_end", 2, order - 1), "_context": F.substring("_end", 1, order - 1)})
+        below = lower.select("_no", F.col("_end").alias("_below"), F.col("_cost").alias("_under"))
+        own = found.where(F.length("gram") == order).select(F.col("no").alias("_no"), F.col("gram").alias("_end"), F.col("cost").alias("_own"))
+        weights = contexts.where(F.length("context") == order - 1).select(F.col("no").alias("_no"), F.col("context").alias("_context"), F.col("cost").alias("_weight"))
+        level = ends.join(below, "_below").join(own, ["_no", "_end"], "left").join(weights, ["_no", "_context"], "left")
+        cost = F.coalesce(F.col("_own").cast("long"), F.coalesce("_weight", F.lit(0)) + F.col("_under"))
+        lower = written(level.select("_no", "_end", cost.alias("_cost")), "language-ends")
+    return lower.select(F.col("_end").alias("_gram"), "_no", "_cost")
+
+
+def measured(docs: DataFrame, models: Models, text_col: str) -> DataFrame:
+    """The rows of docs without their texts, with _entropy, of each language, and _letters."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(models, rest=None))
+    others = [c for c in docs.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, step = TaskContext.get().partitionId() << 33, shared.value.at_once()
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                total, many, letters, rest = shared.value.sums([t or "" for t in part.column(text_col).to_pylist()])
+                grams, times = [[] for _ in many], [[] for _ in many]
+                for own, new, n in rest:
+                    for i, gram, k in zip(own.tolist(), new, n.tolist(), strict=True):
+                        grams[i].append(gram)
+                        times[i].append(k)
+                fresh = {"_row": np.arange(row, row + len(many)), "_sums": pa.array(list(total), pa.list_(pa.int64())), "_many": many, "_letters": letters, "_grams": pa.array(grams, pa.list_(pa.string())), "_times": pa.array(times, pa.list_(pa.int64()))}
+                row += len(many)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *(pa.array(c) if isinstance(c, np.ndarray) else c for c in fresh.values())], [*others, *fresh])
+
+    fresh = StructType.fromDDL("_row long, _sums array<long>, _many long, _letters boolean, _grams array<string>, _times array<long>")
+    rows = docs.select(*others, text_col).mapInArrow(run, StructType([*docs.select(*others).schema, *fresh]))
+    if models.hot is not None:
+        rows = written(rows, "language-sums")
+        # A gram of a text comes once, or once a piece.
+        rest = rows.select("_row", F.explode(F.arrays_zip("_grams", "_times")).alias("_z")).select("_row", F.col("_z._grams").alias("_gram"), F.col("_z._times").alias("_n"))
+        costs = looked_up(written(rest.select("_gram").distinct(), "language-rest"), models)
+        more = rest.join(costs, "_gram").groupBy("_row", "_no").agg(F.sum(F.col("_cost") * F.col("_n")).alias("_more"))
+        more = more.groupBy("_row").agg(F.transform(F.sort_array(F.collect_list(F.struct("_no", "_more"))), lambda x: x["_more"]).alias("_more"))
+        rows = rows.join(more, "_row", "left").withColumn("_sums", F.when(F.col("_more").isNull(), F.col("_sums")).otherwise(F.zip_with("_sums", "_more", lambda x, y: x + y)))
+    entropy = F.transform("_sums", lambda x: x / (F.greatest("_many", F.lit(1)) * UNIT))
+    return rows.select(*others, entropy.alias("_entropy"), "_letters")
+
+
 def calibrate(models: Models, known: DataFrame) -> None:
-    """Sharpness and rejection limits from a bounded sample, chosen by a hash of the id: one number a text and language comes back."""
-    models.limits = np.full(len(models.langs), np.inf)
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.where(F.col("lang").isin(models.langs)).select("id", "lang").distinct().withColumn("n", F.row_number().over(draw)).where(F.col("n") <= CALIBRATED)
-    chosen = written(chosen.select(F.col("id").alias("of"), F.col("lang").alias("of_lang")), "language-chosen")
-    texts = known.join(F.broadcast(chosen), (F.col("id") == F.col("of")) & (F.col("lang") == F.col("of_lang"))).select("lang", "text")
-    shared = known.sparkSession.sparkContext.broadcast(models)
+    """Sharpness and rejection limits from all texts of known; sums and counts of them come back."""
+    steps = 1.25 ** np.arange(-10, 31)
+    place = {x: i for i, x in enumerate(models.langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entropy, letters = shared.value.entropies(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(letters)], ["lang", "entropy", "letters"])
-
-    # Copies of an id may be many: only the first text of each in order counts.
-    rows = texts.mapInArrow(run, "lang string, entropy array<double>, letters boolean").where("letters")
-    rows = rows.groupBy("lang", "entropy").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("entropy"))).where(F.col("n") <= CALIBRATED)
-    found = rows.orderBy("lang", "entropy").collect()
-    if not found:
-        return
-    entropy, own = np.array([r["entropy"] for r in found]), np.array([models.langs.index(r["lang"]) for r in found])
-    for i in range(len(models.langs)):
-        if (own == i).any():
-            models.limits[i] = np.quantile(entropy[own == i, i], PASS)
-    margins = entropy - entropy[np.arange(len(own)), own][:, None]
+            own = np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            rows = np.flatnonzero((own >= 0) & np.array(batch.column("_letters").to_pylist(), bool))
+            if not len(rows):
+                continue
+            own, entropy = own[rows], np.array(batch.column("_entropy").take(pa.array(rows)).to_pylist())
+            least = entropy[np.arange(len(own)), own]
+            margins = entropy - least[:, None]
+            # Whole numbers: their sums are the same in any order.
+            losses = [int(np.rint(np.log(np.exp(np.clip(-s * margins, -60, 60)).sum(axis=1)) * UNIT).sum()) for s in steps]
+            # Numbers of 0 and above have the order of their bits. A batch's first row has its losses.
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.abs(least).view(np.int64)), pa.array([losses] + [None] * (len(own) - 1), pa.list_(pa.int64()))], ["no", "bits", "losses"])
+
+    found = measured(known.select("lang", "text"), models, "text").mapInArrow(run, "no long, bits long, losses array<long>")
+    found = written(found, "language-calibrated")
+    models.limits = np.full(len(models.langs), np.inf)
+    for no, limit in quantiles(found.select("no", "bits"), PASS).items():
+        models.limits[no] = limit
     # The sharpness under which the texts' own languages are likeliest, of steps by a quarter.
-    steps = 1.25 ** np.arange(-10, 31)
-    loss = [np.log(np.exp(np.clip(-s * margins, -60, 60)).sum(axis=1)).mean() for s in steps]
-    models.sharpness = float(steps[int(np.argmin(loss))])
+    loss = found.agg(*[F.sum(F.col("losses")[i]).alias(f"l{i}") for i in range(len(steps))]).first()
+    if loss[0] is not None:
+        models.sharpness = float(steps[int(np.argmin(list(loss)))])
+
+
+def quantiles(rows: DataFrame, share: float) -> dict[int, float]:
+    """By no, the exact quantile of numbers of 0 and above, of which rows (no, bits) has the bits; between two, in proportion.
+
+    Both numbers' places are found 21 bits at a time, from counts: no group is sorted whole.
+    """
+    sizes = {r["no"]: r["count"] for r in rows.groupBy("no").count().collect()}
+    if not sizes:
+        return {}
+    # By no and whether it's the upper number: the bits found so far, and its place among the numbers that begin so.
+    at = {(no, up): (0, min(int((n - 1) * share) + up, n - 1)) for no, n in sizes.items() for up in (0, 1)}
+    for shift in (42, 21, 0):
+        sought = rows.sparkSession.createDataFrame([(no, up, *x) for (no, up), x in at.items()], "no long, up int, head long, place long")
+        digits = rows.select("no", F.shiftright("bits", shift + 21).alias("head"), F.shiftright("bits", shift).bitwiseAND(F.lit((1 << 21) - 1)).alias("digit"))
+        counts = digits.join(F.broadcast(sought), ["no", "head"]).groupBy("no", "up", "head", "place", "digit").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.withColumn("sofar", F.sum("n").over(Window.partitionBy("no", "up").orderBy("digit")))
+        hits = counts.where((F.col("sofar") > F.col("place")) & (F.col("sofar") - F.col("n") <= F.col("place")))
+        at = {(r["no"], r["up"]): ((r["head"] << 21) + r["digit"], r["place"] - (r["sofar"] - r["n"])) for r in hits.collect()}
+    out = {}
+    for no, n in sizes.items():
+        low, high = np.array([at[no, 0][0], at[no, 1][0]], np.int64).view(np.float64)
+        out[no] = float(low + (high - low) * ((n - 1) * share % 1))
+    return out
 
 
 def predicted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """The rows of docs with lang_pred, score, cross_entropy (null: no letter) and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    """The rows of docs without their texts, with lang_pred, score, cross_entropy (null: no letter) and rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(models, rest=None))
     kind = "struct<lang_pred: string, score: double, cross_entropy: double, rejected: boolean>"
+    others = [c for c in docs.columns if c != text_col]
+    if models.hot is not None:
+
+        @F.arrow_udf(kind)
+        def decide(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for entropy, letters in parts:
+                yield shared.value.decided(np.array(entropy.to_pylist(), float).reshape(len(letters), -1), np.array(letters.to_pylist(), bool))
+
+        return measured(docs, models, text_col).withColumn("_judged", decide("_entropy", "_letters")).select(*others, "_judged.*")
 
     @F.arrow_udf(kind)
     def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        step = shared.value.at_once()
         for texts in parts:
-            lang, score, entropy, rejected = shared.value.judged([t or "" for t in texts.to_pylist()])
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(entropy, mask=np.isnan(entropy)), pa.array(rejected)], ["lang_pred", "score", "cross_entropy", "rejected"])
+            done = [shared.value.decided(*shared.value.entropies([t or "" for t in texts.slice(at, step).to_pylist()])) for at in range(0, len(texts), step)]
+            yield pa.concat_arrays(done) if done else shared.value.decided(*shared.value.entropies([]))
 
-    return docs.withColumn("_judged", judge(F.col(text_col))).select(*docs.columns, "_judged.*")
+    return docs.withColumn("_judged", judge(F.col(text_col))).select(*others, "_judged.*")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id_col, held_out, lang_pred, score, cross_entropy, rejected for every row; rows held out are never learned from."""
     models = learned(docs, ~held_out(F.col("id")), id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("_text"))
-    return predicted(rows, models, "_text").drop("_text")
+    return predicted(rows, models, "_text")

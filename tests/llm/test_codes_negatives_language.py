@@ -312,6 +312,43 @@ def test_models_are_bounded(noted, monkeypatch):
     assert 200 < language.kept(once, 300).count() < 400
 
 
+def test_grams_beyond_what_tasks_hold_count_alike(noted, monkeypatch):
+    rows = noted.select("doc_id", "text")
+    whole = sorted(map(str, language.predicted(rows, language.learned(noted, ~language.held_out(F.col("id")))).collect()))
+    for name, most, held in (("GRAMS", 3, 9), ("ROWS", 5, 0)):
+        with monkeypatch.context() as m:
+            m.setattr(language, name, most)
+            models = language.learned(noted, ~language.held_out(F.col("id")))
+            assert len(models.hot) <= held
+            assert sorted(map(str, language.predicted(rows, models).collect())) == whole
+
+
+def test_all_languages_are_learned(spark):
+    letters = [chr(0x4E00 + i) for i in range(1600)]
+    docs = spark.createDataFrame([(i, f"{c}a{c} {c}{c}", f"{i:04}") for i, c in enumerate(letters)], "doc_id long, text string, lang string")
+    learned = {r["lang"] for r in docs.where(~language.held_out(F.col("doc_id")) & ~language.calibrates(F.col("doc_id"))).collect()}
+    models = language.learned(docs.union(docs.withColumn("doc_id", F.col("doc_id") + 10_000)), ~language.held_out(F.col("id")))
+    assert len(models.langs) > 1000 and learned <= set(models.langs)
+
+
+def test_limits_are_of_all_calibrating_texts(spark):
+    draw = random.Random(9)
+    docs = [(i, " ".join(draw.choice(WORDS["aa"].split()) for _ in range(draw.randint(1, 9))), "aa") for i in range(24_000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    models = language.learned(frame, ~language.held_out(F.col("id")))
+    own = [r["text"] for r in frame.where(language.calibrates(F.col("doc_id")) & ~language.held_out(F.col("doc_id"))).collect()]
+    assert len(own) > 2 * 500
+    assert np.isclose(models.limits[0], np.quantile(models.entropies(own)[0][:, 0], language.PASS), rtol=1e-12)
+
+
+def test_quantiles(spark):
+    draw = np.random.default_rng(4)
+    sets = {0: draw.exponential(size=500), 1: np.array([2.5]), 2: np.r_[np.zeros(3), 1e-300, 7.0], 3: np.full(40, 1.1), 4: 1 + draw.random(300) * 1e-13}
+    rows = spark.createDataFrame([(no, int(b)) for no, x in sets.items() for b in x.view(np.int64)], "no long, bits long")
+    for share in (0.0, 0.3, 0.995, 1.0):
+        assert language.quantiles(rows, share) == pytest.approx({no: np.quantile(x, share) for no, x in sets.items()}, rel=1e-14)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     own = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
