@@ -42,13 +42,14 @@ def sweep_known(
     if absent:
         raise KeyError(f"named subsets refer to absent columns: {absent}")
     extra = sorted({c for own in named.values() for c in own} - set(features))
-    rows, n, dropped = usable(df, y, [*covariates, *features], fold)
+    drawn, wanted = cluster or key, [y, fold, *covariates, *features, *extra]
+    # Written first, so that what df stands for is worked out once; usable names columns that are absent.
+    rows = staged(df.select(*dict.fromkeys([key, drawn, *wanted])), "sweep-rows") if set(wanted) <= set(df.columns) else df
+    rows, n, dropped = usable(rows, y, [*covariates, *features], fold)
     if extra:
         # Columns that only named subsets use must not take rows from the others.
         rows, n, more = usable(rows, y, extra, fold)
         dropped += more
-    drawn = cluster or key
-    rows = staged(rows.select(*dict.fromkeys([key, drawn, y, fold, *covariates, *features, *extra])), "sweep-rows")
     points = [(None, s) for size in sizes for s in sweep.draw_subsets(features, size, draws, seed)] + list(named.items())
     subsets = {"base": covariates, "full": [*covariates, *features], **{f"point{i}": [*covariates, *own] for i, (_, own) in enumerate(points)}}
     predicted, _ = explained(rows, key, y, fold, subsets, explainers, settings, [key, drawn, y])

@@ -30,6 +30,8 @@ PATIENCE, TOLERANCE = 15, 1e-4
 FRESH = 10
 #: Most combinations of bins of a model's features that are tabled.
 CELLS = 1 << 15
+#: Most outcomes of a tree's comparisons whose leaves are tabled (trees of depth 4), and comparisons that a word holds.
+OUTCOMES, WORD = 1 << 15, 63
 #: The fold of models that are fitted to all rows.
 WHOLE = -1
 
@@ -106,6 +108,67 @@ class Block:
         self.margin = np.frombuffer(row["margin"]).reshape(-1, len(self.h)) if row.get("margin") else None
 
 
+class Rows:
+    """Some rows of a block: their places and features, and the combined bins of one or two features."""
+
+    def __init__(self, block: Block, at: np.ndarray, bins: int):
+        self.at, self.x, self.bins, self.codes = at, block.x.take(at, axis=1), bins, {}
+
+    def code(self, pair: tuple[int, ...]) -> np.ndarray:
+        if pair not in self.codes:
+            first = self.x[pair[0]].astype(np.int64)
+            self.codes[pair] = first * self.bins + self.x[pair[1]] if len(pair) == 2 else first
+        return self.codes[pair]
+
+
+class Walk:
+    """Some trees of a model at once: for each combined bin of two features, a bit for each comparison that leads right."""
+
+    def __init__(self, trees: list[Tree], features: list[int], bins: int):
+        nodes = len(trees[0].cuts) if trees else 1
+        self.trees, self.nodes, self.few = trees, nodes, nodes <= OUTCOMES.bit_length() - 1
+        if not self.few:
+            return
+        self.pairs, each = _pairs(features), WORD // nodes
+        self.words = [trees[j : j + each] for j in range(0, len(trees), each)]
+        self.leaves = [[self._by_outcome(t) for t in word] for word in self.words]
+        self.tables = [[self._table(word, p, bins) for p in self.pairs] for word in self.words]
+
+    def _table(self, word: list[Tree], pair: tuple[int, ...], bins: int) -> np.ndarray:
+        out, places = np.zeros(bins ** len(pair), np.uint64), np.indices((bins,) * len(pair)).reshape(len(pair), -1)
+        for k, tree in enumerate(word):
+            for node in np.flatnonzero(np.isin(tree.features, pair)):
+                right = places[pair.index(tree.features[node])] > tree.cuts[node]
+                out |= right.astype(np.uint64) << np.uint64(k * self.nodes + int(node))
+        return out
+
+    def _by_outcome(self, tree: Tree) -> np.ndarray:
+        """The leaf's value for each outcome of a tree's comparisons."""
+        bits, at = np.arange(1 << self.nodes), np.zeros(1 << self.nodes, np.int64)
+        for level in range((self.nodes + 1).bit_length() - 1):
+            at = 2 * at + (bits >> (2**level - 1 + at) & 1)
+        return tree.leaves[at]
+
+    def add(self, out: np.ndarray, rows: Rows) -> np.ndarray:
+        """out with each tree's values added, one after another."""
+        if not self.few:
+            for tree in self.trees:
+                out += tree.values(rows.x)
+            return out
+        mask = np.uint64((1 << self.nodes) - 1)
+        for leaves, tables in zip(self.leaves, self.tables, strict=True):
+            bits = tables[0].take(rows.code(self.pairs[0]))
+            for pair, table in zip(self.pairs[1:], tables[1:], strict=True):
+                bits |= table.take(rows.code(pair))
+            for k, leaf in enumerate(leaves):
+                out += leaf.take((bits >> np.uint64(k * self.nodes) & mask).view(np.int64))
+        return out
+
+
+def _pairs(features: list[int]) -> list[tuple[int, ...]]:
+    return [tuple(features[j : j + 2]) for j in range(0, len(features), 2)]
+
+
 def _kind(bins: int) -> type:
     return np.uint8 if bins <= 256 else np.uint32
 
@@ -141,10 +204,9 @@ class Boosting:
         self.settings = settings or Settings()
         self.columns = sorted({c for s in subsets.values() for c in s})
         self.edges = self._edges(df)
-        binned = [sum((F.when(F.col(c) > e, 1).otherwise(0) for e in self.edges[c]), F.lit(0)).cast("int") for c in self.columns]
-        rows = df.select(F.col(key).alias("key"), F.xxhash64(key).alias("h"), F.col(fold).cast("int").alias("fold"), F.col(y).cast("double").alias("y"), F.array(*binned).alias("x") if binned else F.array().cast("array<int>").alias("x"))
+        rows = df.select(F.col(key).alias("key"), F.xxhash64(key).alias("h"), F.col(fold).cast("int").alias("fold"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(self.columns)])
         self.key_type = dict(rows.dtypes)["key"]
-        self.rows = staged(self._packed(rows), "boosting-rows")
+        self.rows = staged(self._packed(rows), "boosting-rows", packed=True)
         # Batches of a few packed rows, unless the job has set their size itself.
         if not df.sparkSession.sparkContext.getConf().contains(BATCH_BYTES[0]):
             df.sparkSession.conf.set(*BATCH_BYTES)
@@ -171,16 +233,17 @@ class Boosting:
 
     def _packed(self, rows: DataFrame) -> DataFrame:
         """keys, h, fold, y, x: a row for each batch of rows, its columns and features one after another."""
-        kind, width = _kind(self.settings.bins), len(self.columns)
+        kind, edges = _kind(self.settings.bins), [np.array(self.edges[c]) for c in self.columns]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n = batch.num_rows
                 if n:
-                    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, width).T.astype(kind)
+                    # A row's bin: how many bounds lie below its value.
+                    x = b"".join(np.searchsorted(e, batch.column(f"c{i}").to_numpy(zero_copy_only=False)).astype(kind).tobytes() for i, e in enumerate(edges))
                     columns = [np.asarray(batch.column(c)).astype(k).tobytes() for c, k in (("h", np.int64), ("fold", np.int32), ("y", np.float64))]
                     keys = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column("key"))
-                    yield pa.RecordBatch.from_arrays([keys, *[pa.array([c], pa.binary()) for c in (*columns, x.tobytes())]], ["keys", "h", "fold", "y", "x"])
+                    yield pa.RecordBatch.from_arrays([keys, *[pa.array([c], pa.binary()) for c in (*columns, x)]], ["keys", "h", "fold", "y", "x"])
 
         return rows.mapInArrow(run, f"keys array<{self.key_type}>, h binary, fold binary, y binary, x binary")
 
@@ -267,18 +330,18 @@ class Boosting:
     def _source(self) -> DataFrame:
         return self.rows if self.margins is None else self.margins
 
-    def _valued(self) -> Callable[[int, Block, np.ndarray, np.ndarray], np.ndarray]:
-        """A model's margins, all trees so far applied, of some rows of a block; x: these rows' features."""
+    def _valued(self) -> Callable[[int, Block, Rows], np.ndarray]:
+        """A model's margins, all trees so far applied, of some rows of a block."""
         models, applied, bins, place = self.models, self.applied, self.settings.bins, {i: j for j, i in enumerate(self.large)}
+        walks: dict[int, Walk] = {}
 
-        def value(i: int, block: Block, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        def value(i: int, block: Block, rows: Rows) -> np.ndarray:
             m = models[i]
             if m.table is not None:
-                return m.table[m.cells(x, bins)]
-            out = np.full(len(at), m.start) if block.margin is None else block.margin[place[i]][at]
-            for tree in m.trees[applied:]:
-                out += tree.values(x)
-            return out
+                return m.table.take(m.cells(rows.x, bins))
+            if i not in walks:
+                walks[i] = Walk(m.trees[applied:], m.features, bins)
+            return walks[i].add(np.full(len(rows.at), m.start) if block.margin is None else block.margin[place[i]].take(rows.at), rows)
 
         return value
 
@@ -292,12 +355,12 @@ class Boosting:
             for batch in batches:
                 for j, row in enumerate(batch.select([c for c in batch.schema.names if c != "keys"]).to_pylist()):
                     block = Block(row, bins)
-                    every = np.arange(len(block.h))
-                    margin = np.stack([value(i, block, every, block.x) for i in large])
+                    every = Rows(block, np.arange(len(block.h)), bins)
+                    margin = np.stack([value(i, block, every) for i in large])
                     own = batch.slice(j, 1)
                     yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("keys", "h", "fold", "y", "x")], pa.array([margin.tobytes()], pa.binary())], ["keys", "h", "fold", "y", "x", "margin"])
 
-        self.margins = staged(self._source().mapInArrow(run, f"keys array<{self.key_type}>, h binary, fold binary, y binary, x binary, margin binary"), "boosting-margins")
+        self.margins = staged(self._source().mapInArrow(run, f"keys array<{self.key_type}>, h binary, fold binary, y binary, x binary, margin binary"), "boosting-margins", packed=True)
         self.applied = max(len(self.models[i].trees) for i in self.large)
 
     def _pass(self, t: int, level: int, grown: dict[int, Tree]) -> list:
@@ -306,7 +369,7 @@ class Boosting:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Features are counted by twos: sums by node and both their bins.
-            pairs = {i: [models[i].features[j : j + 2] for j in range(0, len(models[i].features), 2)] for i in grown if models[i].table is None}
+            pairs = {i: _pairs(models[i].features) for i in grown if models[i].table is None}
             sums = {(i, j): np.zeros((2, nodes * bins ** len(p))) for i in pairs for j, p in enumerate(pairs[i])}
             # Margins that are tabled are the same for all rows of a combination: sums of the target by fold and combination do.
             tabled = {tuple(models[i].features): i for i in grown if models[i].table is not None}
@@ -319,30 +382,26 @@ class Boosting:
                     block = Block(row, bins)
                     aside = _aside(block.h, s)
                     drawn = ~aside & (chance(block.h, t + 1) < s.subsample)
-                    at = np.flatnonzero(drawn)
-                    x, y, place = np.ascontiguousarray(block.x[:, at]), block.y[at], np.searchsorted(folds, block.fold[at])
+                    every = Rows(block, np.flatnonzero(drawn), bins)
+                    y, place = block.y.take(every.at), np.searchsorted(folds, block.fold.take(every.at))
                     for c, i in tabled.items():
-                        code, out = place * len(models[i].table) + models[i].cells(x, bins), by_cell[c]
-                        out[0] += np.bincount(code, y, out.shape[1])
-                        out[1] += np.bincount(code, minlength=out.shape[1])
+                        code, out = place * len(models[i].table) + models[i].cells(every.x, bins), by_cell[c]
+                        np.add.at(out[0], code, y)
+                        np.add.at(out[1], code, 1.0)
                     for fold in sorted({models[i].fold for i in (grown if level == 0 else pairs)}):
                         inside = block.fold != fold
-                        own, held = np.flatnonzero(inside & drawn), np.flatnonzero(inside & aside)
-                        x, y, codes = np.ascontiguousarray(block.x[:, own]), block.y[own], {}
-                        xh, yh = np.ascontiguousarray(block.x[:, held]), block.y[held]
+                        own, held = (Rows(block, np.flatnonzero(inside & side), bins) for side in (drawn, aside))
+                        y, yh = block.y.take(own.at), block.y.take(held.at)
                         for i, tree in grown.items():
                             if models[i].fold != fold:
                                 continue
                             if level == 0:
-                                loss[i] += ((yh - value(i, block, held, xh)) ** 2).sum(), len(held)
+                                loss[i] += ((yh - value(i, block, held)) ** 2).sum(), len(yh)
                             if i not in pairs:
                                 continue
-                            residual, at = y - value(i, block, own, x), tree.nodes(x, level).astype(np.int64) if level else None
+                            residual, at = y - value(i, block, own), tree.nodes(own.x, level).astype(np.int64) if level else None
                             for j, pair in enumerate(pairs[i]):
-                                if tuple(pair) not in codes:
-                                    code = x[pair[0]].astype(np.int64)
-                                    codes[tuple(pair)] = code * bins + x[pair[1]] if len(pair) == 2 else code
-                                place = codes[tuple(pair)] if at is None else at * bins ** len(pair) + codes[tuple(pair)]
+                                place = own.code(pair) if at is None else at * bins ** len(pair) + own.code(pair)
                                 out = sums[i, j]
                                 out[0] += np.bincount(place, residual, out.shape[1])
                                 out[1] += np.bincount(place, minlength=out.shape[1])
@@ -397,7 +456,7 @@ class Boosting:
                     for i, m in enumerate(models):
                         own = np.flatnonzero(block.fold == m.fold)
                         if len(own) and m.fold != WHOLE:
-                            found[m.subset][own] = value(i, block, own, np.ascontiguousarray(block.x[:, own]))
+                            found[m.subset][own] = value(i, block, Rows(block, own, bins))
                     keys = batch.column("keys").slice(j, 1).flatten()
                     yield pa.RecordBatch.from_arrays([keys, *[pa.array(found[served[n]]) for n in names]], ["key", *[f"p{i}" for i in range(len(names))]])
 

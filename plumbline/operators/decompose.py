@@ -100,7 +100,7 @@ def explained(
         found = found.select(F.col("key").alias("_key"), *[F.col(s).alias(f"boo_{s}") for s in subsets])
         predicted = predicted.join(found, F.col(key) == F.col("_key")).drop("_key")
     names = [f"{e[:3]}_{s}" for e in explainers for s in subsets]
-    return staged(predicted.select(*dict.fromkeys(keep), *names), "decompose-predicted"), effects
+    return predicted.select(*dict.fromkeys(keep), *names), effects
 
 
 class Shares:
@@ -145,6 +145,7 @@ def decompose(
     rows = staged(rows.select(*dict.fromkeys(names)), "decompose-rows")
     subsets = {"base": covariates, "full": [*covariates, *features], **{f"only{i}": [*covariates, f] for i, f in enumerate(features)}}
     predicted, effects = explained(rows, key, y, fold, subsets, explainers, settings, [key, drawn, y], whole=("full",))
+    predicted = staged(predicted, "decompose-predicted")
 
     found = Shares(predicted, y, drawn, [f"{e[:3]}_{s}" for e in explainers for s in subsets])
     point, interval = found.point(), found.intervals(replicates, level)

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Bytes of one batch that goes to a Python worker, where rows are packed blocks.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+#: How tables of packed blocks are written. A task reads a row group into memory at once, so its size is looked at after
+#: every row, not every hundred, and is not compressed, since it would be the compressed size that is bounded.
+GROUPS = {"compression": "none", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 _own: list[str] = []
 #: Contexts that have been given the package, by their id.
 _given: set[str] = set()
@@ -42,11 +45,11 @@ def share_package(spark: SparkSession) -> None:
     context.addPyFile(str(path))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
     """The same rows from a table that driver and executors share: lineage ends there, and lost executors take nothing along.
 
     The folder is spark.checkpoint.dir's. Where that is unset, a local master gets a folder of this process; on a
-    cluster it is an error.
+    cluster it is an error. packed: rows hold blocks of up to some megabytes.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", "")
@@ -55,5 +58,5 @@ def staged(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: intermediate tables go there")
         folder = _own_folder()
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(GROUPS if packed else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Boosted models grown together against trees grown one by one, row by row."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,33 @@ def test_rows_are_packed_and_few_margins_kept_by_row(table, monkeypatch):
     rows = boosted(table, "id", "y", "fold", subsets, settings)
     assert len(rows.large) == 9
     assert np.allclose(got, rows.predicted().toPandas().set_index("key").sort_index())
+
+
+def test_a_row_group_holds_few_packed_rows(spark):
+    """A task reads a row group of packed rows into memory at once, so none holds over 8 MB, or a single row that is larger."""
+    columns = [F.rand(i).alias(f"c{i}") for i in range(6)]
+    rows = spark.range(0, 30000, 1, 1).select("id", (F.col("id") % 2).cast("int").alias("fold"), F.col("id").cast("double").alias("y"), *columns)
+    subsets = {str(s): [f"c{i}" for i in range(6) if s >> i & 1] for s in range(1, 64)}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(boosting, "CELLS", 0)
+        run = boosted(rows, "id", "y", "fold", subsets, Settings(rounds=1, depth=1, bins=4))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in run.margins.inputFiles()]
+    groups = [f.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == run.rows.count() >= 3
+    assert sum(g.total_byte_size for g in groups) > 28e6 and all(g.num_rows == 1 or g.total_byte_size < 9e6 for g in groups)
+
+
+def test_trees_walked_together_are_those_walked_alone():
+    """Depth 5 has too many outcomes to be tabled; at depth 3 nine trees share a word, at depth 4 four."""
+    draw, bins = np.random.default_rng(5), 8
+    row = {"h": draw.integers(0, 9, 500).tobytes(), "fold": np.zeros(500, np.int32).tobytes(), "y": np.zeros(500).tobytes(), "x": draw.integers(0, bins, (6, 500)).astype(np.uint8).tobytes()}
+    rows = boosting.Rows(boosting.Block(row, bins), np.flatnonzero(draw.random(500) < 0.7), bins)
+    for depth in (1, 2, 3, 4, 5):
+        features, n = [0, 2, 3, 5] if depth % 2 else [1, 2, 4], 2**depth - 1
+        trees = [boosting.Tree(draw.choice([-1, *features], n), draw.integers(0, bins, n), draw.normal(size=n + 1)) for _ in range(11)]
+        want = np.full(len(rows.at), 0.5)
+        for tree in trees:
+            want += tree.values(rows.x)
+        walk = boosting.Walk(trees, features, bins)
+        assert walk.few == (depth < 5) and (walk.add(np.full(len(rows.at), 0.5), rows) == want).all()
+    assert (boosting.Walk([], [1], bins).add(np.full(len(rows.at), 0.5), rows) == 0.5).all()
